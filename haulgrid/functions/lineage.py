@@ -31,7 +31,10 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     Unlike an in-memory cut this survives lost executors, computes the rows once, and gives the
     optimizer file sizes to choose broadcast sides by.
     """
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
+    return df.sparkSession.read.schema(df.schema).parquet(written(df, name))
+
+
+def written(df: DataFrame, name: str) -> str:
+    path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path

@@ -8,7 +8,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from haulgrid.functions.lineage import cut
+from haulgrid.functions.lineage import cut, written
 from haulgrid.functions.scale import running_total
 from haulgrid.operators.clustering import cluster_arcs
 from haulgrid.params import LOCATION_YEAR, Params
@@ -74,7 +74,8 @@ def fill_single_depot(
 ) -> DataFrame:
     """Cheapest filling of each depot on its own: rows (i, j, d, b) with b > 0.
 
-    `forecast(idx, biomass)` is one year; `depots(idx)` restricts the candidates.
+    `forecast(idx, biomass)` is one year; `depots(idx)` restricts the candidates. `dist` is read for its
+    range, for the bands and for the arcs, so it should be a stored table.
     """
     arcs = dist if depots is None else dist.join(depots.select(F.col("idx").alias("j")), "j", "left_semi")
     supply = forecast.filter(F.col("biomass") > 0).select(F.col("idx").alias("i"), F.col("biomass").alias("supply"))
@@ -107,55 +108,47 @@ def _greedy(arcs: DataFrame, supply: DataFrame, cap: float, limits: DataFrame, f
     again just the (plant, year) pairs that used a source of the plant opened before. All clusters take
     their round together.
     """
+    spark = arcs.sparkSession
     gain = F.lit(factor) * F.col("d") - 1.0
     arcs = arcs.filter(F.col("d") * factor < 1.0)
     spread = spread_of(arcs, ["cluster", "j"])
-    keys = ["cluster", "j", "yr"]
-    left = cut(supply.filter(F.col("supply") > 0), "supply")
+    keys, columns = ["cluster", "j", "yr"], ["cluster", "i", "j", "yr", "d", "b"]
+    supply = cut(supply.filter(F.col("supply") > 0), "supply")
     years = limits.select("yr").distinct().count()
-    fills = cut(fill_by_rank(arcs.join(left, ["cluster", "i"]), cap, keys, F.col("d"), spread), "fills")
-    opened: list[DataFrame] = []
-    active = limits
+    fills = cut(fill_by_rank(arcs.join(supply, ["cluster", "i"]), cap, keys, F.col("d"), spread), "fills")
+    moved_schema = fills.select(*columns).schema
+    active = limits.select("cluster").distinct()
+    picked: list[str] = []
+    shipped_before = 0.0
     for _ in range(rounds):
-        score = F.sum(gain * F.col("b")) + years * cap
-        scores = fills.groupBy("cluster", "j").agg(score.alias("score"))
-        scores = scores.join(active.select("cluster").distinct(), "cluster", "left_semi")
+        scores = fills.groupBy("cluster", "j").agg((F.sum(gain * F.col("b")) + years * cap).alias("score"))
+        scores = scores.join(active, "cluster", "left_semi")
         best = scores.groupBy("cluster").agg(F.min(F.struct("score", "j")).alias("m")).select("cluster", F.col("m.j").alias("j"))
-        chosen = cut(fills.join(best, ["cluster", "j"], "left_semi").select("cluster", "i", "j", "yr", "d", "b"), "chosen")
-        if chosen.isEmpty():
-            break
-        opened.append(chosen)
-        so_far = opened[0]
-        for more in opened[1:]:
-            so_far = so_far.union(more)
-        shipped = so_far.groupBy("cluster", "yr").agg(F.sum("b").alias("shipped"))
-        plants = so_far.groupBy("cluster").agg(F.count_distinct("j").alias("plants"))
-        progress = limits.join(shipped, ["cluster", "yr"], "left").join(plants, "cluster", "left").fillna(0, ["shipped", "plants"])
-        active = cut(
-            progress.filter((F.col("plants") < F.col("quota")) & (F.col("shipped") < F.col("target"))).select(*limits.columns),
-            "active",
-        )
-        if active.isEmpty():
+        picked.append(written(fills.join(best, ["cluster", "j"], "left_semi").select(*columns), "chosen"))
+        chosen = spark.read.schema(moved_schema).parquet(picked[-1])
+        moved = spark.read.schema(moved_schema).parquet(*picked)
+        shipped = moved.groupBy("cluster", "yr").agg(F.sum("b").alias("shipped"))
+        progress = limits.join(shipped, ["cluster", "yr"], "left").fillna(0.0, ["shipped"])
+        # An active cluster has opened one plant in each round so far.
+        wants = (F.col("quota") > len(picked)) & (F.col("shipped") < F.col("target"))
+        state = progress.agg(F.count_if(wants).alias("open"), F.sum("shipped").alias("shipped")).first()
+        if state["open"] == 0 or state["shipped"] <= shipped_before:
             break
+        shipped_before = state["shipped"]
+        active = progress.filter(wants).select("cluster").distinct()
         used = chosen.groupBy("cluster", "i", "yr").agg(F.sum("b").alias("used"))
-        rest = F.when(F.col("used").isNull(), F.col("supply")).otherwise(F.col("supply") - F.col("used") - ROUNDING)
-        left = cut(
-            left.join(used, ["cluster", "i", "yr"], "left").withColumn("supply", rest).filter(F.col("supply") > 0).drop("used"),
-            "supply",
-        )
-        done = chosen.select("cluster", "j").distinct()
-        standing = fills.join(done, ["cluster", "j"], "left_anti")
-        stale = cut(standing.join(used, ["cluster", "i", "yr"], "left_semi").select(*keys).distinct(), "stale")
+        touched = fills.join(used, ["cluster", "i", "yr"], "left_semi").select(*keys).distinct()
+        stale = cut(touched.join(chosen.select("cluster", "j"), ["cluster", "j"], "left_anti"), "stale")
+        spent = moved.groupBy("cluster", "i", "yr").agg((F.sum("b") + ROUNDING).alias("spent"))
+        left = supply.join(spent, ["cluster", "i", "yr"], "left")
+        left = left.withColumn("supply", F.col("supply") - F.coalesce("spent", F.lit(0.0))).filter(F.col("supply") > 0).drop("spent")
         again = arcs.join(stale.select("cluster", "j").distinct(), ["cluster", "j"], "left_semi")
         again = again.join(left, ["cluster", "i"]).join(stale, keys, "left_semi")
-        refilled = fill_by_rank(again, cap, keys, F.col("d"), spread)
-        fills = cut(standing.join(stale, keys, "left_anti").unionByName(refilled), "fills")
-    if not opened:
-        return fills.select("cluster", "i", "j", "yr", "d", "b").limit(0)
-    result = opened[0]
-    for more in opened[1:]:
-        result = result.union(more)
-    return result
+        standing = fills.join(chosen.select("cluster", "j"), ["cluster", "j"], "left_anti").join(stale, keys, "left_anti")
+        fills = cut(standing.unionByName(fill_by_rank(again, cap, keys, F.col("d"), spread)), "fills")
+    if not picked:
+        return fills.select(*columns).filter(F.lit(False))
+    return spark.read.schema(moved_schema).parquet(*picked)
 
 
 def _flow_rows(moved: DataFrame, leg: str, plant: str) -> DataFrame:
@@ -176,7 +169,8 @@ def open_depots(
     """Depots and biomass flows that process the minimum share of the forecast in every year.
 
     With `labels(idx, cluster)` and `quota(cluster, quota)` each cluster is planned on its own arcs,
-    all of them in the same jobs; without, one plan of at most `max_depots` covers all sites.
+    all of them in the same jobs; without, one plan of at most `max_depots` covers all sites. `dist`
+    is read again as plants open, so it should be a stored table.
     """
     rows = forecast.filter(F.col("yr").isin(*p.years)).select(F.col("idx").alias("i"), "yr", F.col("biomass").alias("supply"))
     if labels is None:

@@ -93,7 +93,7 @@ def cut_tree(ids: DataFrame, merges: DataFrame, n_clusters: int) -> DataFrame:
 
 def average_linkage(dist: DataFrame, n_clusters: int, symmetric: str = "upper") -> DataFrame:
     """Labels (idx, cluster) of average linkage on precomputed distances, cut at `n_clusters`."""
-    ids = dist.select(F.explode(F.array("i", "j")).alias("idx")).distinct()
+    ids = cut(dist.select(F.explode(F.array("i", "j")).alias("idx")).distinct(), "ids")
     return cut_tree(ids, linkage_merges(dist, symmetric), n_clusters)
 
 

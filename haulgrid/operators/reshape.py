@@ -37,6 +37,11 @@ def assign_index(df: DataFrame, order: Sequence[str], out: str = "idx") -> DataF
     return ranked.drop("_rank")
 
 
+def recover_index(df: DataFrame, sites: DataFrame) -> DataFrame:
+    """Give rows keyed by (lat, lon) the index their coordinates have in `sites`."""
+    return df.join(sites.select("idx", "lat", "lon"), ["lat", "lon"])
+
+
 def lag_forecast(history: DataFrame, lag: int = 2) -> DataFrame:
     """Naive forecast: the value of year y serves as the forecast of y + lag."""
     return history.select("idx", (F.col("yr") + lag).cast("int").alias("yr"), "biomass")

@@ -46,9 +46,17 @@ def site_mean(history: DataFrame, years: Sequence[int] | None = None) -> DataFra
 
 
 def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Pearson correlation of every pair of columns in one pass, one row per ordered pair."""
+    """Pearson correlation of every pair of columns in one pass, one row per ordered pair.
+
+    A constant column correlates with nothing: null.
+    """
     pairs = [(a, b) for n, a in enumerate(cols) for b in cols[n:]]
-    wide = df.agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
+
+    def pearson(a: str, b: str) -> Column:
+        x, y = F.when(F.col(b).isNotNull(), F.col(a)), F.when(F.col(a).isNotNull(), F.col(b))
+        return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+    wide = df.agg(*[pearson(a, b).alias(f"{a}|{b}") for a, b in pairs])
     cells = []
     for a, b in pairs:
         r = F.col(f"`{a}|{b}`")
@@ -75,7 +83,7 @@ def align_series(df: DataFrame, series: DataFrame, on: str = "yr") -> DataFrame:
 def histogram(df: DataFrame, col: str, bins: int = 10) -> DataFrame:
     """Counts in equal-width bins between the extremes; the last bin includes its right edge.
 
-    All bins come from one aggregation, so empty ones appear with a count of 0.
+    Empty bins appear with a count of 0. `df` is read twice, for the extremes and for the counts.
     """
     limits = df.agg(F.min(col).alias("lo"), F.max(col).alias("hi"))
     lo, hi = limits.select("lo").scalar(), limits.select("hi").scalar()
@@ -112,7 +120,7 @@ def all_loads(flows: DataFrame) -> DataFrame:
 def pareto_share(means: DataFrame, cut: float | None = None) -> DataFrame:
     """Running share of the total from the largest site down; with `cut` only shares up to it."""
     running = running_total(means, F.col("biomass"), [F.desc("biomass"), F.col("idx")], out="cum_biomass")
-    total = means.agg(F.sum("biomass")).scalar()
+    total = running.agg(F.sum("biomass")).scalar()
     shares = running.select("idx", "biomass", "cum_biomass", (F.col("cum_biomass") / total).alias("share"))
     return shares if cut is None else shares.filter(F.col("share") <= cut)
 
@@ -176,6 +184,6 @@ def refinery_load_band(forecast: DataFrame, p: Params) -> DataFrame:
 def balanced_blocks(means: DataFrame, n: int) -> DataFrame:
     """Sites from the largest down in n blocks of about equal total; none is left out."""
     running = running_total(means, F.col("biomass"), [F.desc("biomass"), F.col("idx")])
-    target = means.agg(F.sum("biomass")).scalar() / n
+    target = running.agg(F.sum("biomass")).scalar() / n
     block = F.least(F.floor(F.try_divide(F.col("before"), target)), F.lit(n - 1)).cast("int")
     return running.select("idx", "biomass", block.alias("block"))

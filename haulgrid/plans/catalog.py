@@ -46,6 +46,16 @@ def _year(spark: SparkSession, sf: str) -> DataFrame:
     return b.history(spark, sf).filter(F.col("yr") == YEAR).select("idx", "biomass")
 
 
+def _flows(spark: SparkSession, sf: str) -> DataFrame:
+    """The flows as a stored table, for queries that read them more than once."""
+    return cut(b.flows(spark, sf), "flows")
+
+
+def _arcs(spark: SparkSession, sf: str, max_d: float = 60.0) -> DataFrame:
+    """The arcs as a stored table, for queries that read them more than once."""
+    return cut(b.arcs(spark, sf, max_d), "arcs")
+
+
 def _open_ids(spark: SparkSession, sf: str) -> DataFrame:
     """Depots that receive biomass."""
     return st.depot_load(b.flows(spark, sf), BIOMASS, "dst").select(F.col("key").alias("idx")).distinct()
@@ -154,6 +164,13 @@ def dense_site_index(spark, sf):
     return rs.assign_index(b.sites(spark, sf), ["lat", "lon"], out="pos").select("pos", "idx")
 
 
+@query
+def recover_index(spark, sf):
+    sites = b.sites(spark, sf)
+    placed = b.history(spark, sf).join(sites, "idx").select("lat", "lon", "yr", "biomass")
+    return rs.recover_index(placed, sites).select("idx", "yr", "biomass")
+
+
 @query
 def lag_forecast(spark, sf):
     history = b.history(spark, sf)
@@ -174,7 +191,7 @@ def edges_from_center(spark, sf):
 
 @query
 def arc_adjacency(spark, sf):
-    near = fi.arcs_within(b.arcs(spark, sf), 50.0)
+    near = fi.arcs_within(_arcs(spark, sf), 50.0)
 
     def lists(by):
         rows = rs.adjacency(near, by, block=32)
@@ -185,7 +202,7 @@ def arc_adjacency(spark, sf):
 
 @query
 def two_hop_arcs(spark, sf):
-    near = b.arcs(spark, sf, 20.0)
+    near = _arcs(spark, sf, 20.0)
     return rounded(rs.two_hop(near, near), "d", digits=4)
 
 
@@ -321,12 +338,12 @@ def neighbour_spacing(spark, sf):
 
 @query
 def flow_balance_join(spark, sf):
-    return rounded(au.flow_balance(b.flows(spark, sf)), "inflow", "outflow", "diff")
+    return rounded(au.flow_balance(_flows(spark, sf)), "inflow", "outflow", "diff")
 
 
 @query
 def distance_asymmetry(spark, sf):
-    return rounded(nb.distance_asymmetry(b.arcs(spark, sf)), "gap", digits=4)
+    return rounded(nb.distance_asymmetry(_arcs(spark, sf)), "gap", digits=4)
 
 
 @query
@@ -391,12 +408,12 @@ def align_external_series(spark, sf):
 
 @query
 def minmax_by_year(spark, sf):
-    return rounded(st.minmax(align_external_series(spark, sf), ["biomass", "orders_value"]), "biomass", "orders_value")
+    return rounded(st.minmax(cut(align_external_series(spark, sf), "years"), ["biomass", "orders_value"]), "biomass", "orders_value")
 
 
 @query
 def histogram(spark, sf):
-    return rounded(st.histogram(_catchments(spark, sf), "biomass", 10), "lo", "hi")
+    return rounded(st.histogram(cut(_catchments(spark, sf), "catchments"), "biomass", 10), "lo", "hi")
 
 
 @query
@@ -448,18 +465,18 @@ def forecast_mae(spark, sf):
 
 @query
 def transport_cost(spark, sf):
-    flows = b.flows(spark, sf)
+    flows = _flows(spark, sf)
     return rounded(au.transport_cost(flows, b.distances_of(spark, sf, flows)), "cost", digits=4)
 
 
 @query
 def underuse_cost(spark, sf):
-    return rounded(au.underuse_cost(b.flows(spark, sf), P), "underuse", digits=4)
+    return rounded(au.underuse_cost(_flows(spark, sf), P), "underuse", digits=4)
 
 
 @query
 def total_cost(spark, sf):
-    flows, history = b.flows(spark, sf), b.history(spark, sf)
+    flows, history = _flows(spark, sf), b.history(spark, sf)
     cost = au.total_cost(flows, b.distances_of(spark, sf, flows), history, rs.lag_forecast(history), P)
     return rounded(cost, "transport", "mae", "underuse", "cost", digits=4)
 
@@ -490,7 +507,7 @@ def kmeans_sites(spark, sf):
 
 @query
 def average_linkage(spark, sf):
-    return cl.average_linkage(b.arcs(spark, sf), 5)
+    return cl.average_linkage(_arcs(spark, sf), 5)
 
 
 @query
@@ -533,12 +550,12 @@ def per_cluster_arcs(spark, sf):
 
 @query
 def fill_single_depot(spark, sf):
-    return al.fill_single_depot(b.arcs(spark, sf), _year(spark, sf), P.depot_cap)
+    return al.fill_single_depot(_arcs(spark, sf), _year(spark, sf), P.depot_cap)
 
 
 @query
 def choose_one_depot(spark, sf):
-    return rounded(al.choose_one_depot(b.arcs(spark, sf), _year(spark, sf), P.depot_cap), "cost", digits=4)
+    return rounded(al.choose_one_depot(_arcs(spark, sf), _year(spark, sf), P.depot_cap), "cost", digits=4)
 
 
 def _scaled(spark, sf):
@@ -549,13 +566,13 @@ def _scaled(spark, sf):
 
 @query
 def open_depots(spark, sf):
-    arcs = cut(b.arcs(spark, sf), "arcs")
+    arcs = _arcs(spark, sf)
     return al.open_depots(arcs, cut(b.forecast(spark, sf), "forecast"), _scaled(spark, sf))
 
 
 @query
 def open_depots_by_cluster(spark, sf):
-    arcs, forecast = cut(b.arcs(spark, sf), "arcs"), cut(b.forecast(spark, sf), "forecast")
+    arcs, forecast = _arcs(spark, sf), cut(b.forecast(spark, sf), "forecast")
     labels = b.blocks(spark, sf)
     profile = st.cluster_profile(forecast, labels, b.YEARS, cl.intra_max(arcs, labels))
     quota = cut(st.depot_quota(profile, 8_000, 15_000).select("cluster", "quota"), "quota")
@@ -564,7 +581,7 @@ def open_depots_by_cluster(spark, sf):
 
 @query
 def open_refineries(spark, sf):
-    p, arcs = _scaled(spark, sf), cut(b.arcs(spark, sf), "arcs")
+    p, arcs = _scaled(spark, sf), _arcs(spark, sf)
     depots = cut(al.open_depots(arcs, cut(b.forecast(spark, sf), "forecast"), p), "depots")
     opened = depots.filter(F.col("dst").isNotNull()).select(F.col("dst").alias("idx")).distinct()
     return depots.unionByName(al.open_refineries(b.arcs(spark, sf, 150.0, opened), depots, p))
@@ -572,12 +589,12 @@ def open_refineries(spark, sf):
 
 @query
 def refinery_direct(spark, sf):
-    return al.refinery_direct(b.arcs(spark, sf), b.forecast(spark, sf), Params(years=b.YEARS, refinery_cap=5_000.0))
+    return al.refinery_direct(_arcs(spark, sf), cut(b.forecast(spark, sf), "forecast"), Params(years=b.YEARS, refinery_cap=5_000.0))
 
 
 @query
 def allocation_bound(spark, sf):
-    p, arcs, forecast = _scaled(spark, sf), cut(b.arcs(spark, sf), "arcs"), cut(b.forecast(spark, sf), "forecast")
+    p, arcs, forecast = _scaled(spark, sf), _arcs(spark, sf), cut(b.forecast(spark, sf), "forecast")
     plan = cut(al.open_depots(arcs, forecast, p), "plan")
     upper = al.plan_objective(plan, arcs, p).first()["objective"]
     return al.allocation_bound(arcs, forecast, p, upper)
@@ -599,7 +616,7 @@ def solution_to_submission(spark, sf):
 
 def _checked(check):
     def run(spark, sf):
-        return rounded(check(b.flows(spark, sf), TIGHT), "actual", "limit")
+        return rounded(check(_flows(spark, sf), TIGHT), "actual", "limit")
 
     run.__name__ = check.__name__
     return query(run)
@@ -611,7 +628,7 @@ for _check in (*au.CHECKS, au.audit):
 
 @query
 def repair_overload(spark, sf):
-    flows = b.flows(spark, sf)
+    flows = _flows(spark, sf)
 
     def repaired(mode):
         return au.repair_overload(flows, TIGHT, mode).filter(F.col("data_type") != FORECAST).withColumn("mode", F.lit(mode))

@@ -199,6 +199,7 @@ ORACLE: dict[str, str] = {
         from (select vec_id, embedding, unnest(range(1, len(embedding) + 1)) as n from embeddings)""",
     "forecast_pivot": f"select o_custkey, {PIVOT_CUST} from orders group by 1",
     "dense_site_index": sql(SITES, select="select row_number() over (order by lat, lon) - 1 as pos, idx from sites"),
+    "recover_index": sql(HIST, select="select idx, yr, biomass from hist"),
     "lag_forecast": sql(HIST, select="""select a.idx, a.yr, a.biomass, f.biomass as expected
         from hist a join hist f on f.idx = a.idx and f.yr = a.yr - 2"""),
     "submatrix": arcs("""select i, j, d from dist where i in (select s_suppkey from supplier where s_acctbal >= 5000)

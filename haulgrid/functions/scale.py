@@ -29,7 +29,7 @@ def running_total(
     """
     ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = cut(
-        df.withColumn("_value", value)
+        df.withColumn("_range_value", value)
         .repartitionByRange(ranges, *[F.col(k) for k in keys], *order_by)
         .withColumn("_range", F.spark_partition_id()),
         "ranged",
@@ -38,16 +38,16 @@ def running_total(
     earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         ranged.groupBy(*keys, "_range")
-        .agg(F.sum("_value").alias("_sum"))
-        .select(*keys, "_range", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_start"))
+        .agg(F.sum("_range_value").alias("_range_sum"))
+        .select(*keys, "_range", F.coalesce(F.sum("_range_sum").over(earlier), F.lit(0)).alias("_range_start"))
     )
     local = Window.partitionBy(*keys, "_range").orderBy(*order_by)
     local = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (
         ranged.join(starts, [*keys, "_range"])
-        .withColumn(out, F.col("_start") + F.sum("_value").over(local))
-        .withColumn(before, F.col(out) - F.col("_value"))
-        .drop("_range", "_start", "_value")
+        .withColumn(out, F.col("_range_start") + F.sum("_range_value").over(local))
+        .withColumn(before, F.col(out) - F.col("_range_value"))
+        .drop("_range", "_range_start", "_range_value")
     )
 
 

@@ -34,23 +34,25 @@ def _undirected(dist: DataFrame, symmetric: str) -> DataFrame:
 
 
 def linkage_merges(dist: DataFrame, symmetric: str = "upper") -> DataFrame:
-    """Merge log (height, lo, hi) of average linkage; cluster `hi` joins `lo`, named by least member.
+    """Merge log (round, height, lo, hi) of average linkage; cluster `hi` joins `lo`, named by least member.
 
     Each round merges every pair of clusters that are each other's nearest at once; average linkage
     allows this without changing the tree (Murtagh 1983; Sumengen et al. 2021). Missing pairs
-    do not count, so distances cut at a radius give the linkage of the known edges.
+    do not count, so distances cut at a radius give the linkage of the known edges. Equal means are
+    taken in a scrambled order of the pairs: in the order of their ids, a line of equally spaced sites
+    would merge one pair per round.
     """
     pairs = cut(_undirected(dist, symmetric), "pairs")
     logs: list[DataFrame] = []
     while not pairs.isEmpty():
         mean = F.col("s") / F.col("n")
         ends = pairs.select(mean.alias("height"), "a", "b", F.explode(F.array("a", "b")).alias("end"))
-        chosen = ends.groupBy("end").agg(F.min(F.struct("height", "a", "b")).alias("m"))
+        chosen = ends.groupBy("end").agg(F.min(F.struct("height", F.xxhash64("a", "b"), "a", "b")).alias("m"))
         merges = chosen.groupBy(
             F.col("m.height").alias("height"), F.col("m.a").alias("lo"), F.col("m.b").alias("hi")
         ).agg(F.count(F.lit(1)).alias("votes"))
         merges = cut(merges.filter(F.col("votes") == 2).select("height", "lo", "hi"), "merges")
-        logs.append(merges)
+        logs.append(merges.select(F.lit(len(logs)).alias("round"), F.col("height") / UNIT, "lo", "hi"))
         renamed = pairs
         for end in ("a", "b"):
             into = merges.select(F.col("hi").alias(end), F.col("lo").alias("into"))
@@ -61,18 +63,18 @@ def linkage_merges(dist: DataFrame, symmetric: str = "upper") -> DataFrame:
             .agg(F.sum("s").alias("s"), F.sum("n").alias("n")),
             "pairs",
         )
-    if not logs:
-        return pairs.select((F.col("s") / F.col("n")).alias("height"), F.col("a").alias("lo"), F.col("b").alias("hi"))
-    log = logs[0]
-    for more in logs[1:]:
+    log = dist.sparkSession.createDataFrame([], "round int, height double, lo bigint, hi bigint")
+    for more in logs:
         log = log.union(more)
-    return log.select((F.col("height") / UNIT).alias("height"), "lo", "hi")
+    return log
 
 
 def cut_tree(ids: DataFrame, merges: DataFrame, n_clusters: int) -> DataFrame:
-    """Labels after the ids - n_clusters lowest merges; a cluster is named by its least member."""
-    merges = cut(merges, "merges")
-    order = [F.col("height"), F.col("lo"), F.col("hi")]
+    """Labels after the ids - n_clusters lowest merges; a cluster is named by its least member.
+
+    Of equally high merges the one of the earlier round comes first, so no merge precedes its parts.
+    """
+    order = [F.col("height"), F.col("round"), F.col("lo"), F.col("hi")]
     ranked = running_total(merges, F.lit(1).cast("bigint"), order, out="rank")
     keep = ids.agg(F.count(F.lit(1)) - n_clusters).scalar()
     parent = ranked.filter(F.col("rank") <= keep).select(F.col("hi").alias("idx"), F.col("lo").alias("cluster"))

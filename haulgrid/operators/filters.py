@@ -61,12 +61,12 @@ def even_sample(sites: DataFrame, n: int) -> DataFrame:
     """Sites at the n indices that divide 0..max evenly, truncated to whole indices."""
     if n < 2:
         return sites.filter(F.col("idx") == 0)
-    top = sites.agg(F.max("idx")).scalar()
-    step = top / F.lit(float(n - 1))
-    near = F.ceil(F.try_divide(F.col("idx"), step))
+    top = sites.agg(F.max("idx")).first()[0] or 0
+    step = top / (n - 1)
+    near = F.ceil(F.try_divide(F.col("idx"), F.lit(step)))
     hit = F.col("idx") == top
     for k in (near - 1, near, near + 1):
-        hit = hit | (F.floor(k * step) == F.col("idx")) & (k >= 0) & (k < n - 1)
+        hit = hit | (F.floor(k * F.lit(step)) == F.col("idx")) & (k >= 0) & (k < n - 1)
     return sites.filter(hit)
 
 

@@ -63,7 +63,7 @@ def nearest_location(points: DataFrame, locations: DataFrame, other_only: bool =
     crowd. With `other_only` a location equal to the point does not count.
     """
     celled, depth = _with_cells(locations)
-    found = points.select("plat", "plon", F.lit(0).cast("bigint").alias("cx"), F.lit(0).cast("bigint").alias("cy"))
+    found = points
     for level in range(1, depth + 1):
         shift = 2 * (depth - level)
         cells = celled.groupBy(
@@ -72,10 +72,13 @@ def nearest_location(points: DataFrame, locations: DataFrame, other_only: bool =
             F.min("lat").alias("lat_lo"), F.max("lat").alias("lat_hi"),
             F.min("lon").alias("lon_lo"), F.max("lon").alias("lon_hi"), F.count(F.lit(1)).alias("n"),
         )
-        cells = cells.withColumn("cx", F.shiftright("kx", 2)).withColumn("cy", F.shiftright("ky", 2))
-        if level <= BROADCAST_LEVELS:
-            cells = F.broadcast(cells)
-        step = found.join(cells, ["cx", "cy"])
+        if level == 1:
+            # At most 16 cells, as one array.
+            first = cells.agg(F.collect_list(F.struct(*cells.columns))).scalar()
+            step = found.select("plat", "plon", F.inline(first))
+        else:
+            cells = cells.withColumn("cx", F.shiftright("kx", 2)).withColumn("cy", F.shiftright("ky", 2))
+            step = found.join(F.broadcast(cells) if level <= BROADCAST_LEVELS else cells, ["cx", "cy"])
         if other_only:
             inside = F.col("plat").between(F.col("lat_lo"), F.col("lat_hi")) & F.col("plon").between(
                 F.col("lon_lo"), F.col("lon_hi")

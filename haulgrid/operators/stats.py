@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from haulgrid.functions.scale import quantiles, running_total
+from haulgrid.operators.reshape import union_rows
 from haulgrid.params import Params
 from haulgrid.schemas import BIOMASS, PELLET
 
@@ -29,11 +30,9 @@ def describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
             *[F.max(F.when(F.col("prob") == q, F.col("value"))).alias(name)
               for q, name in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))],
         )
-        rows.append(base.join(cuts, "measure"))
-    out = rows[0]
-    for row in rows[1:]:
-        out = out.unionByName(row)
-    return out.select("measure", "n", "mean", "std", "min", "q25", "q50", "q75", "max")
+        rows += [base, cuts]
+    names = ("n", "mean", "std", "min", "q25", "q50", "q75", "max")
+    return union_rows(*rows).groupBy("measure").agg(*[F.max(c).alias(c) for c in names])
 
 
 def value_counts(df: DataFrame, col: str) -> DataFrame:

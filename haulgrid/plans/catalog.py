@@ -46,6 +46,11 @@ def _year(spark: SparkSession, sf: str) -> DataFrame:
     return b.history(spark, sf).filter(F.col("yr") == YEAR).select("idx", "biomass")
 
 
+def _history(spark: SparkSession, sf: str) -> DataFrame:
+    """The harvest as a stored table, for queries that read it more than once."""
+    return cut(b.history(spark, sf), "history")
+
+
 def _flows(spark: SparkSession, sf: str) -> DataFrame:
     """The flows as a stored table, for queries that read them more than once."""
     return cut(b.flows(spark, sf), "flows")
@@ -173,7 +178,7 @@ def recover_index(spark, sf):
 
 @query
 def lag_forecast(spark, sf):
-    history = b.history(spark, sf)
+    history = _history(spark, sf)
     expected = rs.lag_forecast(history).withColumnRenamed("biomass", "expected")
     return history.join(expected, ["idx", "yr"])
 
@@ -208,8 +213,8 @@ def two_hop_arcs(spark, sf):
 
 @query
 def union_rows(spark, sf):
-    history = b.history(spark, sf).withColumn("origin", F.lit("history"))
-    return rs.union_rows(history, rs.lag_forecast(b.history(spark, sf)))
+    history = _history(spark, sf)
+    return rs.union_rows(history.withColumn("origin", F.lit("history")), rs.lag_forecast(history))
 
 
 @query
@@ -371,8 +376,9 @@ def value_counts(spark, sf):
 
 @query
 def site_mean(spark, sf):
-    last = st.site_mean(b.history(spark, sf), b.YEARS).withColumnRenamed("biomass", "last_two")
-    return rounded(st.site_mean(b.history(spark, sf)).join(last, "idx", "left"), "biomass", "last_two")
+    history = _history(spark, sf)
+    last = st.site_mean(history, b.YEARS).withColumnRenamed("biomass", "last_two")
+    return rounded(st.site_mean(history).join(last, "idx", "left"), "biomass", "last_two")
 
 
 def _catchments(spark, sf):
@@ -459,7 +465,7 @@ def refinery_load_band(spark, sf):
 
 @query
 def forecast_mae(spark, sf):
-    history = b.history(spark, sf)
+    history = _history(spark, sf)
     return rounded(au.forecast_mae(history, rs.lag_forecast(history)), "mae")
 
 
@@ -476,7 +482,7 @@ def underuse_cost(spark, sf):
 
 @query
 def total_cost(spark, sf):
-    flows, history = _flows(spark, sf), b.history(spark, sf)
+    flows, history = _flows(spark, sf), _history(spark, sf)
     cost = au.total_cost(flows, b.distances_of(spark, sf, flows), history, rs.lag_forecast(history), P)
     return rounded(cost, "transport", "mae", "underuse", "cost", digits=4)
 
@@ -643,7 +649,7 @@ def flow_totals(spark, sf):
 
 @query
 def supply_chain_plan(spark, sf):
-    history = cut(b.history(spark, sf), "history")
+    history = _history(spark, sf)
     planned = plan_supply_chain(
         b.arcs(spark, sf), lambda ids: b.arcs(spark, sf, 150.0, ids), history, _scaled(spark, sf), n_clusters=3
     )

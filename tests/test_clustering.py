@@ -56,6 +56,13 @@ def test_same_cuts(spark, instance, k):
     assert [got[n] for n in range(40)] == _labels_after(_sequential(d), 40, k)
 
 
+def test_equal_distances_take_few_rounds(spark):
+    """A line of equally spaced sites, each knowing its neighbours only."""
+    line = spark.range(256).selectExpr("id as i", "id + 1 as j", "1e0 as d").filter("j < 256")
+    log = cl.linkage_merges(line)
+    assert log.count() == 255 and log.agg(F.max("round")).first()[0] < 24
+
+
 @pytest.mark.parametrize("how", ["mean", "max"])
 def test_asymmetric_input(spark, how):
     dist = spark.createDataFrame([(0, 1, 2.0), (1, 0, 4.0), (0, 2, 9.0), (2, 0, 9.0), (1, 2, 8.0), (2, 1, 8.0)], "i bigint, j bigint, d double")

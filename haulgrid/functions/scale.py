@@ -11,6 +11,8 @@ from haulgrid.functions.lineage import cut
 
 # At most this many keys can each hold more than 1/HOT_KEYS of the rows.
 HOT_KEYS = 10_000
+# Rows of a lookup table that are still broadcast: about 100 MB of a few numbers each.
+BROADCAST_ROWS = 2_000_000
 
 
 def running_total(
@@ -51,6 +53,16 @@ def running_total(
     )
 
 
+def lookup_join(big: DataFrame, small: DataFrame, on: Sequence[str], stored: bool = False) -> DataFrame:
+    """Inner join of a large table with a lookup table of a few narrow columns.
+
+    The lookup table is written and counted: up to BROADCAST_ROWS rows it is broadcast and `big` is
+    not shuffled, beyond that both sides are. `stored` tells that it is a written table already.
+    """
+    table = small if stored else cut(small, "lookup")
+    return big.join(F.broadcast(table) if table.count() <= BROADCAST_ROWS else table, list(on))
+
+
 def _cuts(df: DataFrame, on: Sequence[str], block: int, name: str) -> DataFrame:
     counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
     share = counts.agg(F.sum("_n") / HOT_KEYS).scalar()

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from haulgrid.functions.lineage import cut, written
-from haulgrid.functions.scale import running_total
+from haulgrid.functions.scale import BROADCAST_ROWS, lookup_join, running_total
 from haulgrid.operators.clustering import cluster_arcs
 from haulgrid.params import LOCATION_YEAR, Params
 from haulgrid.schemas import BIOMASS, DEPOT, PELLET, REFINERY
@@ -18,32 +18,43 @@ from haulgrid.schemas import BIOMASS, DEPOT, PELLET, REFINERY
 BANDS = 256
 # A plant with up to this many arcs is sorted by one task; beyond it ranges are used.
 TASK_ROWS = 2_000_000
+# Arcs from which on a table is worth a written lookup table to leave it unshuffled.
+LARGE_ROWS = 5_000_000
+# Plants that are listed in a scan filter rather than joined.
+LISTED = 1_000
 # Taken off a used supply, so that rounding never ships more than a site has.
 ROUNDING = 1e-9
 
 
 @dataclass(frozen=True)
 class Spread:
-    """Range of an arc table's distances, and whether its plants are too large to sort in one task each."""
+    """Range of an arc table's distances, its rows, and the rows of its largest plant."""
 
     lo: float
     hi: float
-    ranged: bool
+    rows: int
+    largest: int
 
 
 def spread_of(arcs: DataFrame, keys: Sequence[str]) -> Spread:
     per_plant = arcs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("lo"), F.max("d").alias("hi"))
-    row = per_plant.agg(F.max("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).first()
-    return Spread(row["lo"] or 0.0, row["hi"] or 0.0, (row["n"] or 0) > TASK_ROWS)
+    row = per_plant.agg(
+        F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("rows"), F.max("n").alias("largest")
+    ).first()
+    return Spread(row["lo"] or 0.0, row["hi"] or 0.0, row["rows"] or 0, row["largest"] or 0)
 
 
-def fill_by_rank(arcs: DataFrame, cap: float, keys: Sequence[str], rank: Column, spread: Spread) -> DataFrame:
+def fill_by_rank(
+    arcs: DataFrame, cap: float, keys: Sequence[str], rank: Column, spread: Spread, whole: bool = True
+) -> DataFrame:
     """Cheapest way to fill every plant: take `supply` in the order of (`rank`, `i`) up to `cap`.
 
     Adds `b`, the amount shipped, and keeps arcs that ship. Supply is first summed per plant and
-    band of `rank` (`spread` gives its range); whole bands beyond the capacity leave before anything is
-    sorted, and the running sum inside the last bands starts from the band totals. If `spread.ranged`,
-    the arcs that are left are summed in sorted ranges instead of one window per plant and band.
+    band of `rank` (`spread` gives its range). That gives one small row per plant with the bands it
+    needs and the supply before each; arcs in other bands leave by a lookup of that row before they
+    are sorted, and the running sums inside the needed bands start from it. Where `arcs` is the `whole`
+    of a large table, the lookup is one that does not shuffle it. Plants with more than TASK_ROWS arcs
+    have their sums taken in sorted ranges instead of one window per plant and band.
     """
     width = max(spread.hi - spread.lo, 1e-9) / BANDS
     place = F.floor((rank - spread.lo) / width)
@@ -55,11 +66,14 @@ def fill_by_rank(arcs: DataFrame, cap: float, keys: Sequence[str], rank: Column,
         .agg(F.sum("supply").alias("_sum"))
         .withColumn("_start", F.coalesce(F.sum("_sum").over(nearer), F.lit(0.0)))
         .filter(F.col("_start") < cap)
-        .drop("_sum")
     )
-    needed = ranked.join(bands, [*keys, "_band"])
+    starts = F.map_from_entries(F.collect_list(F.struct("_band", "_start"))).alias("_starts")
+    plants = bands.groupBy(*keys).agg(starts)
+    large = whole and spread.rows > LARGE_ROWS
+    met = lookup_join(ranked, plants, keys) if large else ranked.join(plants, list(keys))
+    needed = met.withColumn("_start", F.try_element_at("_starts", "_band")).filter(F.col("_start").isNotNull()).drop("_starts")
     group = [*keys, "_band"]
-    if spread.ranged:
+    if spread.largest > TASK_ROWS:
         summed = running_total(needed, F.col("supply"), [F.col("_rank"), F.col("i")], keys=group, before="_in_band")
     else:
         order = Window.partitionBy(*group).orderBy("_rank", "i")
@@ -79,7 +93,7 @@ def fill_single_depot(
     """
     arcs = dist if depots is None else dist.join(depots.select(F.col("idx").alias("j")), "j", "left_semi")
     supply = forecast.filter(F.col("biomass") > 0).select(F.col("idx").alias("i"), F.col("biomass").alias("supply"))
-    open_arcs = arcs.select("i", "j", "d").join(supply, "i")
+    open_arcs = lookup_join(arcs.select("i", "j", "d"), supply, ["i"])
     filled = fill_by_rank(open_arcs, cap, ["j"], F.col("d"), spread_of(arcs, ["j"]))
     return filled.select("i", "j", "d", "b")
 
@@ -115,7 +129,8 @@ def _greedy(arcs: DataFrame, supply: DataFrame, cap: float, limits: DataFrame, f
     keys, columns = ["cluster", "j", "yr"], ["cluster", "i", "j", "yr", "d", "b"]
     supply = cut(supply.filter(F.col("supply") > 0), "supply")
     years = limits.select("yr").distinct().count()
-    fills = cut(fill_by_rank(arcs.join(supply, ["cluster", "i"]), cap, keys, F.col("d"), spread), "fills")
+    offered = lookup_join(arcs, supply, ["cluster", "i"], stored=True)
+    fills = cut(fill_by_rank(offered, cap, keys, F.col("d"), spread), "fills")
     moved_schema = fills.select(*columns).schema
     active = limits.select("cluster").distinct()
     picked: list[str] = []
@@ -142,10 +157,12 @@ def _greedy(arcs: DataFrame, supply: DataFrame, cap: float, limits: DataFrame, f
         spent = moved.groupBy("cluster", "i", "yr").agg((F.sum("b") + ROUNDING).alias("spent"))
         left = supply.join(spent, ["cluster", "i", "yr"], "left")
         left = left.withColumn("supply", F.col("supply") - F.coalesce("spent", F.lit(0.0))).filter(F.col("supply") > 0).drop("spent")
-        again = arcs.join(stale.select("cluster", "j").distinct(), ["cluster", "j"], "left_semi")
+        # A short list of plants becomes a filter the scan of sorted arcs can skip by.
+        ids = [r["j"] for r in stale.select("j").distinct().limit(LISTED + 1).collect()]
+        again = arcs.filter(F.col("j").isin(ids)) if len(ids) <= LISTED else arcs
         again = again.join(left, ["cluster", "i"]).join(stale, keys, "left_semi")
         standing = fills.join(chosen.select("cluster", "j"), ["cluster", "j"], "left_anti").join(stale, keys, "left_anti")
-        fills = cut(standing.unionByName(fill_by_rank(again, cap, keys, F.col("d"), spread)), "fills")
+        fills = cut(standing.unionByName(fill_by_rank(again, cap, keys, F.col("d"), spread, whole=False)), "fills")
     if not picked:
         return fills.select(*columns).filter(F.lit(False))
     return spark.read.schema(moved_schema).parquet(*picked)
@@ -170,7 +187,7 @@ def open_depots(
 
     With `labels(idx, cluster)` and `quota(cluster, quota)` each cluster is planned on its own arcs,
     all of them in the same jobs; without, one plan of at most `max_depots` covers all sites. `dist`
-    is read again as plants open, so it should be a stored table.
+    is read again as plants open, so it should be a stored table, best sorted by `j`.
     """
     rows = forecast.filter(F.col("yr").isin(*p.years)).select(F.col("idx").alias("i"), "yr", F.col("biomass").alias("supply"))
     if labels is None:
@@ -179,7 +196,8 @@ def open_depots(
         allowed = None
         rounds = p.max_depots
     else:
-        arcs = cut(cluster_arcs(dist, labels, quota), "arcs")
+        arcs = cluster_arcs(dist, labels, quota).repartitionByRange("cluster", "j").sortWithinPartitions("cluster", "j")
+        arcs = cut(arcs, "arcs")
         supply = rows.join(labels.select(F.col("idx").alias("i"), "cluster"), "i")
         allowed = quota.filter(F.col("quota") > 0).select("cluster", "quota")
         rounds = allowed.agg(F.max("quota")).first()[0] or 0
@@ -231,7 +249,7 @@ def allocation_bound(dist: DataFrame, forecast: DataFrame, p: Params, upper: flo
 
     Lagrangian relaxation of site supply and yearly coverage (Held, Wolfe and Crowder 1974; Fisher 1981):
     each depot becomes a fractional knapsack, filled by `fill_by_rank` on reduced costs; the multipliers
-    take subgradient steps. The driver keeps one number per year and step.
+    take subgradient steps. The driver sees the `max_depots` best depots and sums per year.
     """
     cap = p.depot_cap - p.margin
     years = list(p.years)
@@ -243,6 +261,7 @@ def allocation_bound(dist: DataFrame, forecast: DataFrame, p: Params, upper: flo
     )
     arcs = dist.select("i", "j", "d").filter(F.col("d") * p.factor < 1.0)
     spread = spread_of(arcs, ["j"])
+    few = sites.count() <= BROADCAST_ROWS
     total = {r["yr"]: r["t"] for r in sites.groupBy("yr").agg(F.sum("supply").alias("t")).collect()}
     need = {y: p.min_share * total.get(y, 0.0) + p.margin for y in years}
     reward = {y: 0.0 for y in years}
@@ -252,18 +271,16 @@ def allocation_bound(dist: DataFrame, forecast: DataFrame, p: Params, upper: flo
         for y in years:
             mu = F.when(F.col("yr") == y, F.lit(reward[y])).otherwise(mu)
         cost = F.lit(p.factor) * F.col("d") - 1.0 + F.col("price") - mu
-        priced = arcs.join(sites, "i").withColumn("cost", cost).filter(F.col("cost") < 0)
-        costs = Spread(p.factor * spread.lo - 1.0 - max(reward.values()), 0.0, spread.ranged)
+        priced = arcs.join(F.broadcast(sites) if few else sites, "i").withColumn("cost", cost).filter(F.col("cost") < 0)
+        costs = replace(spread, lo=p.factor * spread.lo - 1.0 - max(reward.values()), hi=0.0)
         filled = fill_by_rank(priced, cap, ["j", "yr"], F.col("cost"), costs)
         filled = cut(filled.select("i", "j", "yr", "cost", "b"), "knapsack")
         plants = filled.groupBy("j").agg((F.sum(F.col("cost") * F.col("b")) + cap * len(years)).alias("k"))
-        chosen = cut(plants.filter(F.col("k") < 0).orderBy("k", "j").limit(p.max_depots), "plants")
-        value = chosen.agg(F.sum("k")).first()[0] or 0.0
-        taken = filled.join(chosen.select("j"), "j", "left_semi").groupBy("i", "yr").agg(F.sum("b").alias("taken"))
-        state = cut(
-            sites.join(taken, ["i", "yr"], "left").withColumn("slope", F.coalesce("taken", F.lit(0.0)) - F.col("supply")).drop("taken"),
-            "slopes",
-        )
+        chosen = plants.filter(F.col("k") < 0).orderBy("k", "j").limit(p.max_depots).collect()
+        value = sum(r["k"] for r in chosen)
+        taken = filled.filter(F.col("j").isin([r["j"] for r in chosen])).groupBy("i", "yr").agg(F.sum("b").alias("taken"))
+        slope = F.coalesce("taken", F.lit(0.0)) - F.col("supply")
+        state = cut(sites.join(taken, ["i", "yr"], "left").withColumn("slope", slope).drop("taken"), "slopes")
         pull = F.when((F.col("price") > 0) | (F.col("slope") > 0), F.col("slope") * F.col("slope")).otherwise(0.0)
         sums = {
             r["yr"]: r
@@ -287,7 +304,7 @@ def allocation_bound(dist: DataFrame, forecast: DataFrame, p: Params, upper: flo
         size = theta * (upper - value) / norm
         reward = {y: max(0.0, reward[y] + size * lack[y]) for y in years}
         price = F.greatest(F.col("price") + size * F.col("slope"), F.lit(0.0))
-        sites = cut(state.select("i", "yr", "supply", price.alias("price")), "prices")
+        sites = state.select("i", "yr", "supply", price.alias("price"))
     gap = F.try_divide(F.lit(upper) - F.lit(best), F.lit(upper))
     return dist.sparkSession.range(1).select(F.lit(best).alias("bound"), F.lit(upper).alias("upper"), gap.alias("gap"))
 

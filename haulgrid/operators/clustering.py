@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from haulgrid.functions.lineage import cut
-from haulgrid.functions.scale import running_total
+from haulgrid.functions.scale import BROADCAST_ROWS, lookup_join, running_total
 
 # Distances are summed as whole numbers of this fraction, so sums do not depend on their order.
 UNIT = 10_000
@@ -53,9 +53,10 @@ def linkage_merges(dist: DataFrame, symmetric: str = "upper") -> DataFrame:
         ).agg(F.count(F.lit(1)).alias("votes"))
         merges = cut(merges.filter(F.col("votes") == 2).select("height", "lo", "hi"), "merges")
         logs.append(merges.select(F.lit(len(logs)).alias("round"), F.col("height") / UNIT, "lo", "hi"))
-        renamed = pairs
+        renamed, few = pairs, merges.count() <= BROADCAST_ROWS
         for end in ("a", "b"):
             into = merges.select(F.col("hi").alias(end), F.col("lo").alias("into"))
+            into = F.broadcast(into) if few else into
             renamed = renamed.join(into, end, "left").withColumn(end, F.coalesce("into", end)).drop("into")
         pairs = cut(
             renamed.filter(F.col("a") != F.col("b"))
@@ -101,9 +102,10 @@ def average_linkage(dist: DataFrame, n_clusters: int, symmetric: str = "upper")
 
 def _inner_arcs(dist: DataFrame, labels: DataFrame) -> DataFrame:
     """Arcs with both ends in one cluster. Each arc meets at most one label per end."""
-    ends = dist
+    ends, stored = dist, cut(labels.select("idx", "cluster"), "labels")
     for side in ("i", "j"):
-        ends = ends.join(labels.select(F.col("idx").alias(side), F.col("cluster").alias(f"c_{side}")), side)
+        own = stored.select(F.col("idx").alias(side), F.col("cluster").alias(f"c_{side}"))
+        ends = lookup_join(ends, own, [side], stored=True)
     same = ends.filter(F.col("c_i") == F.col("c_j"))
     return same.select(F.col("c_i").alias("cluster"), "i", "j", "d")
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from haulgrid.functions.keys import degree_distance
-from haulgrid.functions.scale import split_join
+from haulgrid.functions.scale import lookup_join, split_join
 
 # Nearest-location descent: 4 x 4 children per cell, about this many locations in a last cell.
 LEAF = 32
@@ -192,7 +192,7 @@ def distance_asymmetry(dist: DataFrame) -> DataFrame:
 
 def attach_measure(edges: DataFrame, measure: DataFrame, on: str = "j") -> DataFrame:
     """Attach `measure(idx, …)` to the edges by site key."""
-    return edges.join(measure.withColumnRenamed("idx", on), on)
+    return lookup_join(edges, measure.withColumnRenamed("idx", on), [on])
 
 
 def pair_distances(pairs: DataFrame, sites: DataFrame) -> DataFrame:

@@ -57,8 +57,8 @@ def _flows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _arcs(spark: SparkSession, sf: str, max_d: float = 60.0) -> DataFrame:
-    """The arcs as a stored table, for queries that read them more than once."""
-    return cut(b.arcs(spark, sf, max_d), "arcs")
+    """The arcs as a stored table sorted by destination, for queries that read them more than once."""
+    return cut(b.arcs(spark, sf, max_d).repartitionByRange("j").sortWithinPartitions("j"), "arcs")
 
 
 def _open_ids(spark: SparkSession, sf: str) -> DataFrame:

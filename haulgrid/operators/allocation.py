@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from haulgrid.functions.lineage import cut, written
 from haulgrid.functions.scale import BROADCAST_ROWS, lookup_join, running_total
 from haulgrid.operators.clustering import cluster_arcs
-from haulgrid.params import LOCATION_YEAR, Params
+from haulgrid.params import DIRECT_RADIUS, LOCATION_YEAR, Params
 from haulgrid.schemas import BIOMASS, DEPOT, PELLET, REFINERY
 
 # Distance bands a plant's arcs are grouped in before they are sorted.
@@ -226,7 +226,7 @@ def open_refineries(dist: DataFrame, depot_flows: DataFrame, p: Params) -> DataF
     return _flow_rows(moved, PELLET, REFINERY)
 
 
-def refinery_direct(dist: DataFrame, forecast: DataFrame, p: Params, max_d: float = 100.0) -> DataFrame:
+def refinery_direct(dist: DataFrame, forecast: DataFrame, p: Params, max_d: float = DIRECT_RADIUS) -> DataFrame:
     """One-tier plan: sites ship straight to refineries within `max_d`."""
     one_tier = replace(p, depot_cap=p.refinery_cap, max_depots=p.max_refineries)
     flows = open_depots(dist.filter(F.col("d") <= max_d), forecast, one_tier)

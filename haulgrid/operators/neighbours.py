@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from haulgrid.functions.keys import degree_distance
 from haulgrid.functions.scale import lookup_join, split_join
+from haulgrid.params import CURVE_POINTS, CURVE_RADIUS, SPACING_FLAG
 
 # Nearest-location descent: 4 x 4 children per cell, about this many locations in a last cell.
 LEAF = 32
@@ -124,7 +125,7 @@ def cells_with_points(sites: DataFrame, mapped: DataFrame) -> DataFrame:
     return joined.filter(F.col("lat_point").isNotNull())
 
 
-def neighbour_spacing(sites: DataFrame, flag_over: float = 0.079621) -> DataFrame:
+def neighbour_spacing(sites: DataFrame, flag_over: float = SPACING_FLAG) -> DataFrame:
     """Distance from each site to the nearest site elsewhere, and whether it exceeds `flag_over`."""
     places = _locations(sites)
     where = places.select(F.col("lat").alias("plat"), F.col("lon").alias("plon"))
@@ -213,7 +214,7 @@ def catchment_sum(dist: DataFrame, measure: DataFrame, r: float) -> DataFrame:
     return near.groupBy(F.col("i").alias("center")).agg(F.sum("biomass").alias("biomass"))
 
 
-def catchment_curve(dist: DataFrame, measure: DataFrame, max_r: float = 50.0, points: int = 20) -> DataFrame:
+def catchment_curve(dist: DataFrame, measure: DataFrame, max_r: float = CURVE_RADIUS, points: int = CURVE_POINTS) -> DataFrame:
     """Catchment sums at evenly spaced radii from 0 to `max_r`, one row per centre and radius.
 
     One join and one aggregation fill all radii of a centre; `unpivot` turns them into rows.

@@ -15,6 +15,15 @@ BALANCE_TOLERANCE = 1e-3
 PLANNING_MARGIN = 1e-2
 LOCATION_YEAR = 20182019
 
+# Fixed values of the analyses: quota thresholds (lower, upper), catchments, neighbour spacing, one-tier plan.
+DEPOT_QUOTA = (8_000, 15_000)
+DEPOT_QUOTA_OLD = (5_000, 17_000)
+REFINERY_QUOTA = (20_000, 87_000)
+CATCHMENT_BAND = (15_000.0, 20_000.0)
+CURVE_RADIUS, CURVE_POINTS = 50.0, 20
+SPACING_FLAG = 0.079621
+DIRECT_CAP, DIRECT_RADIUS = 5_000.0, 100.0
+
 
 @dataclass(frozen=True)
 class Params:

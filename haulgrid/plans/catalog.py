@@ -17,6 +17,7 @@ from haulgrid.operators import neighbours as nb
 from haulgrid.operators import reshape as rs
 from haulgrid.operators import stats as st
 from haulgrid.operators import weather as wx
+from haulgrid import params as fixed
 from haulgrid.params import Params
 from haulgrid.plans import bindings as b
 from haulgrid.plans.supply_chain import plan_supply_chain
@@ -70,7 +71,7 @@ def _panel(spark: SparkSession, sf: str) -> DataFrame:
     return rs.pivot_years(b.history(spark, sf), ["idx"], "yr", "biomass", ALL_YEARS)
 
 
-# Sources and sinks: each writes what the reference's file would hold, then reads it.
+# Sources and sinks: each writes a file of the expected form from the tables, then reads it.
 
 
 @query
@@ -397,7 +398,7 @@ def catchment_curve(spark, sf):
 
 @query
 def catchment_band(spark, sf):
-    return nb.catchment_band(_catchments(spark, sf), 15_000.0, 20_000.0)
+    return nb.catchment_band(_catchments(spark, sf), *fixed.CATCHMENT_BAND)
 
 
 @query
@@ -450,7 +451,7 @@ def cluster_profile(spark, sf):
 
 
 def _bounded(spark, sf):
-    return st.quota_bounds(st.depot_quota(_profile(spark, sf), 5_000, 17_000, "threshold"), 17_000, b.YEARS)
+    return st.quota_bounds(st.depot_quota(_profile(spark, sf), *fixed.DEPOT_QUOTA_OLD, "threshold"), fixed.DEPOT_QUOTA_OLD[1], b.YEARS)
 
 
 @query
@@ -524,9 +525,9 @@ def depot_quota(spark, sf):
         return st.depot_quota(profile, lower, upper, rule).withColumnRenamed("quota", name).select("cluster", name)
 
     return (
-        quota(8_000, 15_000, "remainder", "depots")
-        .join(quota(5_000, 17_000, "threshold", "depots_old"), "cluster")
-        .join(quota(20_000, 87_000, "threshold", "refineries"), "cluster")
+        quota(*fixed.DEPOT_QUOTA, "remainder", "depots")
+        .join(quota(*fixed.DEPOT_QUOTA_OLD, "threshold", "depots_old"), "cluster")
+        .join(quota(*fixed.REFINERY_QUOTA, "threshold", "refineries"), "cluster")
     )
 
 
@@ -547,7 +548,7 @@ def balanced_blocks(spark, sf):
 
 @query
 def per_cluster_arcs(spark, sf):
-    quota = st.depot_quota(_profile(spark, sf), 8_000, 15_000)
+    quota = st.depot_quota(_profile(spark, sf), *fixed.DEPOT_QUOTA)
     return cl.cluster_arcs(b.arcs(spark, sf), b.nation_labels(spark, sf), quota)
 
 
@@ -581,7 +582,7 @@ def open_depots_by_cluster(spark, sf):
     arcs, forecast = _arcs(spark, sf), cut(b.forecast(spark, sf), "forecast")
     labels = b.blocks(spark, sf)
     profile = st.cluster_profile(forecast, labels, b.YEARS, cl.intra_max(arcs, labels))
-    quota = cut(st.depot_quota(profile, 8_000, 15_000).select("cluster", "quota"), "quota")
+    quota = cut(st.depot_quota(profile, *fixed.DEPOT_QUOTA).select("cluster", "quota"), "quota")
     return al.open_depots(arcs, forecast, P, labels, quota)
 
 
@@ -595,7 +596,7 @@ def open_refineries(spark, sf):
 
 @query
 def refinery_direct(spark, sf):
-    return al.refinery_direct(_arcs(spark, sf), cut(b.forecast(spark, sf), "forecast"), Params(years=b.YEARS, refinery_cap=5_000.0))
+    return al.refinery_direct(_arcs(spark, sf), cut(b.forecast(spark, sf), "forecast"), Params(years=b.YEARS, refinery_cap=fixed.DIRECT_CAP))
 
 
 @query

@@ -63,8 +63,11 @@ def lookup_join(big: DataFrame, small: DataFrame, on: Sequence[str], stored: boo
     return big.join(F.broadcast(table) if table.count() <= BROADCAST_ROWS else table, list(on))
 
 
-def _cuts(df: DataFrame, on: Sequence[str], block: int, name: str) -> DataFrame:
-    counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
+def key_counts(df: DataFrame, on: Sequence[str]) -> DataFrame:
+    return df.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
+
+
+def _cuts(counts: DataFrame, on: Sequence[str], block: int, name: str) -> DataFrame:
     share = counts.agg(F.sum("_n") / HOT_KEYS).scalar()
     size = F.greatest(F.lit(float(block)), F.coalesce(share, F.lit(0.0)))
     return counts.filter(F.col("_n") > size).select(
@@ -72,16 +75,23 @@ def _cuts(df: DataFrame, on: Sequence[str], block: int, name: str) -> DataFrame:
     )
 
 
-def split_join(left: DataFrame, right: DataFrame, on: Sequence[str], block: int = 5_000) -> DataFrame:
+def split_join(
+    left: DataFrame,
+    right: DataFrame,
+    on: Sequence[str],
+    block: int = 5_000,
+    counts: tuple[DataFrame, DataFrame] | None = None,
+) -> DataFrame:
     """Inner many-to-many equi-join that cuts hot keys into blocks on both sides.
 
     A key with more than `block` rows on a side is hashed into blocks of about that size there, and
     the other side is repeated once per block, so one key becomes many block pairs. The table of
-    hot keys holds at most 2 * HOT_KEYS rows, which is what makes it safe to broadcast.
+    hot keys holds at most 2 * HOT_KEYS rows, which is what makes it safe to broadcast. `counts` are the
+    `key_counts` of both sides, for callers that know a cheaper way to them.
     """
     on = list(on)
-    hot = _cuts(left, on, block, "_lcut").join(_cuts(right, on, block, "_rcut"), on, "full_outer")
-    hot = F.broadcast(hot)
+    n_left, n_right = counts or (key_counts(left, on), key_counts(right, on))
+    hot = F.broadcast(_cuts(n_left, on, block, "_lcut").join(_cuts(n_right, on, block, "_rcut"), on, "full_outer"))
 
     def blocks(df: DataFrame, own: str, other: str, mine: str, theirs: str) -> DataFrame:
         cuts_own, cuts_other = F.coalesce(own, F.lit(1)), F.coalesce(other, F.lit(1))

@@ -236,11 +236,11 @@ def refinery_direct(dist: DataFrame, forecast: DataFrame, p: Params, max_d: floa
 
 def plan_objective(flows: DataFrame, dist: DataFrame, p: Params) -> DataFrame:
     """Objective of a depot plan: weighted transport minus biomass moved plus capacity opened, all years."""
-    moved = flows.filter(F.col("data_type") == BIOMASS)
-    paid = moved.join(dist.select(F.col("i").alias("src"), F.col("j").alias("dst"), "d"), ["src", "dst"])
+    moved = flows.filter(F.col("data_type") == BIOMASS).select(F.col("src").alias("i"), F.col("dst").alias("j"), "value")
+    paid = lookup_join(dist.select("i", "j", "d"), moved, ["i", "j"])
     cap = (p.depot_cap - p.margin) * len(p.years)
     return paid.agg(
-        (F.sum((p.factor * F.col("d") - 1) * F.col("value")) + F.count_distinct("dst") * cap).alias("objective")
+        (F.sum((p.factor * F.col("d") - 1) * F.col("value")) + F.count_distinct("j") * cap).alias("objective")
     )
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from haulgrid.functions.keys import data_type_of, name_part
+from haulgrid.functions.scale import lookup_join
 from haulgrid.operators.stats import all_loads, depot_load
 from haulgrid.params import LOCATION_YEAR, Params
 from haulgrid.schemas import BIOMASS, DEPOT, FORECAST, PELLET, REFINERY
@@ -143,11 +144,14 @@ def check_coverage(flows: DataFrame, p: Params) -> DataFrame:
 
 
 def flow_balance(flows: DataFrame) -> DataFrame:
-    """In-flow minus out-flow of every depot and year seen on either leg."""
-    into = depot_load(flows, BIOMASS, "dst").withColumnRenamed("load", "inflow")
-    out = depot_load(flows, PELLET, "src").withColumnRenamed("load", "outflow")
-    both = into.join(out, ["yr", "key"], "full_outer").fillna(0.0, ["inflow", "outflow"])
-    return both.withColumn("diff", F.col("inflow") - F.col("outflow"))
+    """In-flow minus out-flow of every depot and year seen on either leg; a missing leg is zero."""
+    kind = F.col("data_type")
+    legs = flows.filter(kind.isin(BIOMASS, PELLET))
+    depots = legs.groupBy("yr", F.when(kind == BIOMASS, F.col("dst")).otherwise(F.col("src")).alias("key")).agg(
+        F.sum(F.when(kind == BIOMASS, F.col("value")).otherwise(0.0)).alias("inflow"),
+        F.sum(F.when(kind == PELLET, F.col("value")).otherwise(0.0)).alias("outflow"),
+    )
+    return depots.withColumn("diff", F.col("inflow") - F.col("outflow"))
 
 
 def check_flow_balance(flows: DataFrame, p: Params) -> DataFrame:
@@ -229,9 +233,10 @@ def forecast_mae(actual: DataFrame, forecast: DataFrame) -> DataFrame:
 
 
 def transport_cost(flows: DataFrame, dist: DataFrame) -> DataFrame:
-    """Distance times flow per year and leg."""
+    """Distance times flow per year and leg. `dist` may be a whole matrix: it is not shuffled for a plan."""
     legs = flows.filter(F.col("data_type").isin(BIOMASS, PELLET))
-    paid = legs.join(dist, (legs["src"] == dist["i"]) & (legs["dst"] == dist["j"]))
+    legs = legs.select("data_type", "yr", F.col("src").alias("i"), F.col("dst").alias("j"), "value")
+    paid = lookup_join(dist.select("i", "j", "d"), legs, ["i", "j"])
     return paid.groupBy("yr", "data_type").agg(F.sum(F.col("d") * F.col("value")).alias("cost"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from haulgrid.functions.keys import degree_distance
-from haulgrid.functions.scale import lookup_join, split_join
+from haulgrid.functions.scale import key_counts, lookup_join, split_join
 from haulgrid.params import CURVE_POINTS, CURVE_RADIUS, SPACING_FLAG
 
 # Nearest-location descent: 4 x 4 children per cell, about this many locations in a last cell.
@@ -149,21 +149,23 @@ def radius_edges(sites: DataFrame, r: float, sources: DataFrame | None = None) -
     around it. Crowded cells are cut in blocks by `split_join`.
     """
     side = r * (1 + 1e-9)
-    cx, cy = F.floor(F.col("lat") / side), F.floor(F.col("lon") / side)
+    cx, cy = F.floor(F.col("lat") / side).alias("cx"), F.floor(F.col("lon") / side).alias("cy")
+    cell = ["cx", "cy"]
+
+    def spread(df: DataFrame, *keep: str) -> DataFrame:
+        """Each row in its own cell and in the eight around it."""
+        step = F.array(*[F.lit(k).cast("bigint") for k in (-1, 0, 1)])
+        rows = df.withColumn("dx", F.explode(step)).withColumn("dy", F.explode(step))
+        return rows.select(*keep, (F.col("cx") + F.col("dx")).alias("cx"), (F.col("cy") + F.col("dy")).alias("cy"))
+
     starts = sites if sources is None else sources
-    around = F.array(*[F.lit(k).cast("bigint") for k in (-1, 0, 1)])
-    left = (
-        starts.select(F.col("idx").alias("i"), F.col("lat").alias("lat_i"), F.col("lon").alias("lon_i"), cx.alias("x"), cy.alias("y"))
-        .withColumn("dx", F.explode(around))
-        .withColumn("dy", F.explode(around))
-        .select("i", "lat_i", "lon_i", (F.col("x") + F.col("dx")).alias("cx"), (F.col("y") + F.col("dy")).alias("cy"))
-    )
-    right = sites.select(
-        F.col("idx").alias("j"), F.col("lat").alias("lat_j"), F.col("lon").alias("lon_j"), cx.alias("cx"), cy.alias("cy")
-    )
+    left = starts.select(F.col("idx").alias("i"), F.col("lat").alias("lat_i"), F.col("lon").alias("lon_i"), cx, cy)
+    right = sites.select(F.col("idx").alias("j"), F.col("lat").alias("lat_j"), F.col("lon").alias("lon_j"), cx, cy)
+    # The spread side's rows per cell follow from those of the plain cells.
+    arriving = spread(key_counts(left, cell), "_n").groupBy(*cell).agg(F.sum("_n").alias("_n"))
+    pairs = split_join(spread(left, "i", "lat_i", "lon_i"), right, cell, counts=(arriving, key_counts(right, cell)))
     d = degree_distance(F.col("lat_i"), F.col("lon_i"), F.col("lat_j"), F.col("lon_j"))
-    pairs = split_join(left, right, ["cx", "cy"]).withColumn("d", d)
-    return pairs.filter(F.col("d") <= r).select("i", "j", "d")
+    return pairs.withColumn("d", d).filter(F.col("d") <= r).select("i", "j", "d")
 
 
 def k_nearest(dist: DataFrame, n: int) -> DataFrame:
@@ -181,13 +183,12 @@ def neighbour_candidates(dist: DataFrame, seeds: DataFrame, n: int) -> DataFrame
 
 
 def distance_asymmetry(dist: DataFrame) -> DataFrame:
-    """Pairs i < j with the distance of both directions."""
-    there = dist.filter(F.col("i") < F.col("j"))
-    back = dist.filter(F.col("i") > F.col("j")).select(
-        F.col("j").alias("i"), F.col("i").alias("j"), F.col("d").alias("d_back")
-    )
-    return there.join(back, ["i", "j"]).select(
-        "i", "j", "d", "d_back", F.abs(F.col("d") - F.col("d_back")).alias("gap")
+    """Pairs i < j with the distance of both directions, from one aggregation of the arcs."""
+    there, back = (F.max(F.when(cond, F.col("d"))) for cond in (F.col("i") < F.col("j"), F.col("i") > F.col("j")))
+    pairs = dist.filter(F.col("i") != F.col("j")).groupBy(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"))
+    both = pairs.agg(there.alias("d"), back.alias("d_back")).filter(F.col("d").isNotNull() & F.col("d_back").isNotNull())
+    return both.select(
+        F.col("a").alias("i"), F.col("b").alias("j"), "d", "d_back", F.abs(F.col("d") - F.col("d_back")).alias("gap")
     )
 
 

@@ -53,14 +53,18 @@ def running_total(
     )
 
 
-def lookup_join(big: DataFrame, small: DataFrame, on: Sequence[str], stored: bool = False) -> DataFrame:
+def lookup_join(
+    big: DataFrame, small: DataFrame, on: Sequence[str], stored: bool = False, weight: Column | None = None
+) -> DataFrame:
     """Inner join of a large table with a lookup table of a few narrow columns.
 
     The lookup table is written and counted: up to BROADCAST_ROWS rows it is broadcast and `big` is
-    not shuffled, beyond that both sides are. `stored` tells that it is a written table already.
+    not shuffled, beyond that both sides are. `stored` tells that it is a written table already;
+    `weight` is what a row counts for if it holds a collection.
     """
     table = small if stored else cut(small, "lookup")
-    return big.join(F.broadcast(table) if table.count() <= BROADCAST_ROWS else table, list(on))
+    rows = table.count() if weight is None else table.agg(F.sum(weight)).first()[0] or 0
+    return big.join(F.broadcast(table) if rows <= BROADCAST_ROWS else table, list(on))
 
 
 def key_counts(df: DataFrame, on: Sequence[str]) -> DataFrame:

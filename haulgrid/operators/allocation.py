@@ -70,7 +70,8 @@ def fill_by_rank(
     starts = F.map_from_entries(F.collect_list(F.struct("_band", "_start"))).alias("_starts")
     plants = bands.groupBy(*keys).agg(starts)
     large = whole and spread.rows > LARGE_ROWS
-    met = lookup_join(ranked, plants, keys) if large else ranked.join(plants, list(keys))
+    held = F.size("_starts") + 1
+    met = lookup_join(ranked, plants, keys, weight=held) if large else ranked.join(plants, list(keys))
     needed = met.withColumn("_start", F.try_element_at("_starts", "_band")).filter(F.col("_start").isNotNull()).drop("_starts")
     group = [*keys, "_band"]
     if spread.largest > TASK_ROWS:

@@ -11,6 +11,7 @@ from haulgrid.operators.stats import all_loads, depot_load
 from haulgrid.params import LOCATION_YEAR, Params
 from haulgrid.schemas import BIOMASS, DEPOT, FORECAST, PELLET, REFINERY
 
+
 def forecast_rows(forecast: DataFrame) -> DataFrame:
     return forecast.select(
         F.lit(FORECAST).alias("data_type"), F.col("yr").cast("int").alias("yr"), F.col("idx").alias("src"),

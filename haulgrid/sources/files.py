@@ -92,6 +92,11 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> str:
     return path
 
 
+def write_distances(dist: DataFrame, path: str, by: str = "j") -> str:
+    """Store edges once, sorted by destination or source, so that scans for a few sites skip the rest."""
+    return write_table(dist.repartitionByRange(by, "d").sortWithinPartitions(by, "d"), path)
+
+
 def write_submission(flows: DataFrame, path: str) -> str:
     named = flows.select(
         F.col("yr").alias("year"), "data_type", F.col("src").alias("source_index"), F.col("dst").alias("destination_index"), "value"

@@ -134,6 +134,13 @@ def test_read_panel_and_matrix(spark, tmp_path):
         (0, 0): 0.0, (0, 1): 11.3, (1, 0): 11.7, (1, 1): 0.0}
 
 
+def test_stored_distances_keep_all_edges(spark, tmp_path):
+    dist = spark.range(2000).selectExpr("id % 40 as i", "id div 40 as j", "cast(id % 7 as double) as d")
+    stored = spark.read.parquet(files.write_distances(dist, str(tmp_path / "dist")))
+    assert stored.count() == 2000 and stored.exceptAll(dist).isEmpty()
+    assert "PushedFilters: [IsNotNull(j), EqualTo(j,3)]" in stored.filter("j = 3")._jdf.queryExecution().toString()
+
+
 def test_read_submission_with_blanks(spark, tmp_path):
     (tmp_path / "s.csv").write_text("year,data_type,source_index,destination_index,value\n20182019,depot_location,1256,,\n2018,biomass_demand_supply,3,1256.0,7.5\n")
     assert {tuple(r) for r in files.read_submission(spark, str(tmp_path / "s.csv")).collect()} == {

@@ -20,7 +20,7 @@ BANDS = 256
 TASK_ROWS = 2_000_000
 # Arcs from which on a table is worth a written lookup table to leave it unshuffled.
 LARGE_ROWS = 5_000_000
-# Plants that are listed in a scan filter rather than joined.
+# (Plant, year) pairs that are listed in a filter rather than joined.
 LISTED = 1_000
 # Taken off a used supply, so that rounding never ships more than a site has.
 ROUNDING = 1e-9
@@ -154,16 +154,22 @@ def _greedy(arcs: DataFrame, supply: DataFrame, cap: float, limits: DataFrame, f
         active = progress.filter(wants).select("cluster").distinct()
         used = chosen.groupBy("cluster", "i", "yr").agg(F.sum("b").alias("used"))
         touched = fills.join(used, ["cluster", "i", "yr"], "left_semi").select(*keys).distinct()
-        stale = cut(touched.join(chosen.select("cluster", "j"), ["cluster", "j"], "left_anti"), "stale")
+        stale = touched.join(chosen.select("cluster", "j"), ["cluster", "j"], "left_anti")
         spent = moved.groupBy("cluster", "i", "yr").agg((F.sum("b") + ROUNDING).alias("spent"))
         left = supply.join(spent, ["cluster", "i", "yr"], "left")
         left = left.withColumn("supply", F.col("supply") - F.coalesce("spent", F.lit(0.0))).filter(F.col("supply") > 0).drop("spent")
-        # A short list of plants becomes a filter the scan of sorted arcs can skip by.
-        ids = [r["j"] for r in stale.select("j").distinct().limit(LISTED + 1).collect()]
-        again = arcs.filter(F.col("j").isin(ids)) if len(ids) <= LISTED else arcs
-        again = again.join(left, ["cluster", "i"]).join(stale, keys, "left_semi")
-        standing = fills.join(chosen.select("cluster", "j"), ["cluster", "j"], "left_anti").join(stale, keys, "left_anti")
-        fills = cut(standing.unionByName(fill_by_rank(again, cap, keys, F.col("d"), spread, whole=False)), "fills")
+        standing = fills.join(chosen.select("cluster", "j"), ["cluster", "j"], "left_anti")
+        few = stale.limit(LISTED + 1).collect()
+        if len(few) <= LISTED:
+            # A short list becomes a filter, by which the scan of sorted arcs skips the other plants.
+            again = arcs.filter(F.col("j").isin([r["j"] for r in few])).join(left, ["cluster", "i"])
+            is_stale = F.concat_ws("_", *keys).isin([f"{r['cluster']}_{r['j']}_{r['yr']}" for r in few])
+            again, kept = again.filter(is_stale), standing.filter(~is_stale)
+        else:
+            stale = cut(stale, "stale")
+            again = arcs.join(left, ["cluster", "i"]).join(stale, keys, "left_semi")
+            kept = standing.join(stale, keys, "left_anti")
+        fills = cut(kept.unionByName(fill_by_rank(again, cap, keys, F.col("d"), spread, whole=False)), "fills")
     if not picked:
         return fills.select(*columns).filter(F.lit(False))
     return spark.read.schema(moved_schema).parquet(*picked)

@@ -18,7 +18,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
     app = spark.sparkContext.applicationId
-    return _LOCAL.setdefault(app, tempfile.mkdtemp(prefix="haulgrid-"))
+    if app not in _LOCAL:
+        _LOCAL[app] = tempfile.mkdtemp(prefix="haulgrid-")
+    return _LOCAL[app]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -38,3 +40,12 @@ def written(df: DataFrame, name: str) -> str:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return path
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete the files of tables that `cut` wrote and nothing reads any more."""
+    for table in tables:
+        spark = table.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

@@ -22,8 +22,8 @@ TASK_ROWS = 2_000_000
 LARGE_ROWS = 5_000_000
 # (Plant, year) pairs that are listed in a filter rather than joined.
 LISTED = 1_000
-# Taken off a used supply, so that rounding never ships more than a site has.
-ROUNDING = 1e-9
+# Share taken off a used supply, so that rounding never ships more than a site has.
+ROUNDING = 1e-12
 
 
 @dataclass(frozen=True)
@@ -113,6 +113,21 @@ def choose_one_depot(dist: DataFrame, forecast: DataFrame, cap: float, candidate
     return fill_costs(fills, cap).orderBy("cost", "j").limit(1)
 
 
+def _trimmed(filled: DataFrame, limits: DataFrame, earlier: DataFrame | None, gain: Column) -> DataFrame:
+    """The filling of the plants of a round, where arcs that cost more than their biomass is worth ship no more than what
+    the year's target still lacks after the arcs that pay."""
+    lack = limits.select("cluster", "yr", "target")
+    if earlier is not None:
+        lack = lack.join(earlier, ["cluster", "yr"], "left").fillna(0.0, ["shipped"])
+        lack = lack.select("cluster", "yr", (F.col("target") - F.col("shipped")).alias("target"))
+    # The rows of one plant a cluster and year.
+    order = Window.partitionBy("cluster", "yr").orderBy("d", "i")
+    before = F.coalesce(F.sum("b").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    room = F.greatest(F.col("target") - F.col("_before"), F.lit(0.0))
+    met = filled.withColumn("_before", before).join(lack, ["cluster", "yr"])
+    return met.withColumn("b", F.when(gain < 0, F.col("b")).otherwise(F.least("b", room))).filter("b > 0").select(*filled.columns)
+
+
 def _greedy(arcs: DataFrame, supply: DataFrame, cap: float, limits: DataFrame, factor: float, rounds: int) -> DataFrame:
     """Open plants one by one per cluster, each time the one with the least added cost.
 
@@ -125,7 +140,6 @@ def _greedy(arcs: DataFrame, supply: DataFrame, cap: float, limits: DataFrame, f
     """
     spark = arcs.sparkSession
     gain = F.lit(factor) * F.col("d") - 1.0
-    arcs = arcs.filter(F.col("d") * factor < 1.0)
     spread = spread_of(arcs, ["cluster", "j"])
     keys, columns = ["cluster", "j", "yr"], ["cluster", "i", "j", "yr", "d", "b"]
     supply = cut(supply.filter(F.col("supply") > 0), "supply")
@@ -135,16 +149,18 @@ def _greedy(arcs: DataFrame, supply: DataFrame, cap: float, limits: DataFrame, f
     moved_schema = fills.select(*columns).schema
     active = limits.select("cluster").distinct()
     picked: list[str] = []
-    shipped_before = 0.0
+    shipped_before, earlier = 0.0, None
     for _ in range(rounds):
         scores = fills.groupBy("cluster", "j").agg((F.sum(gain * F.col("b")) + years * cap).alias("score"))
         scores = scores.join(active, "cluster", "left_semi")
         best = scores.groupBy("cluster").agg(F.min(F.struct("score", "j")).alias("m")).select("cluster", F.col("m.j").alias("j"))
-        picked.append(written(fills.join(best, ["cluster", "j"], "left_semi").select(*columns), "chosen"))
+        filled = fills.join(best, ["cluster", "j"], "left_semi").select(*columns)
+        picked.append(written(_trimmed(filled, limits, earlier, gain), "chosen"))
         chosen = spark.read.schema(moved_schema).parquet(picked[-1])
         moved = spark.read.schema(moved_schema).parquet(*picked)
         shipped = moved.groupBy("cluster", "yr").agg(F.sum("b").alias("shipped"))
-        progress = limits.join(shipped, ["cluster", "yr"], "left").fillna(0.0, ["shipped"])
+        earlier = cut(shipped, "shipped")
+        progress = limits.join(earlier, ["cluster", "yr"], "left").fillna(0.0, ["shipped"])
         # An active cluster has opened one plant in each round so far.
         wants = (F.col("quota") > len(picked)) & (F.col("shipped") < F.col("target"))
         state = progress.agg(F.count_if(wants).alias("open"), F.sum("shipped").alias("shipped")).first()
@@ -155,9 +171,9 @@ def _greedy(arcs: DataFrame, supply: DataFrame, cap: float, limits: DataFrame, f
         used = chosen.groupBy("cluster", "i", "yr").agg(F.sum("b").alias("used"))
         touched = fills.join(used, ["cluster", "i", "yr"], "left_semi").select(*keys).distinct()
         stale = touched.join(chosen.select("cluster", "j"), ["cluster", "j"], "left_anti")
-        spent = moved.groupBy("cluster", "i", "yr").agg((F.sum("b") + ROUNDING).alias("spent"))
+        spent = moved.groupBy("cluster", "i", "yr").agg(F.sum("b").alias("spent"))
         left = supply.join(spent, ["cluster", "i", "yr"], "left")
-        left = left.withColumn("supply", F.col("supply") - F.coalesce("spent", F.lit(0.0))).filter(F.col("supply") > 0).drop("spent")
+        left = left.withColumn("supply", F.col("supply") - F.coalesce(F.col("spent") + F.col("supply") * ROUNDING, F.lit(0.0))).filter(F.col("supply") > 0).drop("spent")
         standing = fills.join(chosen.select("cluster", "j"), ["cluster", "j"], "left_anti")
         few = stale.limit(LISTED + 1).collect()
         if len(few) <= LISTED:
@@ -217,6 +233,33 @@ def open_depots(
     return _flow_rows(moved, BIOMASS, DEPOT)
 
 
+def plan_status(
+    flows: DataFrame, forecast: DataFrame, p: Params, labels: DataFrame | None = None, quota: DataFrame | None = None
+) -> DataFrame:
+    """Whether a depot plan does what was asked: `cluster, yr, target, shipped, opened, quota, feasible`.
+
+    Every cluster with a quota (without `labels` all sites are cluster 0) gives a row for each year of the forecast, also
+    where nothing ships.
+    """
+    rows = forecast.filter(F.col("yr").isin(*p.years)).select(F.col("idx").alias("i"), "yr", "biomass")
+    moved = flows.filter(F.col("data_type") == BIOMASS).select(F.col("src").alias("i"), "yr", F.col("dst").alias("j"), "value")
+    if labels is None:
+        rows, moved = (df.withColumn("cluster", F.lit(0).cast("bigint")) for df in (rows, moved))
+        allowed = None
+    else:
+        own = labels.select(F.col("idx").alias("i"), "cluster")
+        rows, moved = rows.join(own, "i"), moved.join(own, "i")
+        allowed = quota.select("cluster", "quota")
+    asked = rows.groupBy("cluster", "yr").agg((F.sum("biomass") * p.min_share).alias("target"))
+    asked = asked.withColumn("quota", F.lit(p.max_depots).cast("bigint")) if allowed is None else asked.join(allowed, "cluster")
+    done = moved.groupBy("cluster", "yr").agg(F.sum("value").alias("shipped"))
+    # Written, so that the single cluster of a plan without labels stays a key to join by.
+    plants = cut(moved.groupBy("cluster").agg(F.count_distinct("j").alias("opened")), "opened")
+    both = asked.join(done, ["cluster", "yr"], "left").join(plants, "cluster", "left").fillna(0.0, ["shipped"]).fillna(0, ["opened"])
+    feasible = (F.col("shipped") >= F.col("target")) & (F.col("opened") <= F.col("quota"))
+    return both.select("cluster", "yr", "target", "shipped", "opened", "quota", feasible.alias("feasible"))
+
+
 def open_refineries(dist: DataFrame, depot_flows: DataFrame, p: Params) -> DataFrame:
     """Refineries and pellet flows that take all biomass the depots received.
 
@@ -266,7 +309,7 @@ def allocation_bound(dist: DataFrame, forecast: DataFrame, p: Params, upper: flo
         ),
         "prices",
     )
-    arcs = dist.select("i", "j", "d").filter(F.col("d") * p.factor < 1.0)
+    arcs = dist.select("i", "j", "d")
     spread = spread_of(arcs, ["j"])
     few = sites.count() <= BROADCAST_ROWS
     total = {r["yr"]: r["t"] for r in sites.groupBy("yr").agg(F.sum("supply").alias("t")).collect()}

@@ -234,32 +234,42 @@ def forecast_mae(actual: DataFrame, forecast: DataFrame) -> DataFrame:
 
 
 def transport_cost(flows: DataFrame, dist: DataFrame) -> DataFrame:
-    """Distance times flow per year and leg. `dist` may be a whole matrix: it is not shuffled for a plan."""
+    """Distance times flow per year and leg, and `unpriced`, the flow over arcs that `dist` does not have.
+
+    `dist` may be a whole matrix: it is not shuffled for a plan.
+    """
     legs = flows.filter(F.col("data_type").isin(BIOMASS, PELLET))
     legs = legs.select("data_type", "yr", F.col("src").alias("i"), F.col("dst").alias("j"), "value")
-    paid = lookup_join(dist.select("i", "j", "d"), legs, ["i", "j"])
-    return paid.groupBy("yr", "data_type").agg(F.sum(F.col("d") * F.col("value")).alias("cost"))
+    known = lookup_join(dist.select("i", "j", "d"), legs.select("i", "j").distinct(), ["i", "j"])
+    paid = legs.join(known, ["i", "j"], "left")
+    return paid.groupBy("yr", "data_type").agg(
+        F.coalesce(F.sum(F.col("d") * F.col("value")), F.lit(0.0)).alias("cost"),
+        F.coalesce(F.sum(F.when(F.col("d").isNull(), F.col("value"))), F.lit(0.0)).alias("unpriced"),
+    )
 
 
 def underuse_cost(flows: DataFrame, p: Params) -> DataFrame:
-    """Unused capacity per year of all declared depots and refineries; an idle one counts fully."""
+    """Unused capacity of all declared depots and refineries in every year that has flows or a forecast; an idle plant, and
+    a year in which none is served, count fully."""
     kind = F.col("data_type")
     plants = flows.filter(kind.isin(DEPOT, REFINERY)).select("data_type", "src").distinct()
     counts = plants.groupBy().agg(
         F.sum(F.when(kind == DEPOT, p.depot_cap).otherwise(p.refinery_cap)).alias("capacity")
     )
+    years = flows.filter(kind.isin(BIOMASS, PELLET, FORECAST)).select("yr").distinct()
     served = flows.filter(kind.isin(BIOMASS, PELLET)).select(
         "yr", F.when(kind == BIOMASS, F.lit(DEPOT)).otherwise(F.lit(REFINERY)).alias("data_type"), F.col("dst").alias("src"), "value"
     )
     used = served.groupBy("yr", "data_type", "src").agg(F.sum("value").alias("value"))
     used = used.join(plants, ["data_type", "src"], "left_semi").groupBy("yr").agg(F.sum("value").alias("used"))
     capacity = F.coalesce(counts.scalar(), F.lit(0.0))
-    return used.select("yr", (capacity - F.col("used")).alias("underuse"))
+    return years.join(used, "yr", "left").select("yr", (capacity - F.coalesce("used", F.lit(0.0))).alias("underuse"))
 
 
 def total_cost(flows: DataFrame, dist: DataFrame, actual: DataFrame, forecast: DataFrame, p: Params) -> DataFrame:
-    """Per year: weighted transport, forecast error, unused capacity and their sum."""
-    transport = transport_cost(flows, dist).groupBy("yr").agg((F.sum("cost") * p.factor).alias("transport"))
-    parts = transport.join(forecast_mae(actual, forecast), "yr", "left").join(underuse_cost(flows, p), "yr", "left")
-    parts = parts.fillna(0.0, ["mae", "underuse"])
-    return parts.withColumn("cost", F.col("transport") + F.col("mae") + F.col("underuse"))
+    """Per year with flows or a forecast: weighted transport, forecast error, unused capacity, their sum, and the flow that
+    has no distance and so no price."""
+    moved = transport_cost(flows, dist).groupBy("yr").agg((F.sum("cost") * p.factor).alias("transport"), F.sum("unpriced").alias("unpriced"))
+    parts = underuse_cost(flows, p).join(moved, "yr", "left").join(forecast_mae(actual, forecast), "yr", "left")
+    parts = parts.fillna(0.0, ["transport", "mae", "unpriced"])
+    return parts.select("yr", "transport", "mae", "underuse", (F.col("transport") + F.col("mae") + F.col("underuse")).alias("cost"), "unpriced")

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from haulgrid.functions.keys import degree_distance
-from haulgrid.functions.scale import key_counts, lookup_join, split_join
+from haulgrid.functions.lineage import cut
+from haulgrid.functions.scale import key_counts, lookup_join, running_total, split_join
 from haulgrid.params import CURVE_POINTS, CURVE_RADIUS, SPACING_FLAG
 
 # Nearest-location descent: 4 x 4 children per cell, about this many locations in a last cell.
@@ -64,6 +66,7 @@ def nearest_location(points: DataFrame, locations: DataFrame, other_only: bool =
     crowd. With `other_only` a location equal to the point does not count.
     """
     celled, depth = _with_cells(locations)
+    celled = cut(celled, "celled")
     found = points
     for level in range(1, depth + 1):
         shift = 2 * (depth - level)
@@ -100,6 +103,68 @@ def nearest_location(points: DataFrame, locations: DataFrame, other_only: bool =
     return best.select("plat", "plon", "best.idx", "best.d")
 
 
+def farthest_inside(
+    sites: DataFrame, labels: DataFrame, travel: Callable[[Column], Column] | None = None, scale: float = 1.0, extra: float = 0.0
+) -> DataFrame:
+    """Largest distance between two sites of a cluster, exact and without all pairs: `cluster, max_inner`.
+
+    `travel` makes the distance of an arc from the straight line `d` of (`i`, `j`), at least `scale` times it and at most
+    `extra` more, so a measure that differs by direction works as well. All clusters descend a grid together, in pairs of
+    cells: a pair is kept only if it can hold something at least as far apart as some pair of sites of the cluster is certain to
+    be. A bounding box touches a site on every side, which makes the certain distances.
+    """
+    placed = sites.join(labels.select("idx", "cluster"), "idx")
+    celled, depth = _with_cells(cut(placed.select("cluster", "idx", "lat", "lon"), "placed"))
+    celled = cut(celled, "celled")
+    pairs = None
+    for level in range(1, depth + 1):
+        shift = 2 * (depth - level)
+        cells = celled.groupBy("cluster", F.shiftright("cx", shift).alias("x"), F.shiftright("cy", shift).alias("y")).agg(
+            F.min("lat").alias("n"), F.max("lat").alias("s"), F.min("lon").alias("w"), F.max("lon").alias("e")
+        )
+
+        def side(name: str) -> DataFrame:
+            kept = cells.select("cluster", *[F.col(c).alias(f"{c}_{name}") for c in ("x", "y", "n", "s", "w", "e")])
+            return kept.withColumns({f"px_{name}": F.shiftright(f"x_{name}", 2), f"py_{name}": F.shiftright(f"y_{name}", 2)})
+
+        if pairs is None:
+            pairs = side("a").join(side("b"), "cluster")
+        else:
+            pairs = pairs.join(side("a"), ["cluster", "px_a", "py_a"]).join(side("b"), ["cluster", "px_b", "py_b"])
+        pairs = pairs.filter(F.struct("x_a", "y_a") <= F.struct("x_b", "y_b"))
+        lat = F.greatest(F.abs(F.col("s_a") - F.col("n_b")), F.abs(F.col("s_b") - F.col("n_a")))
+        lon = F.greatest(F.abs(F.col("e_a") - F.col("w_b")), F.abs(F.col("e_b") - F.col("w_a")))
+        bounded = pairs.withColumn("most", F.sqrt(lat * lat + lon * lon) * scale + extra).withColumn("least", F.greatest(lat, lon) * scale)
+        bounded = cut(bounded, "cell-pairs")
+        certain = bounded.groupBy("cluster").agg(F.max("least").alias("certain"))
+        kept = bounded.join(certain, "cluster").filter(F.col("most") * (1 + 1e-12) + 1e-12 >= F.col("certain"))
+        pairs = kept.select("cluster", *[F.col(f"{c}_{side_}").alias(f"p{c}_{side_}") for side_ in ("a", "b") for c in ("x", "y")])
+    ends = [celled.select("cluster", F.col("cx").alias(f"px_{n}"), F.col("cy").alias(f"py_{n}"), *[F.col(c).alias(f"{c}_{n}") for c in ("idx", "lat", "lon")]) for n in ("a", "b")]
+    met = pairs.join(ends[0], ["cluster", "px_a", "py_a"]).join(ends[1], ["cluster", "px_b", "py_b"])
+    straight = degree_distance(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b"))
+    both = [met.select("cluster", F.col(f"idx_{i}").alias("i"), F.col(f"idx_{j}").alias("j"), straight.alias("d")) for i, j in (("a", "b"), ("b", "a"))]
+    arcs = both[0].unionByName(both[1])
+    far = F.col("d") if travel is None else travel(F.col("d"))
+    return arcs.groupBy("cluster").agg(F.max(far).alias("max_inner"))
+
+
+def arcs_to_few(sites: DataFrame, ends: DataFrame, block: int = 1_000) -> DataFrame:
+    """All (i, j, d) from every site to each of a few `ends(idx)`, d in degrees: as many rows as the result needs.
+
+    The ends travel in arrays of at most `block` places, one per row of a small table.
+    """
+    places = sites.join(ends.select("idx").distinct(), "idx", "left_semi")
+    numbered = running_total(places, F.lit(1), [F.col("idx")], out="_n").withColumn("_block", F.floor((F.col("_n") - 1) / block))
+    place = F.struct(F.col("idx").alias("j"), F.col("lat").alias("lat_j"), F.col("lon").alias("lon_j"))
+    blocks = cut(numbered.groupBy("_block").agg(F.collect_list(place).alias("_ends")), "ends")
+    last = blocks.agg(F.max("_block")).first()[0]
+    starts = sites.select(F.col("idx").alias("i"), F.col("lat").alias("lat_i"), F.col("lon").alias("lon_i"))
+    numbers = F.sequence(F.lit(0).cast("bigint"), F.lit(last if last is not None else 0).cast("bigint"))
+    starts = starts.withColumn("_block", F.explode(numbers))
+    met = lookup_join(starts, blocks, ["_block"], stored=True, weight=F.size("_ends")).select("i", "lat_i", "lon_i", F.inline("_ends"))
+    return met.select("i", "j", degree_distance(F.col("lat_i"), F.col("lon_i"), F.col("lat_j"), F.col("lon_j")).alias("d"))
+
+
 def _locations(df: DataFrame) -> DataFrame:
     known = df.filter(F.col("lat").isNotNull() & F.col("lon").isNotNull())
     return known.groupBy("lat", "lon").agg(F.min("idx").alias("idx")).select("idx", "lat", "lon")
@@ -240,10 +305,14 @@ def catchment_band(catchments: DataFrame, lo: float, hi: float) -> DataFrame:
 
 
 def gazetteer_lookup(estates: DataFrame, gazetteer: DataFrame) -> DataFrame:
-    """Coordinates of estates by name and district, compared without case and outer blanks."""
+    """Coordinates of estates by name and district, compared without case and outer blanks.
+
+    A gazetteer that has a name twice gives its northernmost, then easternmost place: an estate never multiplies.
+    """
 
     def keyed(df: DataFrame) -> DataFrame:
         return df.withColumn("_e", F.lower(F.trim("estate"))).withColumn("_d", F.lower(F.trim("district")))
 
-    places = keyed(gazetteer).select("_e", "_d", "lat", "lon")
+    best = keyed(gazetteer).groupBy("_e", "_d").agg(F.max(F.struct("lat", "lon")).alias("_at"))
+    places = best.select("_e", "_d", "_at.lat", "_at.lon")
     return keyed(estates).join(places, ["_e", "_d"], "left").drop("_e", "_d")

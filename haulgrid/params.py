@@ -23,6 +23,8 @@ CATCHMENT_BAND = (15_000.0, 20_000.0)
 CURVE_RADIUS, CURVE_POINTS = 50.0, 20
 SPACING_FLAG = 0.079621
 DIRECT_CAP, DIRECT_RADIUS = 5_000.0, 100.0
+# Longest arcs of a cluster's own plan and of a plan with open plants.
+CLUSTER_RADIUS, OPEN_RADIUS = 10_000.0, 1_000.0
 
 
 @dataclass(frozen=True)

@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from haulgrid.operators.audit import forecast_rows, submission_to_solution
-from haulgrid.operators.neighbours import pair_distances, radius_edges
-from haulgrid.operators.reshape import union_rows
+from haulgrid.operators.neighbours import arcs_to_few, farthest_inside, pair_distances, radius_edges
+from haulgrid.operators.reshape import matrix_to_edges, union_rows
 from haulgrid.schemas import BIOMASS, DEPOT, PELLET, REFINERY
 
 YEARS = (1999, 2000)
@@ -70,6 +70,27 @@ def arcs(spark: SparkSession, sf: str, max_d: float = 60.0, starts: DataFrame |
     return near.select("i", "j", _travel(F.col("d")).alias("d")).filter(F.col("d") <= max_d)
 
 
+def diameters(spark: SparkSession, sf: str, labels: DataFrame) -> DataFrame:
+    """Largest travel distance inside each cluster. A detour is at most 4, and rounding adds less than 1e-3."""
+    return farthest_inside(sites(spark, sf), labels, _travel, UNITS_PER_DEGREE, 4.001)
+
+
+def arcs_to(spark: SparkSession, sf: str, ends: DataFrame) -> DataFrame:
+    """The arcs of any length from all sites to the few sites `ends(idx)`."""
+    return arcs_to_few(sites(spark, sf), ends).select("i", "j", _travel(F.col("d")).alias("d"))
+
+
+def matrix(spark: SparkSession, sf: str) -> DataFrame:
+    """A measured matrix as edges: row `vec_id`, one column per component."""
+    return matrix_to_edges(table(spark, sf, "embeddings"), "vec_id", "embedding")
+
+
+def years(spark: SparkSession, sf: str) -> list[int]:
+    """All years of the harvest and the orders, from the tables."""
+    seen = history(spark, sf).select("yr").union(table(spark, sf, "orders").select(F.year("o_orderdate").cast("int").alias("yr")))
+    return sorted(r["yr"] for r in seen.filter(F.col("yr").isNotNull()).distinct().collect())
+
+
 def distances_of(spark: SparkSession, sf: str, flows: DataFrame) -> DataFrame:
     """Distances of just the arcs that `flows` use."""
     used = flows.filter(F.col("dst").isNotNull()).select(F.col("src").alias("i"), F.col("dst").alias("j")).distinct()

@@ -28,7 +28,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 YEAR = 2000
-ALL_YEARS = tuple(range(1995, 2002))
+# Longest arcs that plans and clusters over the sites consider: their number per site depends on it.
+REACH = 60.0
+# Where the values of the measured matrix are cut.
+MATRIX_CUT = 0.5
 P = Params(years=b.YEARS)
 # Caps low enough that some plants of the line-item flows break them at sf0.01.
 TIGHT = Params(years=b.YEARS, depot_cap=8_400.0, refinery_cap=36_300.0)
@@ -68,7 +71,7 @@ def _open_ids(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _panel(spark: SparkSession, sf: str) -> DataFrame:
-    return rs.pivot_years(b.history(spark, sf), ["idx"], "yr", "biomass", ALL_YEARS)
+    return rs.pivot_years(b.history(spark, sf), ["idx"], "yr", "biomass", b.years(spark, sf))
 
 
 # Sources and sinks: each writes a file of the expected form from the tables, then reads it.
@@ -149,7 +152,7 @@ def read_weather_json(spark, sf):
 
 @query
 def panel_unpivot(spark, sf):
-    return rs.unpivot_years(_panel(spark, sf), ["idx"], [str(y) for y in ALL_YEARS])
+    return rs.unpivot_years(_panel(spark, sf), ["idx"], [str(y) for y in b.years(spark, sf)])
 
 
 @query
@@ -160,9 +163,10 @@ def matrix_to_edges(spark, sf):
 @query
 def forecast_pivot(spark, sf):
     orders = b.table(spark, sf, "orders").withColumn("yr", F.year("o_orderdate"))
-    wide = rs.pivot_years(orders, ["o_custkey"], "yr", "o_totalprice", ALL_YEARS)
-    wide = wide.withColumnsRenamed({str(y): f"y{y}" for y in ALL_YEARS})
-    return rounded(wide, *[f"y{y}" for y in ALL_YEARS])
+    years = b.years(spark, sf)
+    wide = rs.pivot_years(orders, ["o_custkey"], "yr", "o_totalprice", years)
+    wide = wide.withColumnsRenamed({str(y): f"y{y}" for y in years})
+    return rounded(wide, *[f"y{y}" for y in years])
 
 
 @query
@@ -187,12 +191,12 @@ def lag_forecast(spark, sf):
 @query
 def submatrix(spark, sf):
     rich = b.table(spark, sf, "supplier").filter(F.col("s_acctbal") >= 5000).select(F.col("s_suppkey").alias("idx"))
-    return rs.induced_edges(b.arcs(spark, sf), rich)
+    return rs.induced_edges(b.matrix(spark, sf), rich)
 
 
 @query
 def edges_from_center(spark, sf):
-    return rs.edges_from(b.arcs(spark, sf), 5)
+    return rs.edges_from(b.matrix(spark, sf), 5)
 
 
 @query
@@ -234,7 +238,7 @@ def arcs_within(spark, sf):
 
 @query
 def arc_share_over(spark, sf):
-    return rounded(fi.arc_share_over(b.arcs(spark, sf), 50.0), "share_over")
+    return rounded(fi.arc_share_over(b.matrix(spark, sf), MATRIX_CUT), "share_over")
 
 
 @query
@@ -250,7 +254,7 @@ def vars_by_pattern(spark, sf):
 
 @query
 def arcs_to_open_sites(spark, sf):
-    return fi.arcs_to_open(b.arcs(spark, sf), _open_ids(spark, sf))
+    return fi.arcs_to_open(b.arcs_to(spark, sf, _open_ids(spark, sf)), _open_ids(spark, sf))
 
 
 @query
@@ -260,8 +264,7 @@ def drop_unmatched(spark, sf):
 
 @query
 def drop_sparse_columns(spark, sf):
-    labelled = b.table(spark, sf, "documents").select("doc_id", "lang", "source").join(b.table(spark, sf, "labels"), "doc_id", "left")
-    return fi.drop_sparse_columns(labelled)
+    return fi.drop_sparse_columns(b.table(spark, sf, "documents").join(b.table(spark, sf, "labels"), "doc_id", "left"))
 
 
 @query
@@ -329,12 +332,12 @@ def gazetteer_lookup(spark, sf):
 
 @query
 def k_nearest(spark, sf):
-    return nb.k_nearest(b.arcs(spark, sf), 5)
+    return nb.k_nearest(b.matrix(spark, sf), 5)
 
 
 @query
 def neighbour_candidates(spark, sf):
-    return nb.neighbour_candidates(b.arcs(spark, sf), _open_ids(spark, sf), 5)
+    return nb.neighbour_candidates(b.matrix(spark, sf), _open_ids(spark, sf), 5)
 
 
 @query
@@ -349,7 +352,7 @@ def flow_balance_join(spark, sf):
 
 @query
 def distance_asymmetry(spark, sf):
-    return rounded(nb.distance_asymmetry(b.arcs(spark, sf)), "gap", digits=4)
+    return rounded(nb.distance_asymmetry(b.matrix(spark, sf)), "gap")
 
 
 @query
@@ -403,8 +406,9 @@ def catchment_band(spark, sf):
 
 @query
 def correlation_matrix(spark, sf):
-    names = [f"y{y}" for y in ALL_YEARS]
-    wide = b.sites(spark, sf).join(_panel(spark, sf), "idx").withColumnsRenamed({str(y): f"y{y}" for y in ALL_YEARS})
+    years = b.years(spark, sf)
+    names = [f"y{y}" for y in years]
+    wide = b.sites(spark, sf).join(_panel(spark, sf), "idx").withColumnsRenamed({str(y): f"y{y}" for y in years})
     return rounded(st.correlation_matrix(wide, ["lat", "lon", *names]), "r")
 
 
@@ -441,8 +445,7 @@ def pareto_share(spark, sf):
 
 def _profile(spark, sf):
     labels = b.nation_labels(spark, sf)
-    diameters = cl.intra_max(b.arcs(spark, sf), labels)
-    return st.cluster_profile(b.forecast(spark, sf), labels, b.YEARS, diameters)
+    return st.cluster_profile(b.forecast(spark, sf), labels, b.YEARS, b.diameters(spark, sf, labels))
 
 
 @query
@@ -473,7 +476,7 @@ def forecast_mae(spark, sf):
 @query
 def transport_cost(spark, sf):
     flows = _flows(spark, sf)
-    return rounded(au.transport_cost(flows, b.distances_of(spark, sf, flows)), "cost", digits=4)
+    return rounded(au.transport_cost(flows, b.distances_of(spark, sf, flows)), "cost", "unpriced", digits=4)
 
 
 @query
@@ -485,7 +488,7 @@ def underuse_cost(spark, sf):
 def total_cost(spark, sf):
     flows, history = _flows(spark, sf), _history(spark, sf)
     cost = au.total_cost(flows, b.distances_of(spark, sf, flows), history, rs.lag_forecast(history), P)
-    return rounded(cost, "transport", "mae", "underuse", "cost", digits=4)
+    return rounded(cost, "transport", "mae", "underuse", "cost", "unpriced", digits=4)
 
 
 @query
@@ -507,14 +510,14 @@ def weather_hour_day(spark, sf):
 @query
 def kmeans_sites(spark, sf):
     labels = cl.kmeans_sites(b.sites(spark, sf), 4).select("idx", "cluster")
-    diameters = cl.intra_max(b.arcs(spark, sf), labels)
-    profile = st.cluster_profile(b.forecast(spark, sf), labels, b.YEARS, diameters)
+    labels = cut(labels, "labels")
+    profile = st.cluster_profile(b.forecast(spark, sf), labels, b.YEARS, b.diameters(spark, sf, labels))
     return st.depot_quota(profile, -1.0, 100_000, "threshold", f"total_{YEAR}")
 
 
 @query
 def average_linkage(spark, sf):
-    return cl.average_linkage(_arcs(spark, sf), 5)
+    return cl.average_linkage(_arcs(spark, sf, REACH), 5, radius=REACH)
 
 
 @query
@@ -538,7 +541,7 @@ def quota_bounds(spark, sf):
 
 @query
 def intra_cluster_max(spark, sf):
-    return cl.intra_max(b.arcs(spark, sf), b.nation_labels(spark, sf))
+    return b.diameters(spark, sf, b.nation_labels(spark, sf))
 
 
 @query
@@ -549,7 +552,7 @@ def balanced_blocks(spark, sf):
 @query
 def per_cluster_arcs(spark, sf):
     quota = st.depot_quota(_profile(spark, sf), *fixed.DEPOT_QUOTA)
-    return cl.cluster_arcs(b.arcs(spark, sf), b.nation_labels(spark, sf), quota)
+    return cl.cluster_arcs(b.arcs(spark, sf, REACH), b.nation_labels(spark, sf), quota, max_d=REACH)
 
 
 # Allocation
@@ -581,11 +584,17 @@ def open_depots(spark, sf):
 def open_depots_by_cluster(spark, sf):
     arcs, forecast = _arcs(spark, sf), cut(b.forecast(spark, sf), "forecast")
     labels = b.blocks(spark, sf)
-    profile = st.cluster_profile(forecast, labels, b.YEARS, cl.intra_max(arcs, labels))
+    profile = st.cluster_profile(forecast, labels, b.YEARS, b.diameters(spark, sf, labels))
     quota = cut(st.depot_quota(profile, *fixed.DEPOT_QUOTA).select("cluster", "quota"), "quota")
     return al.open_depots(arcs, forecast, P, labels, quota)
 
 
+@query
+def plan_status(spark, sf):
+    arcs, forecast, p = _arcs(spark, sf), cut(b.forecast(spark, sf), "forecast"), _scaled(spark, sf)
+    return rounded(al.plan_status(al.open_depots(arcs, forecast, p), forecast, p), "target").select("cluster", "yr", "target", "quota", "feasible")
+
+
 @query
 def open_refineries(spark, sf):
     p, arcs = _scaled(spark, sf), _arcs(spark, sf)

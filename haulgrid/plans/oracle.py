@@ -20,6 +20,8 @@ DIST = """dist as (
     from sites a cross join sites b)
   where d <= {max_d})"""
 FULL_DIST = DIST.replace("where d <= {max_d}", "")
+MATRIX = """matrix as (select vec_id as i, n - 1 as j, cast(embedding[n] as double) as d
+  from (select vec_id, embedding, unnest(range(1, len(embedding) + 1)) as n from embeddings))"""
 FLOWS = """lines as (
   select cast(year(l_shipdate) as int) as yr, l_suppkey, l_partkey % 26 as depot, l_partkey % 6 as refinery,
          cast(l_quantity as decimal(18,2)) as q,
@@ -150,13 +152,16 @@ C9 = " union all ".join([
     """select 'C9_location_year', yr, src, yr, 20182019, false from flows
     where data_type in ('depot_location', 'refinery_location') and yr <> 20182019""",
 ])
-TRANSPORT = """select yr, data_type, sum(d * value) as cost from flows join dist on i = src and j = dst
+TRANSPORT = """select yr, data_type, coalesce(sum(d * value), 0e0) as cost, coalesce(sum(case when d is null then value end), 0e0) as unpriced
+from flows left join dist on i = src and j = dst
 where data_type in ('biomass_demand_supply', 'pellet_demand_supply') group by 1, 2"""
 MAE = """select a.yr, avg(abs(a.biomass - f.biomass)) as mae from hist a join hist f on f.idx = a.idx and f.yr = a.yr - 2 group by 1"""
-UNDERUSE = """select yr, (select sum(case when data_type = 'depot_location' then 20000e0 else 100000e0 end) from flows
-  where data_type in ('depot_location', 'refinery_location')) - sum(value) as underuse
-from flows f where (data_type = 'biomass_demand_supply' and dst in (select src from flows where data_type = 'depot_location'))
-  or (data_type = 'pellet_demand_supply' and dst in (select src from flows where data_type = 'refinery_location')) group by yr"""
+UNDERUSE = """select y.yr, (select sum(case when data_type = 'depot_location' then 20000e0 else 100000e0 end) from flows
+  where data_type in ('depot_location', 'refinery_location')) - coalesce(used, 0e0) as underuse
+from (select distinct yr from flows where data_type in ('biomass_demand_supply', 'pellet_demand_supply', 'biomass_forecast')) y
+left join (select yr, sum(value) as used from flows
+  where (data_type = 'biomass_demand_supply' and dst in (select src from flows where data_type = 'depot_location'))
+  or (data_type = 'pellet_demand_supply' and dst in (select src from flows where data_type = 'refinery_location')) group by yr) u on u.yr = y.yr"""
 FILL = """fill as (
   select i, j, d, least(f, greatest(20000e0 - prev, 0e0)) as b from (
     select i, j, d, biomass as f, coalesce(sum(biomass) over (
@@ -202,9 +207,9 @@ ORACLE: dict[str, str] = {
     "recover_index": sql(HIST, select="select idx, yr, biomass from hist"),
     "lag_forecast": sql(HIST, select="""select a.idx, a.yr, a.biomass, f.biomass as expected
         from hist a join hist f on f.idx = a.idx and f.yr = a.yr - 2"""),
-    "submatrix": arcs("""select i, j, d from dist where i in (select s_suppkey from supplier where s_acctbal >= 5000)
+    "submatrix": sql(MATRIX, select="""select i, j, d from matrix where i in (select s_suppkey from supplier where s_acctbal >= 5000)
         and j in (select s_suppkey from supplier where s_acctbal >= 5000)"""),
-    "edges_from_center": arcs("select i, j, d from dist where i = 5"),
+    "edges_from_center": sql(MATRIX, select="select i, j, d from matrix where i = 5"),
     "arc_adjacency": arcs("""
         select 'i' as "by", i as node, cast(floor(j / 32) as bigint) as block, string_agg(j, ',' order by j) as neighbours, count(*) as n from dist group by 2, 3
         union all
@@ -214,14 +219,14 @@ ORACLE: dict[str, str] = {
         union all select idx, yr + 2, biomass, null from hist"""),
     "weather_flatten": sql(WEATHER, select="select * from weather"),
     "arcs_within": arcs("select i, j, d from dist", 50.0),
-    "arc_share_over": arcs("""select count(*) filter (d <= 50) as arcs_within,
-        round(avg(case when d > 50 then 1e0 else 0e0 end), 6) as share_over, max(d) as max_d from dist"""),
+    "arc_share_over": sql(MATRIX, select="""select count(*) filter (d <= 0.5) as arcs_within,
+        round(avg(case when d > 0.5 then 1e0 else 0e0 end), 6) as share_over, max(d) as max_d from matrix"""),
     "nonzero_solution": sql(VARIABLES, select="select name, value from variables where value <> 0"),
     "vars_by_pattern": sql(VARIABLES, select="""select count(*) as n, sum(value) as total from variables
         where regexp_full_match(name, 'b_1999_[0-9]+_5')"""),
-    "arcs_to_open_sites": sql(SITES, DIST, HIST, FLOWS, max_d=60.0, select=f"select i, j, d from dist where j in {OPEN}"),
+    "arcs_to_open_sites": sql(SITES, FULL_DIST, HIST, FLOWS, select=f"select i, j, d from dist where j in {OPEN}"),
     "drop_unmatched": sql(ESTATES, GAZETTEER, select="select * from located where lat is not null"),
-    "drop_sparse_columns": "select doc_id, lang, source from documents",
+    "drop_sparse_columns": "select doc_id, text, lang, source, n_chars from documents",
     "top_n_sites": sql(HIST, select="""select idx, sum(biomass) as total from hist where yr in (1999, 2000)
         group by 1 order by total desc, idx limit 25"""),
     "even_sample": sql(SITES, select="""select distinct idx from sites join (
@@ -243,10 +248,10 @@ ORACLE: dict[str, str] = {
     "attach_site_measure": sql(SITES, DIST, HIST, max_d=18.0, select="""
         select i, j, d, biomass from dist join hist on hist.idx = j and yr = 2000"""),
     "gazetteer_lookup": sql(ESTATES, GAZETTEER, select="select * from located"),
-    "k_nearest": arcs("""select i, j, d, rank from (select i, j, d, cast(row_number() over (partition by i order by d, j) as int) as rank
-        from dist where i <> j) where rank <= 5"""),
-    "neighbour_candidates": sql(SITES, DIST, HIST, FLOWS, max_d=60.0, select=f"""
-        select j as idx from (select j, row_number() over (partition by i order by d, j) as rank from dist
+    "k_nearest": sql(MATRIX, select="""select i, j, d, rank from (select i, j, d, cast(row_number() over (partition by i order by d, j) as int) as rank
+        from matrix where i <> j) where rank <= 5"""),
+    "neighbour_candidates": sql(MATRIX, HIST, FLOWS, select=f"""
+        select j as idx from (select j, row_number() over (partition by i order by d, j) as rank from matrix
           where i <> j and i in {OPEN}) where rank <= 5
         union select depot from lines"""),
     "neighbour_spacing": sql(ESTATES, select="""
@@ -255,8 +260,8 @@ ORACLE: dict[str, str] = {
           from estates a join estates b on a.lat <> b.lat or a.lon <> b.lon group by 1) group by 1, 2"""),
     "flow_balance_join": sql(HIST, FLOWS, select=f"""select yr, key, round(inflow, 6) as inflow, round(outflow, 6) as outflow,
         round(inflow - outflow, 6) as diff from ({BALANCE})"""),
-    "distance_asymmetry": arcs("""select a.i, a.j, a.d, b.d as d_back, round(abs(a.d - b.d), 4) as gap
-        from dist a join dist b on b.i = a.j and b.j = a.i where a.i < a.j"""),
+    "distance_asymmetry": sql(MATRIX, select="""select a.i, a.j, a.d, b.d as d_back, round(abs(a.d - b.d), 6) as gap
+        from matrix a join matrix b on b.i = a.j and b.j = a.i where a.i < a.j"""),
     "radius_edges": sql(SITES, select="""select i, j, round(d, 6) as d from (select a.idx as i, b.idx as j,
         sqrt((a.lat-b.lat)*(a.lat-b.lat) + (a.lon-b.lon)*(a.lon-b.lon)) as d from sites a cross join sites b) where d <= 0.18e0"""),
     "total_by_year": sql(HIST, select="select yr, sum(biomass) as biomass from hist group by 1"),
@@ -299,8 +304,8 @@ ORACLE: dict[str, str] = {
         select idx, round(biomass, 6) as biomass, round(c, 6) as cum_biomass, round(c / t, 6) as share from (
           select idx, biomass, sum(biomass) over (order by biomass desc, idx rows unbounded preceding) as c,
                  sum(biomass) over () as t from m) where c / t <= 0.8"""),
-    "cluster_profile": sql(SITES, DIST, HIST, LABELS, INNER, PROFILE, max_d=60.0, select="select * from profile"),
-    "coverage_share": sql(SITES, DIST, HIST, LABELS, INNER, PROFILE, max_d=60.0, select="""
+    "cluster_profile": sql(SITES, FULL_DIST, HIST, LABELS, INNER, PROFILE, select="select * from profile"),
+    "coverage_share": sql(SITES, FULL_DIST, HIST, LABELS, INNER, PROFILE, select="""
         select round(sum(case when q > 0 then mean_total else 0 end) / sum(mean_total), 6) as covered,
                round(sum(case when q > 0 and lo <= hi then mean_total else 0 end) / sum(mean_total), 6) as covered_bounded
         from (select mean_total, case when mean_total > 5000 then floor(mean_total / 17000) + 1 else 0 end as q,
@@ -308,27 +313,27 @@ ORACLE: dict[str, str] = {
     "refinery_load_band": sql(HIST, select="""select round(t, 6) as total, round(t * 0.8e0 / 5, 6) as low, round(t / 5, 6) as high
         from (select sum(biomass) / 2 as t from hist where yr in (1999, 2000))"""),
     "forecast_mae": sql(HIST, select=f"select yr, round(mae, 6) as mae from ({MAE})"),
-    "transport_cost": sql(SITES, FULL_DIST, HIST, FLOWS, select=f"select yr, data_type, round(cost, 4) as cost from ({TRANSPORT})"),
+    "transport_cost": sql(SITES, FULL_DIST, HIST, FLOWS, select=f"select yr, data_type, round(cost, 4) as cost, round(unpriced, 4) as unpriced from ({TRANSPORT})"),
     "underuse_cost": sql(HIST, FLOWS, select=f"select yr, round(underuse, 4) as underuse from ({UNDERUSE})"),
     "total_cost": sql(SITES, FULL_DIST, HIST, FLOWS, select=f"""
-        select t.yr, round(transport, 4) as transport, round(coalesce(mae, 0), 4) as mae, round(coalesce(underuse, 0), 4) as underuse,
-               round(transport + coalesce(mae, 0) + coalesce(underuse, 0), 4) as cost
-        from (select yr, sum(cost) * 0.001e0 as transport from ({TRANSPORT}) group by 1) t
-        left join ({MAE}) m on m.yr = t.yr left join ({UNDERUSE}) u on u.yr = t.yr"""),
+        select u.yr, round(coalesce(transport, 0), 4) as transport, round(coalesce(mae, 0), 4) as mae, round(underuse, 4) as underuse,
+               round(coalesce(transport, 0) + coalesce(mae, 0) + underuse, 4) as cost, round(coalesce(unpriced, 0), 4) as unpriced
+        from ({UNDERUSE}) u left join (select yr, sum(cost) * 0.001e0 as transport, sum(unpriced) as unpriced from ({TRANSPORT}) group by 1) t on t.yr = u.yr
+        left join ({MAE}) m on m.yr = u.yr"""),
     "processed_ratio": sql(HIST, FLOWS, select=f"""select yr, round(processed, 6) as processed, round(forecast, 6) as forecast,
         round(processed / forecast, 6) as ratio from ({RATIO})"""),
     "weather_hour_day": sql(HOURLY, select="""select site, strftime(date_trunc('day', time), '%Y-%m-%d') as time,
         cast(sum(cast(hour_value as decimal(18,4))) as double) as day_value, max(hour_value) as top_hour, count(*) as hours
         from hourly group by 1, 2"""),
-    "depot_quota": sql(SITES, DIST, HIST, LABELS, INNER, PROFILE, max_d=60.0, select="""
+    "depot_quota": sql(SITES, FULL_DIST, HIST, LABELS, INNER, PROFILE, select="""
         select cluster, cast(greatest(floor((mean_total - 8000) / 15000) + 1, 0) as bigint) as depots,
                cast(case when mean_total > 5000 then floor(mean_total / 17000) + 1 else 0 end as bigint) as depots_old,
                cast(case when mean_total > 20000 then floor(mean_total / 87000) + 1 else 0 end as bigint) as refineries from profile"""),
-    "quota_bounds": sql(SITES, DIST, HIST, LABELS, INNER, PROFILE, max_d=60.0, select="""
+    "quota_bounds": sql(SITES, FULL_DIST, HIST, LABELS, INNER, PROFILE, select="""
         select cluster, cast(case when mean_total > 5000 then floor(mean_total / 17000) + 1 else 0 end as bigint) as quota,
                cast(ceil(greatest(total_1999, total_2000) * 0.8e0 / 17000) as bigint) as min_quota,
                cast(floor(least(total_1999, total_2000) / 17000) as bigint) as max_quota from profile"""),
-    "intra_cluster_max": sql(SITES, DIST, LABELS, INNER, max_d=60.0, select="select cluster, max(d) as max_inner from inner_arcs group by 1"),
+    "intra_cluster_max": sql(SITES, FULL_DIST, LABELS, INNER, select="select cluster, max(d) as max_inner from inner_arcs group by 1"),
     "balanced_blocks": sql(HIST, "m as (select idx, avg(biomass) as biomass from hist group by 1)", select="""
         select idx, round(biomass, 6) as biomass, cast(least(floor(coalesce(c, 0) / (t / 5)), 4) as int) as block from (
           select idx, biomass, sum(biomass) over (order by biomass desc, idx rows between unbounded preceding and 1 preceding) as c,
@@ -341,6 +346,8 @@ ORACLE: dict[str, str] = {
         select j, round(cost, 4) as cost, shipped, sources from (
           select j, sum(d * b) as cost, sum(b) as shipped, count(*) as sources from fill where b > 0 group by 1)
         where shipped >= 20000 - 1e-6 order by cost, j limit 1"""),
+    "plan_status": sql(HIST, select="""select cast(0 as bigint) as cluster, yr, round(sum(biomass) * 0.8e0, 6) as target, cast(25 as bigint) as quota,
+        true as feasible from hist where yr in (1999, 2000) group by yr"""),
     "model_size": arcs("""select 10 * n + 4 as constraints, 2 * a + 2 * n * n + 2 * n as variables, 2 * n as integers,
         8 * a + 8 * n * n + 10 * n as nonzeros
         from (select count(*) filter (i = j) as n, count(*) filter (d <= 50) as a from dist)"""),

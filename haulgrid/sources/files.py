@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,6 +16,17 @@ def _header(spark: SparkSession, path: str) -> list[str]:
     return spark.read.option("header", True).csv(path).columns
 
 
+def _by_name(spark: SparkSession, path: str, wanted: T.StructType) -> DataFrame:
+    """The columns of `wanted`, found by the names in the header in whatever order; other columns are left out."""
+    names = _header(spark, path)
+    missing = [f.name for f in wanted if f.name not in names]
+    if missing:
+        raise ValueError(f"{path} has no column {', '.join(missing)}")
+    kinds = {f.name: f.dataType for f in wanted}
+    schema = T.StructType([T.StructField(c, kinds.get(c, T.StringType())) for c in names])
+    return spark.read.schema(schema).option("header", True).csv(path).select(*kinds)
+
+
 def read_site_panel(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Sites and long history of a CSV with Index, Latitude, Longitude and one column per year."""
     names = _header(spark, path)
@@ -29,21 +40,32 @@ def read_site_panel(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
 
 
 def read_distances(spark: SparkSession, path: str) -> DataFrame:
-    """Edges (i, j, d) of a CSV matrix whose first column is the row index.
+    """Edges (i, j, d) of a CSV matrix whose first column is the row index and whose header has the column indices.
 
-    Lines are split into arrays, so a matrix of thousands of columns needs no thousand-column plan. The
-    header line is known by its empty first field; its column labels are taken to be 0, 1, 2, ...
+    Lines are split into arrays, so a matrix of thousands of columns needs no thousand-column plan. A blank cell is a
+    missing distance; an index or a distance that is no number is refused.
     """
     cells = F.split("value", ",")
-    rows = spark.read.text(path).select(F.trim(F.get(cells, 0)).alias("row"), F.slice(cells, 2, F.size(cells) - 1).alias("ds"))
-    data = rows.filter(F.col("row").try_cast("bigint").isNotNull())
-    edges = data.select(F.col("row").cast("bigint").alias("i"), F.posexplode("ds").alias("j", "text"))
-    return edges.select("i", F.col("j").cast("bigint").alias("j"), F.col("text").try_cast("double").alias("d"))
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    head = lines.filter(F.trim(F.get(cells, 0)) == "").first()
+    if head is None:
+        raise ValueError(f"{path} has no header, a line with an empty first field")
+    labels = [int(c) for c in head["value"].split(",")[1:]]
+    rows = lines.filter(F.col("value") != head["value"])
+    data = rows.select(F.trim(F.get(cells, 0)).alias("row"), F.slice(cells, 2, F.size(cells) - 1).alias("ds"))
+
+    def number(text: Column, kind: str) -> Column:
+        bad = F.raise_error(F.concat(F.lit("not a number: "), text))
+        return F.coalesce(text.try_cast(kind), bad.cast(kind))
+
+    edges = data.select(number(F.col("row"), "bigint").alias("i"), F.posexplode("ds").alias("at", "text"))
+    d = F.when(F.trim("text") != "", number(F.col("text"), "double"))
+    return edges.select("i", F.get(F.lit(labels), F.col("at")).cast("bigint").alias("j"), d.alias("d"))
 
 
 def read_forecast(spark: SparkSession, path: str) -> DataFrame:
     """Dated forecast rows (ts, yr, lat, lon, forecast)."""
-    rows = spark.read.schema(FORECAST_FILE).option("header", True).csv(path)
+    rows = _by_name(spark, path, FORECAST_FILE)
     return rows.select(
         F.to_timestamp("Date").alias("ts"), year_of(F.col("Date")).alias("yr"), F.col("Latitude").alias("lat"),
         F.col("Longitude").alias("lon"), F.col("Forecast").alias("forecast"),
@@ -60,8 +82,8 @@ def read_estates(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_submission(spark: SparkSession, path: str) -> DataFrame:
-    """Submission rows as flows; blank keys and values are null."""
-    rows = spark.read.schema(SUBMISSION_FILE).option("header", True).csv(path)
+    """Submission rows as flows, columns by name; blank keys and values are null."""
+    rows = _by_name(spark, path, SUBMISSION_FILE)
     return rows.select(
         "data_type", F.col("year").alias("yr"), F.col("source_index").cast("bigint").alias("src"),
         F.col("destination_index").cast("bigint").alias("dst"), "value",
@@ -69,7 +91,7 @@ def read_submission(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_solution(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(SOLUTION).option("header", True).csv(path)
+    return _by_name(spark, path, SOLUTION)
 
 
 def read_weather(spark: SparkSession, path: str, schema: T.StructType, one_array: bool = False) -> DataFrame:

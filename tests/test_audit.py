@@ -179,3 +179,39 @@ def test_small_statistics(spark):
     assert sorted(r.idx for r in sample.collect()) == [0, 33, 66, 100]
     lists = rs.adjacency(spark.createDataFrame([(0, j, 1.0) for j in range(10)], "i bigint, j bigint, d double"), block=4)
     assert {r.block: r.neighbours for r in lists.collect()} == {0: [0, 1, 2, 3], 1: [4, 5, 6, 7], 2: [8, 9]}
+
+
+def test_costs_have_no_holes(spark):
+    """A year without served plants, one with a forecast only, and a flow over an arc without a distance."""
+    p = Params(years=(2018, 2019), depot_cap=20.0, refinery_cap=5.0)
+    flows = spark.createDataFrame([
+        (BIOMASS, 2018, 1, 2, 10.0), (BIOMASS, 2018, 3, 2, 2.0), (BIOMASS, 2019, 1, 9, 4.0), (FORECAST, 2020, 1, None, 5.0), (DEPOT, 20182019, 2, None, None),
+    ], FLOWS)
+    dist = spark.createDataFrame([(1, 2, 3.0)], "i long, j long, d double")
+    under = {r.yr: r.underuse for r in au.underuse_cost(flows, p).collect()}
+    assert under == {2018: 8.0, 2019: 20.0, 2020: 20.0}
+    paid = {r.yr: (r.cost, r.unpriced) for r in au.transport_cost(flows, dist).collect()}
+    assert paid == {2018: (30.0, 2.0), 2019: (0.0, 4.0)}
+    none = spark.createDataFrame([], "idx long, yr int, biomass double")
+    total = {r.yr: (round(r.cost, 6), r.unpriced) for r in au.total_cost(flows, dist, none, none, p).collect()}
+    assert total == {2018: (8.03, 2.0), 2019: (20.0, 4.0), 2020: (20.0, 0.0)}
+
+
+def test_columns_are_found_by_name(spark, tmp_path):
+    (tmp_path / "s.csv").write_text("data_type,value,destination_index,source_index,extra,year\nbiomass_forecast,2.5,,7,x,2018\n")
+    assert [tuple(r) for r in files.read_submission(spark, str(tmp_path / "s.csv")).collect()] == [("biomass_forecast", 2018, 7, None, 2.5)]
+    (tmp_path / "f.csv").write_text("Forecast,Longitude,Date,Latitude\n5.5,70.0,2018-01-01,20.0\n")
+    row = files.read_forecast(spark, str(tmp_path / "f.csv")).first()
+    assert (row.yr, row.lat, row.lon, row.forecast) == (2018, 20.0, 70.0, 5.5)
+    (tmp_path / "bad.csv").write_text("Date,Latitude\n2018-01-01,20.0\n")
+    with pytest.raises(ValueError, match="Longitude"):
+        files.read_forecast(spark, str(tmp_path / "bad.csv"))
+
+
+def test_matrix_labels_come_from_the_header(spark, tmp_path):
+    (tmp_path / "d.csv").write_text(",40,7\n40,0.0,1.5\n7,,0.0\n")
+    got = {(r.i, r.j): r.d for r in files.read_distances(spark, str(tmp_path / "d.csv")).collect()}
+    assert got == {(40, 40): 0.0, (40, 7): 1.5, (7, 40): None, (7, 7): 0.0}
+    (tmp_path / "bad.csv").write_text(",40,7\n40,0.0,far\n")
+    with pytest.raises(Exception, match="not a number"):
+        files.read_distances(spark, str(tmp_path / "bad.csv")).collect()

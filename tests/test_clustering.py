@@ -80,3 +80,24 @@ def test_kmeans_is_stable_and_local(spark, sf):
         own = next(c for c in centers if c.cluster == r.cluster)
         gap = lambda c: (c.clat - r.lat) ** 2 + (c.clon - r.lon) ** 2
         assert gap(own) <= gap(near) + 1e-6
+
+
+def test_linkage_of_arcs_cut_at_a_radius(instance):
+    """Exact average linkage on min(d, radius), though only arcs up to the radius are given."""
+    d, dist, _ = instance
+    radius = 30.0
+    want = _sequential(np.minimum(d, radius))
+    log = cl.cut(cl.linkage_merges(dist.filter(F.col("d") <= radius), radius=radius), "log")
+    got = sorted((r.height, r.lo, r.hi) for r in log.collect())
+    below = [m for m in want if m[0] < radius - 1e-9]
+    assert [(lo, hi) for _, lo, hi in got[: len(below)]] == [(lo, hi) for _, lo, hi, _ in below]
+    assert [h for h, _, _ in got[: len(below)]] == pytest.approx([m[0] for m in below], abs=1e-6)
+
+
+def test_unconnected_parts_reach_the_number_of_clusters(spark):
+    arcs = [(a, b, 1.0) for k in (0, 10, 20, 30) for a in range(k, k + 3) for b in range(k, k + 3)]
+    dist = spark.createDataFrame(arcs, "i bigint, j bigint, d double")
+    for n in (1, 2, 4, 6):
+        got = {r.idx: r.cluster for r in cl.average_linkage(dist, n, radius=5.0).collect()}
+        assert len(got) == 12 and len(set(got.values())) == n
+        assert all(c == min(i for i in got if got[i] == c) for c in got.values())

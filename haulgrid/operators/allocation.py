@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from haulgrid.functions.lineage import cut, written
+from haulgrid.functions.lineage import cut, forget, written
 from haulgrid.functions.scale import BROADCAST_ROWS, lookup_join, running_total
 from haulgrid.operators.clustering import cluster_arcs
 from haulgrid.params import DIRECT_RADIUS, LOCATION_YEAR, Params
@@ -99,6 +99,35 @@ def fill_single_depot(
     return filled.select("i", "j", "d", "b")
 
 
+def fill_by_radius(
+    legs: Callable[[float, DataFrame | None], DataFrame], depots: DataFrame, forecast: DataFrame, cap: float, start: float, reach: float
+) -> DataFrame:
+    """`fill_single_depot` over arcs of any length, without the whole matrix.
+
+    `legs(radius, ends)` gives all arcs (i, j, d) up to `radius` into the depots `ends(idx)`, into all for None. Every depot of
+    `depots(idx)` that a radius fills is done, exactly, since nearer sources come first; the radius is doubled for the
+    others until they are full or the radius is `reach`, beyond which no arc is. Depots that stay short keep what there is.
+    """
+    done, ends, radius = [], None, start
+    while True:
+        arcs = cut(legs(min(radius, reach), ends), "legs")
+        fills = cut(fill_single_depot(arcs, forecast, cap, depots), "fills")
+        if radius >= reach:
+            done.append(fills)
+            break
+        full = cut(fill_costs(fills, cap).select("j"), "full")
+        done.append(fills.join(full, "j", "left_semi"))
+        short = depots if ends is None else ends
+        ends = cut(short.join(full.select(F.col("j").alias("idx")), "idx", "left_anti").select("idx"), "short")
+        if ends.isEmpty():
+            break
+        depots, radius = ends, radius * 2
+    filled = done[0]
+    for more in done[1:]:
+        filled = filled.unionByName(more)
+    return filled.select("i", "j", "d", "b")
+
+
 def fill_costs(fills: DataFrame, cap: float) -> DataFrame:
     """Cost and amount per depot, without depots that the supply cannot fill."""
     per_depot = fills.groupBy("j").agg(
@@ -109,7 +138,10 @@ def fill_costs(fills: DataFrame, cap: float) -> DataFrame:
 
 def choose_one_depot(dist: DataFrame, forecast: DataFrame, cap: float, candidates: DataFrame | None = None) -> DataFrame:
     """The candidate that is cheapest to fill to its capacity."""
-    fills = fill_single_depot(dist, forecast, cap, candidates)
+    return cheapest_filling(fill_single_depot(dist, forecast, cap, candidates), cap)
+
+
+def cheapest_filling(fills: DataFrame, cap: float) -> DataFrame:
     return fill_costs(fills, cap).orderBy("cost", "j").limit(1)
 
 
@@ -128,8 +160,8 @@ def _trimmed(filled: DataFrame, limits: DataFrame, earlier: DataFrame | None, ga
     return met.withColumn("b", F.when(gain < 0, F.col("b")).otherwise(F.least("b", room))).filter("b > 0").select(*filled.columns)
 
 
-def _greedy(arcs: DataFrame, supply: DataFrame, cap: float, limits: DataFrame, factor: float, rounds: int) -> DataFrame:
-    """Open plants one by one per cluster, each time the one with the least added cost.
+def _one_by_one(arcs: DataFrame, supply: DataFrame, cap: float, limits: DataFrame, factor: float, rounds: int) -> DataFrame:
+    """Open plants one by one per cluster, each time the one with the least added cost, over arcs of any cost.
 
     `arcs(cluster, i, j, d)`, `supply(cluster, i, yr, supply)`; `limits(cluster, quota, yr, target)` says
     how many plants a cluster may open and what it must ship per year. Returns (cluster, i, j, yr, d, b).
@@ -191,6 +223,109 @@ def _greedy(arcs: DataFrame, supply: DataFrame, cap: float, limits: DataFrame, f
     return spark.read.schema(moved_schema).parquet(*picked)
 
 
+def _refilled(fills: DataFrame, arcs: DataFrame, left: DataFrame, chosen: DataFrame, used: DataFrame, cap: float, spread: Spread) -> DataFrame:
+    """The fillings after `chosen` (`cluster, j`) were opened: these leave, plants that used one of their sources are filled
+    again from what is `left`, the others stand."""
+    keys = ["cluster", "j", "yr"]
+    standing = cut(fills.join(chosen, ["cluster", "j"], "left_anti"), "standing")
+    stale = cut(standing.join(used, ["cluster", "i", "yr"], "left_semi").select(*keys).distinct(), "stale")
+    few = stale.limit(LISTED + 1).collect()
+    if len(few) <= LISTED:
+        # A short list becomes a filter, by which the scan of sorted arcs skips the other plants.
+        again = arcs.filter(F.col("j").isin(sorted({r["j"] for r in few}))).join(left, ["cluster", "i"])
+        is_stale = F.concat_ws("_", *keys).isin([f"{r['cluster']}_{r['j']}_{r['yr']}" for r in few])
+        again, kept = again.filter(is_stale), standing.filter(~is_stale)
+    else:
+        again = arcs.join(left, ["cluster", "i"]).join(stale, keys, "left_semi")
+        kept = standing.join(stale, keys, "left_anti")
+    return cut(kept.unionByName(fill_by_rank(again, cap, keys, F.col("d"), spread, whole=False)), "fills")
+
+
+def _greedy(arcs: DataFrame, supply: DataFrame, cap: float, limits: DataFrame, factor: float, rounds: int) -> DataFrame:
+    """Open plants per cluster in the order of least added cost until the targets are met or the quota is used.
+
+    `arcs(cluster, i, j, d)`, `supply(cluster, i, yr, supply)`; `limits(cluster, quota, yr, target)` says
+    how many plants a cluster may open and what it must ship per year. Returns (cluster, i, j, yr, d, b).
+
+    Gives what opening one plant after the other gives, but many plants a round. A plant that is cheaper than every plant
+    it shares a source with keeps its filling until its turn comes, since fillings only get dearer as supply goes; all such
+    plants open at once. A cluster is finished when the plants cheaper than any that is left meet its targets or its quota;
+    plants beyond are dropped again. So the rounds depend on how far plants reach, not on how many there are. Clusters whose
+    targets cannot be met by arcs that cost less than their biomass is worth are planned one by one over all arcs.
+    """
+    spark = arcs.sparkSession
+    gain = F.lit(factor) * F.col("d") - 1.0
+    cheap = arcs.filter(F.col("d") * factor < 1.0)
+    spread = spread_of(cheap, ["cluster", "j"])
+    columns = ["cluster", "i", "j", "yr", "d", "b"]
+    first_supply = supply
+    supply = cut(supply.filter(F.col("supply") > 0), "supply")
+    years = limits.select("yr").distinct().count()
+    offered = lookup_join(cheap, supply, ["cluster", "i"], stored=True)
+    fills = cut(fill_by_rank(offered, cap, ["cluster", "j", "yr"], F.col("d"), spread), "fills")
+    active = limits.filter("quota > 0").select("cluster").distinct()
+    schema = fills.select(*columns, F.lit(0.0).alias("score")).schema
+    picked: list[str] = []
+    picks = None
+    while True:
+        scores = fills.groupBy("cluster", "j").agg((F.sum(gain * F.col("b")) + years * cap).alias("score"))
+        scores = cut(scores.join(active, "cluster", "left_semi"), "scores")
+        if picks is not None:
+            rest = scores.groupBy("cluster").agg(F.min(F.struct("score", "j")).alias("rest"))
+            certain = picks.join(rest, "cluster", "left").filter(F.col("rest").isNull() | (F.struct("score", "j") < F.col("rest")))
+            progress = _progress(limits, certain)
+            wants = progress.groupBy("cluster").agg(F.bool_or((F.col("opened") < F.col("quota")) & (F.col("shipped") < F.col("target"))).alias("wants"))
+            active = cut(wants.filter("wants").select("cluster").join(rest.select("cluster"), "cluster", "left_semi"), "active")
+            scores = scores.join(active, "cluster", "left_semi")
+        if scores.isEmpty():
+            break
+        users = fills.select("cluster", "i", "yr", "j").join(scores, ["cluster", "j"])
+        cheapest = users.groupBy("cluster", "i", "yr").agg(F.min(F.struct("score", "j")).alias("m"))
+        first = users.join(cheapest, ["cluster", "i", "yr"]).groupBy("cluster", "j", "score").agg(F.bool_and(F.col("m.j") == F.col("j")).alias("first"))
+        opened = first.filter("first").select("cluster", "j", "score")
+        picked.append(written(fills.select(*columns).join(opened, ["cluster", "j"]).select(*columns, "score"), "chosen"))
+        new = spark.read.schema(schema).parquet(picked[-1])
+        picks = spark.read.schema(schema).parquet(*picked)
+        used = new.groupBy("cluster", "i", "yr").agg(F.sum("b").alias("used"))
+        left = supply.join(used, ["cluster", "i", "yr"], "left")
+        left = left.withColumn("supply", F.col("supply") - F.coalesce(F.col("used") + F.col("supply") * ROUNDING, F.lit(0.0)))
+        before, supply = (fills, supply), cut(left.filter("supply > 0").drop("used"), "supply")
+        fills = _refilled(fills, cheap, supply, new.select("cluster", "j").distinct(), used.select("cluster", "i", "yr"), cap, spread)
+        forget(*before)
+    if picks is None:
+        moved = fills.select(*columns).filter(F.lit(False))
+    else:
+        moved = cut(_in_order(picks, limits).select(*columns), "moved")
+    short = cut(_progress(limits, moved).filter("shipped < target and quota > 0").select("cluster").distinct(), "short")
+    dear = arcs.filter(F.col("d") * factor >= 1.0).join(short, "cluster", "left_semi").select("cluster").distinct()
+    if dear.isEmpty():
+        return moved
+    dear = cut(dear, "dear")
+    again = [t.join(dear, "cluster", "left_semi") for t in (arcs, first_supply, limits)]
+    slow = _one_by_one(again[0], again[1], cap, cut(again[2], "limits"), factor, rounds)
+    return moved.join(dear, "cluster", "left_anti").select(*columns).unionByName(slow.select(*columns))
+
+
+def _progress(limits: DataFrame, moved: DataFrame) -> DataFrame:
+    """`limits` with what is shipped per year and opened per cluster."""
+    shipped = moved.groupBy("cluster", "yr").agg(F.sum("b").alias("shipped"))
+    opened = cut(moved.groupBy("cluster").agg(F.count_distinct("j").alias("opened")), "opened")
+    both = limits.join(shipped, ["cluster", "yr"], "left").join(opened, "cluster", "left")
+    return both.fillna(0.0, ["shipped"]).fillna(0, ["opened"])
+
+
+def _in_order(picks: DataFrame, limits: DataFrame) -> DataFrame:
+    """Of the plants of a cluster in the order of (`score`, `j`) those that come before its targets or its quota are met."""
+    plants = picks.groupBy("cluster", "j", "score", "yr").agg(F.sum("b").alias("amount"))
+    grid = plants.select("cluster", "j", "score").distinct().join(limits, "cluster").join(plants, ["cluster", "j", "score", "yr"], "left")
+    # One row a year for each plant of the cluster: as many as the quota allows, and those opened beyond it in a round.
+    order = Window.partitionBy("cluster", "yr").orderBy("score", "j")
+    before = F.coalesce(F.sum(F.coalesce("amount", F.lit(0.0))).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    kept = grid.withColumns({"_before": before, "_rank": F.row_number().over(order)})
+    kept = kept.groupBy("cluster", "j").agg(F.bool_or((F.col("_before") < F.col("target")) & (F.col("_rank") <= F.col("quota"))).alias("_keep"))
+    return picks.join(kept.filter("_keep"), ["cluster", "j"], "left_semi")
+
+
 def _flow_rows(moved: DataFrame, leg: str, plant: str) -> DataFrame:
     flows = moved.select(
         F.lit(leg).alias("data_type"), F.col("yr").cast("int").alias("yr"), F.col("i").alias("src"), F.col("j").alias("dst"),

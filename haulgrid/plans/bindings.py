@@ -6,6 +6,8 @@ estates, embeddings are rows of a measured matrix, events are weather readings.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,6 +93,24 @@ def years(spark: SparkSession, sf: str) -> list[int]:
     return sorted(r["yr"] for r in seen.filter(F.col("yr").isNotNull()).distinct().collect())
 
 
+def arcs_into(spark: SparkSession, sf: str, max_d: float, ends: DataFrame | None) -> DataFrame:
+    """The arcs up to `max_d` from all sites into the sites `ends(idx)`; into all without."""
+    if ends is None:
+        return arcs(spark, sf, max_d)
+    places = sites(spark, sf)
+    near = radius_edges(places, (max_d + 1e-4) / UNITS_PER_DEGREE, places.join(ends, "idx", "left_semi"))
+    turned = near.select(F.col("j").alias("i"), F.col("i").alias("j"), "d")
+    return turned.select("i", "j", _travel(F.col("d")).alias("d")).filter(F.col("d") <= max_d)
+
+
+def reach(spark: SparkSession, sf: str) -> float:
+    """No arc is longer: the diagonal of the sites' box, and the detour."""
+    box = sites(spark, sf).agg(*[f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("lat", "lon")]).first()
+    if box["min_lat"] is None:
+        return 0.0
+    return UNITS_PER_DEGREE * math.hypot(box["max_lat"] - box["min_lat"], box["max_lon"] - box["min_lon"]) + 4.001
+
+
 def distances_of(spark: SparkSession, sf: str, flows: DataFrame) -> DataFrame:
     """Distances of just the arcs that `flows` use."""
     used = flows.filter(F.col("dst").isNotNull()).select(F.col("src").alias("i"), F.col("dst").alias("j")).distinct()

@@ -558,20 +558,25 @@ def per_cluster_arcs(spark, sf):
 # Allocation
 
 
+def _fills(spark, sf):
+    legs = lambda radius, ends: b.arcs_into(spark, sf, radius, ends)
+    return al.fill_by_radius(legs, b.sites(spark, sf).select("idx"), cut(_year(spark, sf), "year"), P.depot_cap, REACH, b.reach(spark, sf))
+
+
 @query
 def fill_single_depot(spark, sf):
-    return al.fill_single_depot(_arcs(spark, sf), _year(spark, sf), P.depot_cap)
+    return _fills(spark, sf)
 
 
 @query
 def choose_one_depot(spark, sf):
-    return rounded(al.choose_one_depot(_arcs(spark, sf), _year(spark, sf), P.depot_cap), "cost", digits=4)
+    return rounded(al.cheapest_filling(_fills(spark, sf), P.depot_cap), "cost", digits=4)
 
 
 def _scaled(spark, sf):
-    """Capacities for the table's number of sites: the fixed ones suit a hundred."""
-    times = max(1.0, b.table(spark, sf, "supplier").count() / 100)
-    return Params(years=b.YEARS, depot_cap=20_000.0 * times, refinery_cap=100_000.0 * times)
+    """Fixed capacities; the plants that may open grow with the sites, a quarter of them and a twentieth."""
+    n = b.table(spark, sf, "supplier").count()
+    return Params(years=b.YEARS, max_depots=max(1, n // 4), max_refineries=max(1, n // 20))
 
 
 @query

@@ -341,8 +341,8 @@ ORACLE: dict[str, str] = {
     "per_cluster_arcs": sql(SITES, DIST, HIST, LABELS, INNER, PROFILE, max_d=60.0, select="""
         select cluster, i, j, d from inner_arcs where cluster in (
           select cluster from profile where greatest(floor((mean_total - 8000) / 15000) + 1, 0) > 0)"""),
-    "fill_single_depot": sql(SITES, DIST, HIST, FILL, max_d=60.0, select="select i, j, d, b from fill where b > 0"),
-    "choose_one_depot": sql(SITES, DIST, HIST, FILL, max_d=60.0, select="""
+    "fill_single_depot": sql(SITES, FULL_DIST, HIST, FILL, select="select i, j, d, b from fill where b > 0"),
+    "choose_one_depot": sql(SITES, FULL_DIST, HIST, FILL, select="""
         select j, round(cost, 4) as cost, shipped, sources from (
           select j, sum(d * b) as cost, sum(b) as shipped, count(*) as sources from fill where b > 0 group by 1)
         where shipped >= 20000 - 1e-6 order by cost, j limit 1"""),

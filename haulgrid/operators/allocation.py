@@ -387,8 +387,9 @@ def plan_status(
         allowed = quota.select("cluster", "quota")
     asked = rows.groupBy("cluster", "yr").agg((F.sum("biomass") * p.min_share).alias("target"))
     asked = asked.withColumn("quota", F.lit(p.max_depots).cast("bigint")) if allowed is None else asked.join(allowed, "cluster")
-    done = moved.groupBy("cluster", "yr").agg(F.sum("value").alias("shipped"))
     # Written, so that the single cluster of a plan without labels stays a key to join by.
+    asked = cut(asked, "asked")
+    done = moved.groupBy("cluster", "yr").agg(F.sum("value").alias("shipped"))
     plants = cut(moved.groupBy("cluster").agg(F.count_distinct("j").alias("opened")), "opened")
     both = asked.join(done, ["cluster", "yr"], "left").join(plants, "cluster", "left").fillna(0.0, ["shipped"]).fillna(0, ["opened"])
     feasible = (F.col("shipped") >= F.col("target")) & (F.col("opened") <= F.col("quota"))

@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from haulgrid.llm.common import store, forget
+from haulgrid.llm.common import forget, store
 
+#: Up to this many edges (a few MB) the steps run in one task, which saves their shuffles; beyond, they are spread.
+ONE_TASK = 200_000
 
-def _linked_to_least(edges: DataFrame) -> DataFrame:
-    """For each node the least of itself and its neighbours in `edges` (`v`, `u`)."""
-    return edges.groupBy("v").agg(F.least(F.col("v"), F.min("u")).alias("m"))
+
+def _rows(df: DataFrame, *pairs: tuple[Column, Column]) -> DataFrame:
+    """One row (`v`, `u`) for each of the pairs of every row; no union, so a single partition stays one."""
+    made = F.explode(F.array(*[F.struct(v.alias("v"), u.alias("u")) for v, u in pairs]))
+    return df.select(made.alias("_e")).select("_e.v", "_e.u")
+
+
+def _with_least(edges: DataFrame) -> DataFrame:
+    """Each edge with the least of its node `v` and the node's neighbours."""
+    return edges.join(edges.groupBy("v").agg(F.least(F.col("v"), F.min("u")).alias("m")), "v")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -22,20 +31,16 @@ def components(edges: DataFrame) -> DataFrame:
     spark = edges.sparkSession
     pairs = edges.filter("a != b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct()
     path, state = store(pairs, "edges"), None
+    v, u, m = F.col("v"), F.col("u"), F.col("m")
     while True:
         now = spark.read.schema("v long, u long").parquet(path)
-        mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
-        if tuple(mark) == state or not mark[0]:
-            return now.select(F.col("v").alias("node"), F.col("u").alias("root")).unionByName(now.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct())
-        state = tuple(mark)
-        both = now.unionByName(now.select(F.col("u").alias("v"), F.col("v").alias("u")))
-        large = both.join(_linked_to_least(both), "v").filter("u > v").select(F.col("u").alias("v"), F.col("m").alias("u"))
-        large = large.unionByName(now.join(_linked_to_least(both), "v").select("v", F.col("m").alias("u"))).filter("v != u").distinct()
-        large_path = store(large, "large-star")
-        large = spark.read.schema("v long, u long").parquet(large_path)
-        least = _linked_to_least(large)
-        small = large.join(least, "v").filter("u != m").select(F.col("u").alias("v"), F.col("m").alias("u"))
-        small = small.unionByName(least.filter("v != m").select("v", F.col("m").alias("u"))).distinct()
+        mark = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first())
+        if mark == state or not mark[0]:
+            return _rows(now, (v, u), (u, u)).distinct().select(F.col("v").alias("node"), F.col("u").alias("root"))
+        state = mark
+        now = now.coalesce(1) if mark[0] <= ONE_TASK else now
+        large = _rows(_with_least(_rows(now, (v, u), (u, v))), (F.greatest(v, u), m), (v, m)).filter(v != u).distinct()
+        small = _rows(_with_least(large), (u, m), (v, m)).filter(v != u).distinct()
+        new = store(small, "stars")
         forget(spark, path)
-        path = store(small, "small-star")
-        forget(spark, large_path)
+        path = new

@@ -107,8 +107,8 @@ def chunk_keys(p: Signature):
 def _sets(p: Signature):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [s.tobytes() for s in shingle_sets(*text_arrays(batch.column("text")), p.words)]
-            yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(found, pa.binary())], ["_row", "shingles"])
+            found = [s.view(np.int64) for s in shingle_sets(*text_arrays(batch.column("text")), p.words)]
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(found, pa.list_(pa.int64()))], ["_row", "shingles"])
 
     return run
 
@@ -118,7 +118,7 @@ def _similar(p: Signature):
     def similar(left: pa.Array, right: pa.Array) -> pa.Array:
         out = []
         for a, b in zip(left, right):
-            a, b = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
+            a, b = a.values.to_numpy(), b.values.to_numpy()
             both = len(np.intersect1d(a, b, assume_unique=True))
             out.append(100 * both >= p.percent * (len(a) + len(b) - both))
         return pa.array(out)
@@ -199,15 +199,34 @@ def _few_tests(rows: DataFrame, step: int) -> DataFrame:
     return left.join(others, (left["key"] == others["key"]) & (left["part"] == others["part"]) & (left["a"] < others["b"]) & (left["root"] != others["_root"])).select("a", "n_a", "b", "n_b")
 
 
-def _all_tests(rows: DataFrame) -> DataFrame:
-    """Every pair of rows that share an open bucket and lie in different components, once: at the least of their common
-    keys. Rows outside a bucket's main component meet all others of the bucket."""
+def _rarest(rows: DataFrame, sets: DataFrame, p: Signature) -> DataFrame:
+    """`a, prefix`: the rarest shingles of every row, so many that two sets as similar as asked have one of them in common.
+
+    In any order of all shingles, of two sets with Jaccard similarity t the first |x| - ceil(t |x|) + 1 shingles of each meet;
+    the order here is by the number of these rows that have the shingle, so a row of many changes is left with its own.
+    """
+    own = lookup_join(sets, stored(rows.select(F.col("a").alias("_row")).distinct(), "ends"), ["_row"], stored=True)
+    tokens = stored(own.select(F.col("_row").alias("a"), F.size("shingles").alias("size"), F.explode("shingles").alias("token")), "tokens")
+    counted = tokens.join(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")), "token")
+    ranked = counted.groupBy("a", "size").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("ranked"))
+    length = (F.col("size") - F.ceil(F.col("size") * p.percent / 100) + 1).cast("int")
+    return ranked.select("a", F.transform(F.filter(F.slice("ranked", F.lit(1), length), lambda x: x["df"] > 1), lambda x: x["token"]).alias("prefix"))
+
+
+def _all_tests(rows: DataFrame, sets: DataFrame, p: Signature) -> DataFrame:
+    """Every pair of rows that share an open bucket, lie in different components and have one of their rarest shingles in
+    common, once: at the least of their common keys. Rows outside a bucket's main component meet all others of the bucket."""
     keys = rows.groupBy("a").agg(F.collect_list("key").alias("keys"))
-    full = rows.join(keys, "a")
-    left = full.filter("root != main").select("key", "a", F.col("n").alias("n_a"), "root", "keys")
-    right = full.select(F.col("key").alias("_key"), F.col("a").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("_root"), (F.col("root") != F.col("main")).alias("_also"), F.col("keys").alias("_keys"))
+    prefixes = _rarest(rows, sets, p).filter(F.size("prefix") > 0)
+    full = stored(rows.join(keys, "a").join(prefixes, "a"), "full")
+    left = full.filter("root != main").select("key", "a", F.col("n").alias("n_a"), "root", "keys", "prefix")
+    right = full.select(
+        F.col("key").alias("_key"), F.col("a").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("_root"),
+        (F.col("root") != F.col("main")).alias("_also"), F.col("keys").alias("_keys"), F.col("prefix").alias("_prefix"),
+    )
     same = (F.col("key") == F.col("_key")) & (F.col("root") != F.col("_root")) & (~F.col("_also") | (F.col("a") < F.col("b")))
-    return left.join(right, same & (F.array_min(F.array_intersect("keys", "_keys")) == F.col("key"))).select("a", "n_a", "b", "n_b")
+    once = F.array_min(F.array_intersect("keys", "_keys")) == F.col("key")
+    return left.join(right, same & once & F.arrays_overlap("prefix", "_prefix")).select("a", "n_a", "b", "n_b")
 
 
 def near_classes(keyed: DataFrame, p: Signature = Signature()) -> DataFrame:
@@ -219,8 +238,9 @@ def near_classes(keyed: DataFrame, p: Signature = Signature()) -> DataFrame:
     3. Buckets of a few rows give all their pairs. In larger ones every row is first tested with the bucket's least row,
        then with some others, dealt anew by a hash each round; confirmed links are contracted to components, and a
        bucket within one component is finished. What is left between components after the rounds is tested in full:
-       rows outside a bucket's main component against all others. No link between different components is lost, and a
-       group of thousands of near copies costs in proportion to its size.
+       rows outside a bucket's main component against all others with which they share one of their rarest shingles, as
+       linked sets must. No link between different components is lost, and a group of thousands of near copies costs
+       about in proportion to its size.
     4. Every link is confirmed on the full sets of both texts.
     """
     signed = stored(keyed.select("_row", "text").mapInArrow(_signer(p), _SIGNED), "signed")
@@ -235,13 +255,13 @@ def near_classes(keyed: DataFrame, p: Signature = Signature()) -> DataFrame:
     met = small.withColumnRenamed("n", "n_a").join(ends, "key").filter("a < b")
     first = stored(_candidates(met, classes, p), "candidates")
     wanted = stored(_ends(first).unionByName(large.select(F.col("a").alias("_row"))).distinct(), "wanted")
-    sets = stored(lookup_join(keyed.select("_row", "text"), wanted, ["_row"], stored=True).mapInArrow(_sets(p), "_row long, shingles binary"), "sets")
+    sets = stored(lookup_join(keyed.select("_row", "text"), wanted, ["_row"], stored=True).mapInArrow(_sets(p), "_row long, shingles array<long>"), "sets")
     roots = _contracted(wanted.select(F.col("_row").alias("node"), F.col("_row").alias("root")), stored(_confirmed(first, sets, p), "links"))
     for step in range(ROUNDS + 2):
         rows = _open(large, roots)
         if rows.isEmpty():
             break
-        tests = _few_tests(rows, step) if step <= ROUNDS else _all_tests(rows)
+        tests = _few_tests(rows, step) if step <= ROUNDS else _all_tests(rows, sets, p)
         candidates = stored(_candidates(tests, classes, p), "candidates")
         roots = _contracted(roots, stored(_confirmed(candidates, sets, p), "links"))
         large = rows.select("key", "a", "n")

@@ -20,6 +20,7 @@ HEADLINE = [
     "describe_measure", "correlation_matrix", "histogram", "pareto_share", "balanced_blocks", "cluster_profile",
     "weather_flatten", "weather_daily_hourly", "fill_single_depot", "choose_one_depot", "transport_cost", "total_cost",
     "solution_to_submission", "audit", "kmeans_sites", "average_linkage", "open_depots", "open_depots_by_cluster",
+    "plan_status", "open_refineries", "refinery_direct", "allocation_bound", "supply_chain_plan", "read_distance_matrix", "read_submission",
 ]
 
 

@@ -9,10 +9,13 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from haulgrid.functions.lineage import scratch_path
 from haulgrid.functions.scale import running_total
@@ -117,22 +120,38 @@ def write_archives(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES
     types = stored(record_types(pages), "record-types")
     order = [F.col("page_id").asc_nulls_last(), F.col("url"), F.col("digest")]
     placed = running_total(types, F.col("bytes") + 500, order, out="_end", before="_start")
-    places = stored(placed.groupBy("page_id", "url", "digest", "refers_to").agg(F.min(F.floor(F.col("_start") / shard_bytes)).cast("long").alias("shard")), "shards")
+    starts = placed.groupBy(F.floor(F.col("_start") / shard_bytes).alias("k")).agg(F.min("page_id").alias("first"))
+    # One number for every `shard_bytes` of the pages.
+    sent = spark.sparkContext.broadcast(np.array(sorted({r["first"] for r in starts.collect() if r["first"] is not None}), np.int64))
+
+    @F.arrow_udf(T.LongType())
+    def shard_of(page_ids: pa.Array) -> pa.Array:
+        firsts = sent.value
+        last = max(len(firsts) - 1, 0)
+        ids = pc.fill_null(page_ids, firsts[-1] if len(firsts) else 0).to_numpy(zero_copy_only=False)
+        return pa.array(np.clip(np.searchsorted(firsts, ids, "right") - 1, 0, last).astype(np.int64))
+
+    # What a record refers to travels in a narrow row that sorts before the pages it belongs to: pages are shuffled once.
     body = F.coalesce("html", F.lit(""))
-    whole = pages.select(F.col("page_id").alias("p"), F.col("url").alias("u"), body.alias("html"), F.sha1(body.cast("binary")).alias("d"))
-    same = F.col("page_id").eqNullSafe(F.col("p")) & F.col("url").eqNullSafe(F.col("u")) & (F.col("digest") == F.col("d"))
-    rows = whole.join(places, same).select("shard", "page_id", "url", "html", "digest", "refers_to")
-    rows = rows.repartition("shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_last(), "url", "digest")
+    digest = F.sha1(body.cast("binary")).alias("digest")
+    nothing, key = F.lit(None), ["page_id", "url", "digest"]
+    notes = types.filter(F.col("refers_to").isNotNull()).select(*key, "refers_to", nothing.cast("string").alias("html")).distinct()
+    rows = notes.unionByName(pages.select("page_id", "url", digest, nothing.cast("long").alias("refers_to"), body.alias("html")))
+    rows = rows.withColumn("shard", shard_of("page_id")).repartition("shard")
+    rows = rows.sortWithinPartitions("shard", F.col("page_id").asc_nulls_last(), "url", "digest", F.col("html").isNotNull())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        file, done = None, []
+        file, done, noted, target = None, [], None, None
         for batch in batches:
-            for shard, page_id, url, html, refers_to in zip(*(batch.column(c).to_pylist() for c in ("shard", "page_id", "url", "html", "refers_to"))):
+            for shard, page_id, url, digest, html, refers_to in zip(*(batch.column(c).to_pylist() for c in ("shard", "page_id", "url", "digest", "html", "refers_to"))):
+                if html is None:
+                    noted, target = (page_id, url, digest), refers_to
+                    continue
                 if file and (file.shard != shard or file.bytes >= file_bytes):
                     done.append(file.close())
                     file = _File(folder, shard, file.number + 1 if file.shard == shard else 0)
                 file = file or _File(folder, shard, 0)
-                file.write(page_id, record_bytes(page_id, url, html.encode(), refers_to, date))
+                file.write(page_id, record_bytes(page_id, url, html.encode(), target if noted == (page_id, url, digest) else None, date))
         if file:
             done.append(file.close())
         yield _batch(done)

@@ -11,8 +11,9 @@ from haulgrid.functions.lineage import cut
 
 # At most this many keys can each hold more than 1/HOT_KEYS of the rows.
 HOT_KEYS = 10_000
-# Rows of a lookup table that are still broadcast: about 100 MB of a few numbers each.
+# Rows, and bytes as stored, of a lookup table that is still broadcast: about 100 MB of a few numbers each.
 BROADCAST_ROWS = 2_000_000
+BROADCAST_BYTES = 64 << 20
 
 
 def running_total(
@@ -22,14 +23,16 @@ def running_total(
     keys: Sequence[str] = (),
     out: str = "running",
     before: str = "before",
+    ranges: int | None = None,
 ) -> DataFrame:
     """Add inclusive (`out`) and exclusive (`before`) running sums of `value` in a total order.
 
     Equal to a window with `keys` as partition, but the rows are range-partitioned on
     (`keys`, `order_by`), so neither a global order nor one large key ends in a single task:
-    each range adds the totals of the ranges before it to its own local window.
+    each range adds the totals of the ranges before it to its own local window. There are `ranges` of them, by default as
+    many as the session has shuffle partitions: give more where the input is so large that one would not fit a task.
     """
-    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = cut(
         df.withColumn("_range_value", value)
         .repartitionByRange(ranges, *[F.col(k) for k in keys], *order_by)
@@ -58,13 +61,14 @@ def lookup_join(
 ) -> DataFrame:
     """Inner join of a large table with a lookup table of a few narrow columns.
 
-    The lookup table is written and counted: up to BROADCAST_ROWS rows it is broadcast and `big` is
+    The lookup table is written and counted: up to BROADCAST_ROWS rows and BROADCAST_BYTES it is broadcast and `big` is
     not shuffled, beyond that both sides are. `stored` tells that it is a written table already;
     `weight` is what a row counts for if it holds a collection.
     """
     table = small if stored else cut(small, "lookup")
     rows = table.count() if weight is None else table.agg(F.sum(weight)).first()[0] or 0
-    return big.join(F.broadcast(table) if rows <= BROADCAST_ROWS else table, list(on))
+    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return big.join(F.broadcast(table) if rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES else table, list(on))
 
 
 def key_counts(df: DataFrame, on: Sequence[str]) -> DataFrame:

@@ -396,19 +396,35 @@ def plan_status(
     return both.select("cluster", "yr", "target", "shipped", "opened", "quota", feasible.alias("feasible"))
 
 
-def open_refineries(dist: DataFrame, depot_flows: DataFrame, p: Params) -> DataFrame:
+def open_refineries(
+    dist: DataFrame, depot_flows: DataFrame, p: Params, labels: DataFrame | None = None, quota: DataFrame | None = None
+) -> DataFrame:
     """Refineries and pellet flows that take all biomass the depots received.
 
-    A depot's pellets equal its in-flow, so the balance holds unless all refineries are full.
+    A depot's pellets equal its in-flow, so the balance holds unless all refineries are full. With `labels(idx, cluster)` and
+    `quota(cluster, quota)` the depots of a cluster ship to refineries of their own cluster only, at most its quota.
     """
     received = depot_flows.filter(F.col("data_type") == BIOMASS).groupBy(F.col("dst").alias("i"), "yr").agg(F.sum("value").alias("supply"))
-    supply = cut(received.select(F.lit(0).cast("bigint").alias("cluster"), "i", "yr", "supply"), "pellets")
-    arcs = dist.select(F.lit(0).cast("bigint").alias("cluster"), "i", "j", "d")
-    # At most `max_depots` sources: the arcs that matter are the rows of the open depots.
-    arcs = cut(arcs.join(supply.select("i").distinct(), "i", "left_semi"), "arcs")
+    if labels is None:
+        own = received.withColumn("cluster", F.lit(0).cast("bigint"))
+    else:
+        own = received.join(labels.select(F.col("idx").alias("i"), "cluster"), "i")
+    supply = cut(own.select("cluster", "i", "yr", "supply"), "pellets")
+    # The arcs that matter are the rows of the open depots.
+    depots = supply.select("i", "cluster").distinct()
+    arcs = lookup_join(dist.select("i", "j", "d"), depots, ["i"]).select("cluster", "i", "j", "d")
+    if labels is not None:
+        ends = labels.select(F.col("idx").alias("j"), F.col("cluster").alias("_end"))
+        arcs = lookup_join(arcs, ends, ["j"]).filter(F.col("cluster") == F.col("_end")).drop("_end")
+    arcs = cut(arcs.select("cluster", "i", "j", "d"), "arcs")
     limits = supply.groupBy("cluster", "yr").agg((F.sum("supply") - p.tolerance / 2).alias("target"))
-    limits = cut(limits.withColumn("quota", F.lit(p.max_refineries).cast("bigint")), "limits")
-    moved = _greedy(arcs, supply, p.refinery_cap - p.margin, limits, p.factor, p.max_refineries)
+    if quota is None:
+        limits = limits.withColumn("quota", F.lit(p.max_refineries).cast("bigint"))
+    else:
+        limits = limits.join(quota.select("cluster", F.col("quota").cast("bigint").alias("quota")), "cluster")
+    limits = cut(limits, "limits")
+    rounds = limits.agg(F.max("quota")).first()[0] or 0
+    moved = _greedy(arcs, supply, p.refinery_cap - p.margin, limits, p.factor, rounds)
     return _flow_rows(moved, PELLET, REFINERY)
 
 

@@ -520,6 +520,14 @@ def average_linkage(spark, sf):
     return cl.average_linkage(_arcs(spark, sf, REACH), 5, radius=REACH)
 
 
+@query
+def linkage_checks(spark, sf):
+    """What must hold of any linkage: as many clusters as asked for, all sites, each cluster named by its least site."""
+    labels = cut(average_linkage(spark, sf), "labels")
+    least = labels.groupBy("cluster").agg(F.min("idx").alias("least"), F.count(F.lit(1)).alias("n"))
+    return least.agg(F.count(F.lit(1)).alias("clusters"), F.sum("n").alias("sites"), F.bool_and(F.col("least") == F.col("cluster")).alias("named_by_least"))
+
+
 @query
 def depot_quota(spark, sf):
     profile = _profile(spark, sf)
@@ -608,6 +616,13 @@ def open_refineries(spark, sf):
     return depots.unionByName(al.open_refineries(b.arcs(spark, sf, 150.0, opened), depots, p))
 
 
+@query
+def plan_audit(spark, sf):
+    """The audit of the two-tier plan: checked and failed rows of each constraint."""
+    flows = cut(open_refineries(spark, sf).unionByName(au.forecast_rows(b.forecast(spark, sf))), "flows")
+    return au.audit(flows, _scaled(spark, sf)).groupBy("constraint").agg(F.count_if(~F.col("ok")).alias("failed"))
+
+
 @query
 def refinery_direct(spark, sf):
     return al.refinery_direct(_arcs(spark, sf), cut(b.forecast(spark, sf), "forecast"), Params(years=b.YEARS, refinery_cap=fixed.DIRECT_CAP))
@@ -621,6 +636,13 @@ def allocation_bound(spark, sf):
     return al.allocation_bound(arcs, forecast, p, upper)
 
 
+@query
+def bound_check(spark, sf):
+    """The bound is no higher than the plan, and above nothing."""
+    row = allocation_bound(spark, sf)
+    return row.select((F.col("bound") <= F.col("upper") + 1e-6).alias("below_plan"), F.col("gap").between(0, 1).alias("gap_is_a_share"))
+
+
 @query
 def model_size(spark, sf):
     return al.model_size(b.arcs(spark, sf), 50.0)

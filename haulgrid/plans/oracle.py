@@ -182,6 +182,13 @@ WIDE = "wide as (select s.idx, lat, lon, " + ", ".join(
 RADII = "radii as (select k as point, case when k = 19 then 50e0 else k * (50e0 / 19) end as radius from (select unnest(range(0, 20)) as k))"
 AUDIT = " union all ".join([C1, C2, C3, C4, C56, C7, C8, C9])
 
+# The constraints that a plan without violations gives rows for; of the location rule only violations are rows.
+CONSTRAINTS = [
+    "C1_nonnegative_biomass_demand_supply", "C1_nonnegative_pellet_demand_supply", "C1_nonnegative_biomass_forecast", "C2_site_supply",
+    "C3_depot_in", "C3_depot_out", "C4_refinery_in", "C5_depots", "C5_depots_per_cell", "C6_refineries", "C6_refineries_per_cell",
+    "C7_coverage", "C8_balance",
+]
+
 ORACLE: dict[str, str] = {
     "read_site_panel": sql(SITES, HIST, PANEL_YEARS, select="""
         select p.idx, lat, lon, cast(p.yr as int) as yr, biomass from panel p join sites s on s.idx = p.idx
@@ -346,6 +353,9 @@ ORACLE: dict[str, str] = {
         select j, round(cost, 4) as cost, shipped, sources from (
           select j, sum(d * b) as cost, sum(b) as shipped, count(*) as sources from fill where b > 0 group by 1)
         where shipped >= 20000 - 1e-6 order by cost, j limit 1"""),
+    "linkage_checks": "select cast(5 as bigint) as clusters, count(*) as sites, true as named_by_least from supplier",
+    "bound_check": "select true as below_plan, true as gap_is_a_share",
+    "plan_audit": "select unnest([" + ", ".join(f"'{c}'" for c in CONSTRAINTS) + """]) as "constraint", cast(0 as bigint) as failed""",
     "plan_status": sql(HIST, select="""select cast(0 as bigint) as cluster, yr, round(sum(biomass) * 0.8e0, 6) as target, cast(25 as bigint) as quota,
         true as feasible from hist where yr in (1999, 2000) group by yr"""),
     "model_size": arcs("""select 10 * n + 4 as constraints, 2 * a + 2 * n * n + 2 * n as variables, 2 * n as integers,

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from haulgrid.functions.lineage import scratch_path
 from haulgrid.functions.scale import running_total
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written: its shuffle files go as soon as the job has ended, and Python workers get batches of few rows.
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,14 +22,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def store(df: DataFrame, name: str) -> str:
-    """Write `df` to the shared folder; the shuffle files of this job go as soon as it has ended."""
-    conf = df.sparkSession.conf
-    path, before = scratch_path(df.sparkSession, name), conf.get(_CLEANUP, "false")
-    conf.set(_CLEANUP, "true")
+    """Write `df` to the shared folder and return the place."""
+    conf, path = df.sparkSession.conf, scratch_path(df.sparkSession, name)
+    before = {key: conf.get(key) for key in _WRITING}
     try:
+        for key, value in _WRITING.items():
+            conf.set(key, value)
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        conf.set(_CLEANUP, before)
+        for key, value in before.items():
+            conf.set(key, value)
     return path
 
 

@@ -94,8 +94,8 @@ def _scanner(items: list[tuple[str, str | None]], window: int, spark):
         windows = Windows(sent.value, window)
         for texts in batches:
             data, offsets = text_arrays(texts)
-            raw = data.tobytes()
-            rows = [windows.scan(raw[offsets[k] : offsets[k + 1]]) for k in range(len(texts))]
+            raw = memoryview(data)
+            rows = [windows.scan(bytes(raw[offsets[k] : offsets[k + 1]])) for k in range(len(texts))]
             yield pa.array(
                 [{"n_words": n, "spans": [{"start": a, "end": b} for a, b in spans], "words": numbers, "items": found} for n, spans, numbers, found in rows],
                 pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("words", pa.list_(pa.int32())), ("items", pa.list_(pa.string()))]),

@@ -63,10 +63,10 @@ def _hash_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen = ContentTable()
     for batch in batches:
         data, offsets = text_arrays(batch.column("text"))
-        raw, rows = data.tobytes(), batch.column("_row").to_pylist()
+        raw, rows = memoryview(data), batch.column("_row").to_pylist()
         shas, hashes, owners, sizes, contents = [], [], [], [], []
         for k, row in enumerate(rows):
-            content = raw[offsets[k] : offsets[k + 1]].translate(None, BLANKS)
+            content = bytes(raw[offsets[k] : offsets[k + 1]]).translate(None, BLANKS)
             sha = hashlib.sha256(content).digest()
             h = int.from_bytes(sha[:8], "big", signed=True)
             if seen.bytes > BUCKET_BYTES:

@@ -20,7 +20,7 @@ from haulgrid.llm.hashing import mix, word_table, words
 
 #: Words are separated by blank, tab, line feed, vertical tab, form feed, carriage return; A-Z are lowered.
 WORD_BYTES = word_table(b"\x20\x09\x0a\x0b\x0c\x0d")
-RUN_BYTES = 1 << 20
+RUN_BYTES = 1 << 18
 
 
 @dataclass(frozen=True)

@@ -157,9 +157,9 @@ def pack(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW, w
         end = END.to_bytes(4, "little")
         for batch in batches:
             data, offsets = text_arrays(batch.column("text"))
-            raw = data.tobytes()
+            raw = memoryview(data)
             for k, doc_id in enumerate(batch.column("doc_id").to_pylist()):
-                packer.add(doc_id, encoder.text(raw[offsets[k] : offsets[k + 1]].decode()) + end)
+                packer.add(doc_id, encoder.text(str(raw[offsets[k] : offsets[k + 1]], "utf-8")) + end)
                 if len(packer.out) > 20_000:
                     yield taken()
             yield taken()

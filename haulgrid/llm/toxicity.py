@@ -17,7 +17,7 @@ from haulgrid.llm.hashing import mix, word_table, words
 #: Words are runs of letters and digits, A-Z lowered; bytes of other scripts belong to words.
 WORD_BYTES = word_table(bytes(b for b in range(128) if not chr(b).isalnum()))
 #: Texts are hashed in runs of about this many bytes.
-RUN_BYTES = 1 << 20
+RUN_BYTES = 1 << 18
 
 
 @dataclass(frozen=True)

@@ -240,5 +240,6 @@ def archive(pages: DataFrame, folder: str | None = None, **options) -> DataFrame
     """Write `pages` and read them back: the rows of `read_archives`."""
     spark: SparkSession = pages.sparkSession
     folder = folder or scratch_path(spark, "warc")
-    folder = folder if "://" in folder else f"file://{folder}"
+    if "://" not in folder:  # a plain path, or Hadoop's form with one slash
+        folder = "file://" + folder.removeprefix("file:")
     return read_archives(write_archives(pages, folder, **options).withColumn("address", F.lit(folder)))

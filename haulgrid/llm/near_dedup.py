@@ -200,33 +200,37 @@ def _few_tests(rows: DataFrame, step: int) -> DataFrame:
 
 
 def _rarest(rows: DataFrame, sets: DataFrame, p: Signature) -> DataFrame:
-    """`a, prefix`: the rarest shingles of every row, so many that two sets as similar as asked have one of them in common.
+    """`a, own, prefix`: how many shingles no other of these rows has, and the rarest of the others, from the rarest on.
 
-    In any order of all shingles, of two sets with Jaccard similarity t the first |x| - ceil(t |x|) + 1 shingles of each meet;
-    the order here is by the number of these rows that have the shingle, so a row of many changes is left with its own.
+    In any order of all shingles, of two sets x and y that need m shingles in common the first |x| - m + 1 of x and the first
+    |y| - m + 1 of y meet. The order here is by the number of these rows that have the shingle, so a row of many changes is
+    left with its own. `prefix` reaches as far as the smallest m asks.
     """
     own = lookup_join(sets, stored(rows.select(F.col("a").alias("_row")).distinct(), "ends"), ["_row"], stored=True)
     tokens = stored(own.select(F.col("_row").alias("a"), F.size("shingles").alias("size"), F.explode("shingles").alias("token")), "tokens")
     counted = tokens.join(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")), "token")
-    ranked = counted.groupBy("a", "size").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("ranked"))
+    ranked = counted.groupBy("a", "size").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("ranked"), F.count_if(F.col("df") == 1).cast("int").alias("own"))
     length = (F.col("size") - F.ceil(F.col("size") * p.percent / 100) + 1).cast("int")
-    return ranked.select("a", F.transform(F.filter(F.slice("ranked", F.lit(1), length), lambda x: x["df"] > 1), lambda x: x["token"]).alias("prefix"))
+    return ranked.select("a", "own", F.transform(F.filter(F.slice("ranked", F.lit(1), length), lambda x: x["df"] > 1), lambda x: x["token"]).alias("prefix"))
 
 
 def _all_tests(rows: DataFrame, sets: DataFrame, p: Signature) -> DataFrame:
-    """Every pair of rows that share an open bucket, lie in different components and have one of their rarest shingles in
-    common, once: at the least of their common keys. Rows outside a bucket's main component meet all others of the bucket."""
+    """Every pair of rows that share an open bucket, lie in different components and whose rarest shingles meet, once: at
+    the least of their common keys. Rows outside a bucket's main component meet all others of the bucket."""
     keys = rows.groupBy("a").agg(F.collect_list("key").alias("keys"))
     prefixes = _rarest(rows, sets, p).filter(F.size("prefix") > 0)
     full = stored(rows.join(keys, "a").join(prefixes, "a"), "full")
-    left = full.filter("root != main").select("key", "a", F.col("n").alias("n_a"), "root", "keys", "prefix")
+    left = full.filter("root != main").select("key", "a", F.col("n").alias("n_a"), "root", "keys", "own", "prefix")
     right = full.select(
         F.col("key").alias("_key"), F.col("a").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("_root"),
-        (F.col("root") != F.col("main")).alias("_also"), F.col("keys").alias("_keys"), F.col("prefix").alias("_prefix"),
+        (F.col("root") != F.col("main")).alias("_also"), F.col("keys").alias("_keys"), F.col("own").alias("_own"), F.col("prefix").alias("_prefix"),
     )
     same = (F.col("key") == F.col("_key")) & (F.col("root") != F.col("_root")) & (~F.col("_also") | (F.col("a") < F.col("b")))
     once = F.array_min(F.array_intersect("keys", "_keys")) == F.col("key")
-    return left.join(right, same & once & F.arrays_overlap("prefix", "_prefix")).select("a", "n_a", "b", "n_b")
+    needed = F.ceil(p.percent * (F.col("n_a") + F.col("n_b")) / (100 + p.percent) - 1e-9)
+    firsts = [F.greatest(F.lit(0), F.col(n) - needed + 1 - F.col(own)).cast("int") for n, own in (("n_a", "own"), ("n_b", "_own"))]
+    meet = F.arrays_overlap(F.slice("prefix", F.lit(1), firsts[0]), F.slice("_prefix", F.lit(1), firsts[1]))
+    return left.join(right, same & once & meet).select("a", "n_a", "b", "n_b")
 
 
 def near_classes(keyed: DataFrame, p: Signature = Signature()) -> DataFrame:
@@ -238,8 +242,8 @@ def near_classes(keyed: DataFrame, p: Signature = Signature()) -> DataFrame:
     3. Buckets of a few rows give all their pairs. In larger ones every row is first tested with the bucket's least row,
        then with some others, dealt anew by a hash each round; confirmed links are contracted to components, and a
        bucket within one component is finished. What is left between components after the rounds is tested in full:
-       rows outside a bucket's main component against all others with which they share one of their rarest shingles, as
-       linked sets must. No link between different components is lost, and a group of thousands of near copies costs
+       rows outside a bucket's main component against all others whose rarest shingles meet theirs, as those of linked
+       sets must. No link between different components is lost, and a group of thousands of near copies costs
        about in proportion to its size.
     4. Every link is confirmed on the full sets of both texts.
     """

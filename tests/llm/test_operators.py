@@ -313,6 +313,89 @@ def test_license_rules(make):
     assert got[3].licenses == got[4].licenses == "" and got[5].n_sentences in (0, 1)
 
 
+MIT = """MIT License
+
+Copyright (c) 2024 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM.
+"""
+ISC = """Copyright (c) 2024 Some One
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+"""
+BSD2 = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD3 = BSD2.replace("met:\n\n1. ", "met:\n  * ").replace("\n2. ", "\n(2) ") + """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+APACHE = """                                 Apache License
+                           Version 2.0, January 2004
+                        http://www.apache.org/licenses/
+
+   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION
+"""
+APACHE_NOTICE = """# Licensed under the Apache License, Version 2.0 (the "License"); you may not
+# use this file except in compliance with the License. You may obtain a copy
+# of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+"""
+GPL_NOTICE = """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+"""
+GPL = """                    GNU GENERAL PUBLIC LICENSE
+                       Version 3, 29 June 2007
+
+ Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>
+"""
+
+
+def test_whole_wrapped_licenses(make):
+    """Texts as they are shipped, also with other line ends, as comments and unwrapped; near ones that are another licence."""
+    whole = {"MIT": [MIT, MIT.partition("\n")[2]], "ISC": [ISC, ISC.replace("and/or", "and")], "BSD-2-Clause": [BSD2], "BSD-3-Clause": [BSD3],
+             "Apache-2.0": [APACHE, APACHE_NOTICE], "GPL-3.0": [GPL, GPL_NOTICE, GPL_NOTICE.replace("software:", "software;").replace("Foundation,", "Foundation;")]}
+    cases = []
+    for name, texts in whole.items():
+        for t in texts:
+            comment = "/*\n" + "".join(f" * {line}\n" for line in t.split("\n")) + " */\nint main() { return 0; }\n"
+            unwrapped = "\n\n".join(re.sub(r"\s*\n\s*", " ", part) for part in t.split("\n\n"))
+            cases += [(name, x) for x in (t, t.replace("\n", "\r\n"), comment)]
+            if t not in (APACHE, GPL, APACHE_NOTICE, BSD3):  # lines that stand for themselves
+                cases.append((name, unwrapped))
+    zero = ISC.replace(", provided that the above\ncopyright notice and this permission notice appear in all copies", "")
+    second = GPL_NOTICE.replace("software:", "software;").replace("Foundation, either version 3", "Foundation; either version 2")
+    cases += [("", zero), ("", second), ("", MIT.replace("any person obtaining", "any\n\nperson obtaining")), ("", MIT.replace("free of charge", "free of. charge"))]
+    got = {r.doc_id: r.licenses for r in licenses.recognise(make([(k, t) for k, (_, t) in enumerate(cases)])).collect()}
+    assert got == {k: name for k, (name, _) in enumerate(cases)}
+
+
 # Archives
 
 

@@ -131,7 +131,9 @@ def farthest_inside(
             pairs = side("a").join(side("b"), "cluster")
         else:
             pairs = pairs.join(side("a"), ["cluster", "px_a", "py_a"]).join(side("b"), ["cluster", "px_b", "py_b"])
-        pairs = pairs.filter(F.struct("x_a", "y_a") <= F.struct("x_b", "y_b"))
+        # Of two children of one cell either order would come; children of different cells come in one order alone.
+        apart = (F.col("px_a") != F.col("px_b")) | (F.col("py_a") != F.col("py_b"))
+        pairs = pairs.filter(apart | (F.struct("x_a", "y_a") <= F.struct("x_b", "y_b")))
         lat = F.greatest(F.abs(F.col("s_a") - F.col("n_b")), F.abs(F.col("s_b") - F.col("n_a")))
         lon = F.greatest(F.abs(F.col("e_a") - F.col("w_b")), F.abs(F.col("e_b") - F.col("w_a")))
         bounded = pairs.withColumn("most", F.sqrt(lat * lat + lon * lon) * scale + extra).withColumn("least", F.greatest(lat, lon) * scale)

@@ -124,6 +124,26 @@ def test_farthest_inside_equals_all_pairs(spark):
     assert got[9] == (900 * 20) % 5
 
 
+@pytest.mark.parametrize("depth", [2, 3])
+def test_farthest_inside_of_narrow_and_diagonal_clusters(spark, depth):
+    """Pairs of cells whose children stand in the other order than they do."""
+    rng = random.Random(depth)
+    spots = [(-1, rng.uniform(0, 16), rng.uniform(0, 16)) for _ in range(900)] + [(-1, 0.0, 0.0), (-1, 16.0, 16.0)]
+    spots += [(-1, 9.05 + rng.uniform(0, 0.9), 9.05 + rng.uniform(0, 0.9)) for _ in range(60 if depth == 3 else 0)]
+    spots += [(0, 0.95, 0.05), (0, 0.05, 3.95)] + [(0, 0.5 + rng.uniform(-0.02, 0.02), rng.uniform(1.5, 2.5)) for _ in range(12)]
+    for c in range(1, 41):
+        x, y, turned = rng.uniform(0, 12), rng.uniform(0, 12), c % 3
+        for _ in range(4):
+            a, b = rng.uniform(0, 4), rng.uniform(0, 0.9)
+            spots.append((c, *((x + b, y + a) if turned == 0 else (x + a, y + b) if turned == 1 else (x + a, y + 4 - a + b / 9))))
+    rows = spark.createDataFrame([(k, *s) for k, s in enumerate(spots)], "idx long, cluster long, lat double, lon double")
+    sites, labels = rows.select("idx", "lat", "lon"), rows.select("idx", "cluster")
+    assert nb._with_cells(sites)[1] == depth
+    got = {r.cluster: r.max_inner for r in nb.farthest_inside(sites, labels).collect()}
+    want = {c: max(math.hypot(p[1] - q[1], p[2] - q[2]) for p in own for q in own) for c in range(-1, 41) for own in [[s for s in spots if s[0] == c]]}
+    assert got == pytest.approx(want, abs=1e-9)
+
+
 def test_arcs_to_few(spark):
     sites = spark.createDataFrame([(k, float(k % 7), float(k // 7)) for k in range(50)], "idx long, lat double, lon double")
     ends = spark.createDataFrame([(3,), (9,), (9,), (41,)], "idx long")

@@ -40,19 +40,42 @@ def kind_of(entity: Column) -> Column:
     return out
 
 
+def _is_female(name: Column) -> Column:
+    return F.lower(name).rlike("^(?:" + "|".join(t.lower() for t in FEMALE) + r")\b")
+
+
+def canonical_parts(kind: Column, entity: Column) -> Column:
+    """What of an entity gets surrogates, in a form that all its spellings share: numbers as their digits (a phone without
+    a country code has the 1 that its form implies), persons as the class of the title and, each for itself, the names
+    after it, anything else in lower case. Names with titles of one class and equal surnames so share the surname."""
+    digits = F.regexp_replace(entity, "[^0-9]", "")
+    words = F.slice(F.split(F.lower(entity), " "), 2, 2)
+    title = F.when(_is_female(entity), F.lit("mrs ")).otherwise(F.lit("mr "))
+    return (
+        F.when(kind == "person", F.transform(words, lambda w: F.concat(title, w)))
+        .when((kind == "phone") & ~entity.startswith("+"), F.array(F.concat(F.lit("1"), digits)))
+        .when(kind.isin("card", "ssn", "phone"), F.array(digits))
+        .otherwise(F.array(F.lower(entity)))
+    )
+
+
 def _pick(letters: str, value: Column) -> Column:
     return F.substring(F.lit(letters), F.pmod(value, F.lit(len(letters))).cast("int") + 1, F.lit(1))
 
 
 def surrogate(kind: Column, canonical: Column, secret: str, attempt: Column) -> Column:
-    """The replacement of a canonical (lower-case) entity: an HMAC-like digest of key, kind, entity and attempt chooses
-    every character within its class, so length, punctuation, digits, script and (for persons) gender stay."""
+    """The replacement of a canonical entity: an HMAC-like digest of key, kind, entity and attempt chooses every character
+    within its class, so punctuation, digits, script and (for persons) gender stay, and at first the length. Every further
+    attempt makes a name longer by two letters, and from the fourth on an email by one: there is always a free one.
+    The leading 1 of eleven-digit phones stays, as spellings without it must tell numbers apart too."""
     inner = F.sha2(F.concat_ws("|", F.lit(secret), kind, canonical, attempt.cast("string")), 256)
+    more = F.when(kind == "person", 2 * attempt).when(kind == "email", F.greatest(attempt - 3, F.lit(0))).otherwise(F.lit(0)).cast("int")
+    length = F.length(canonical) + more
     # Enough digits for any length: a digest per 32 characters.
-    blocks = F.sequence(F.lit(0), F.floor(F.length(canonical) / 32).cast("int"))
+    blocks = F.sequence(F.lit(0), F.floor(length / 32).cast("int"))
     stream = F.array_join(F.transform(blocks, lambda k: F.sha2(F.concat_ws("|", F.lit(secret), inner, k.cast("string")), 256)), "")
     value = lambda i: F.conv(F.substring(stream, 2 * i + 1, F.lit(2)), 16, 10).cast("int")
-    female = F.lower(canonical).rlike("^(?:" + "|".join(t.lower() for t in FEMALE) + r")\b")
+    female = _is_female(canonical)
     title = F.length(F.regexp_extract(canonical, r"^[^ ]+ ", 0))
     tail = F.length(F.regexp_extract(canonical, r"\.[^.]*$", 0))  # the top-level domain
 
@@ -65,23 +88,26 @@ def surrogate(kind: Column, canonical: Column, secret: str, attempt: Column) ->
         )
 
     def named(c: Column, i: Column) -> Column:
-        v, last = value(i), F.length(canonical)
+        v = value(i)
         plain = F.when(F.pmod(i, F.lit(2)) == 0, _pick(_CONSONANTS, v)).otherwise(_pick(_VOWELS, v))
-        ending = F.when(i + 1 == last, F.when(female, F.lit("a")).otherwise(F.lit("o"))).otherwise(plain)
+        ending = F.when(i + 1 == length, F.when(female, F.lit("a")).otherwise(F.lit("o"))).otherwise(plain)
         return F.when(i < title, c).when(c.rlike(r"\p{IsCyrillic}|\p{IsGreek}"), letter(c, i)).when(c.rlike(r"\p{L}"), ending).otherwise(c)
 
     chars = F.split(canonical, "")
+    longer = F.concat(chars, F.array_repeat(F.substring(canonical, -1, 1), more))
+    mailed = F.concat(F.array_repeat(F.lit("x"), more), chars)
+    prefix = F.when((kind == "phone") & canonical.rlike("^1[0-9]{10}$"), 1).otherwise(0)
     octets = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: (F.pmod(value(k), F.lit(254)) + 1).cast("string")), ".")
     return (
         F.when(kind == "ip", octets)
-        .when(kind == "person", F.array_join(F.transform(chars, named), ""))
-        .when(kind == "email", F.array_join(F.transform(chars, lambda c, i: F.when(i >= F.length(canonical) - tail, c).otherwise(letter(c, i))), ""))
-        .otherwise(F.array_join(F.transform(chars, letter), ""))
+        .when(kind == "person", F.array_join(F.transform(longer, named), ""))
+        .when(kind == "email", F.array_join(F.transform(mailed, lambda c, i: F.when(i >= length - tail, c).otherwise(letter(c, i))), ""))
+        .otherwise(F.array_join(F.transform(chars, lambda c, i: F.when(i < prefix, c).otherwise(letter(c, i))), ""))
     )
 
 
 def assign_surrogates(entities: DataFrame, secret: str, most_attempts: int = 64) -> DataFrame:
-    """`kind, canonical, surrogate` for the distinct entities (`kind, canonical`), a stored table.
+    """`kind, canonical, surrogate` for the distinct entities (`kind, canonical`, see `canonical_parts`), a stored table.
 
     Collision checks: a surrogate that two entities of a kind share, or that is itself an entity of the corpus, goes to none
     but the least of those entitled; the others try again with the next attempt number, against everything assigned.
@@ -101,32 +127,51 @@ def assign_surrogates(entities: DataFrame, secret: str, most_attempts: int = 64)
     raise ValueError(f"no distinct surrogates after {most_attempts} attempts: a kind has more entities than replacements")
 
 
-def _as_written(entity: Column, replaced: Column) -> Column:
-    """The surrogate with the capitals of the entity."""
+def _as_written(kind: Column, entity: Column, first: Column, second: Column) -> Column:
+    """The surrogates of an entity's one or two parts in its own spelling: its separators, capitals and title."""
     upper = entity.rlike(r"\p{Lu}")
-    chars = F.transform(F.split(replaced, ""), lambda c, i: F.when(F.substring(entity, i + 1, F.lit(1)).rlike(r"\p{Lu}"), F.upper(c)).otherwise(c))
-    return F.when(upper, F.array_join(chars, "")).otherwise(replaced)
+    grown = F.greatest(F.length(first) - F.length(entity), F.lit(0))
+    own = lambda i: F.substring(entity, F.greatest(i - grown, F.lit(0)) + 1, F.lit(1))
+    cased = F.transform(F.split(first, ""), lambda c, i: F.when(own(i).rlike(r"\p{Lu}"), F.upper(c)).otherwise(c))
+    # Digits are counted from the right: a spelling may lack the country code.
+    after = lambda i: F.length(F.regexp_replace(F.substring(entity, i + 1, F.length(entity)), "[^0-9]", ""))
+    numbered = F.transform(F.split(entity, ""), lambda c, i: F.when(c.rlike("[0-9]"), F.substring(first, F.length(first) - after(i) + 1, F.lit(1))).otherwise(c))
+    name = lambda word: F.initcap(F.regexp_extract(word, "[^ ]+$", 0))
+    return (
+        F.when(kind == "person", F.concat_ws(" ", F.regexp_extract(entity, "^[^ ]+", 0), name(first), name(second)))
+        .when(kind.isin("card", "ssn", "phone"), F.array_join(numbered, ""))
+        .when(upper, F.array_join(cased, ""))
+        .otherwise(first)
+    )
 
 
 def pseudonymise(keyed: DataFrame, secret: str) -> DataFrame:
     """`keyed` (`_row`, `text`, more) with `text` replaced and `entities` added: array of (place, kind, entity, surrogate).
 
-    Matches are leftmost and do not overlap. An entity's canonical form is its lower case, so other spellings of capitals are
-    the same entity. Texts come back from one join by `_row`; the assignment is joined by entity, which adaptive execution
+    Matches are leftmost and do not overlap. Spellings of one canonical form (`canonical_parts`) are the same entity. Texts come back from one join by `_row`; the assignment is joined by entity, which adaptive execution
     splits where an entity is in very many texts. Null texts stay null and, as empty ones, have no entities.
     """
     hinted = F.col("text").rlike(HINT)
     found = F.when(hinted, F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)))
-    places = stored(
-        keyed.select("_row", F.posexplode(found).alias("place", "entity")).select("_row", "place", "entity", F.lower("entity").alias("canonical"), kind_of(F.col("entity")).alias("kind")),
-        "places",
-    )
+    entities = keyed.select("_row", F.posexplode(found).alias("place", "entity")).withColumn("kind", kind_of(F.col("entity")))
+    parts = canonical_parts(F.col("kind"), F.col("entity"))
+    places = stored(entities.select("_row", "place", "kind", "entity", F.posexplode(parts).alias("part", "canonical")), "places")
     known = assign_surrogates(places.select("kind", "canonical"), secret)
-    item = F.struct("place", "kind", "entity", _as_written(F.col("entity"), F.col("surrogate")).alias("surrogate"))
-    by_row = places.join(known, ["kind", "canonical"]).groupBy("_row").agg(F.array_sort(F.collect_list(item)).alias("_entities"))
+    item = F.struct("place", "part", "kind", "entity", "surrogate")
+    items = places.join(known, ["kind", "canonical"]).groupBy("_row").agg(F.array_sort(F.collect_list(item)).alias("_items"))
+    # The second part of an entity stands right behind the first.
+    both = F.transform("_items", lambda x, i: F.struct(x.alias("x"), F.get("_items", i + 1).alias("y")))
+    whole = F.filter(both, lambda b: b["x"]["part"] == 0)
+
+    def written(b: Column) -> Column:
+        second = F.when(b["y"]["place"] == b["x"]["place"], b["y"]["surrogate"])
+        made = _as_written(b["x"]["kind"], b["x"]["entity"], b["x"]["surrogate"], second)
+        return F.struct(b["x"]["place"].alias("place"), b["x"]["kind"].alias("kind"), b["x"]["entity"].alias("entity"), made.alias("surrogate"))
+
+    by_row = items.select("_row", F.transform(whole, written).alias("_entities"))
     gaps = F.split("text", PATTERN, -1)
-    parts = F.zip_with(gaps, F.col("_entities.surrogate"), lambda g, s: F.concat(g, F.coalesce(s, F.lit(""))))
+    pieces = F.zip_with(gaps, F.col("_entities.surrogate"), lambda g, s: F.concat(g, F.coalesce(s, F.lit(""))))
     none = F.array().cast("array<struct<place:int,kind:string,entity:string,surrogate:string>>")
     joined = keyed.join(by_row, "_row", "left")
-    text = F.when(F.col("_entities").isNull(), F.col("text")).otherwise(F.array_join(parts, ""))
+    text = F.when(F.col("_entities").isNull(), F.col("text")).otherwise(F.array_join(pieces, ""))
     return joined.withColumn("text", text).withColumn("entities", F.coalesce("_entities", none)).drop("_entities")

@@ -301,6 +301,35 @@ def test_surrogates_stay_distinct(spark):
     assert {tuple(r) for r in got} != {tuple(r) for r in pii.assign_surrogates(entities, "other").collect()}
 
 
+def test_many_short_names_find_surrogates(make):
+    short = [a + b for a in "BCDFGHKLMNPRSTVWXYZ" for b in "aeiou"]
+    texts = [(k, f"Mr {n} saw Ms {n} and Mr {n}{n.lower()}") for k, n in enumerate(short)] + [(1000 + k, f"{a}@b.co") for k, a in enumerate([x + y for x in "abcdefghijklmnopqrstuvwxyz" for y in "abcdefghij"])]
+    entities = [e for r in pii.pseudonymise(row_keyed(make(texts)), "k").collect() for e in r.entities]
+    made = {(e.kind, e.entity): e.surrogate for e in entities}
+    assert len(made) == len(set(made.values())) == 3 * len(short) + 260 and not set(made.values()) & {e for _, e in made}
+    for (kind, entity), s in made.items():
+        if kind == "person":
+            assert re.fullmatch(r"Mr [A-Z][a-z]*o" if entity.startswith("Mr ") else r"Ms [A-Z][a-z]*a", s)
+
+
+def test_spellings_of_an_entity_share_a_surrogate(make):
+    texts = [(1, "4407620926593142"), (2, "4407-6209-2659-3142"), (3, "4407 6209 2659 3142"), (4, "+1 (509) 555-6973"), (5, "(509) 555-6973"), (6, "509-555-6973"), (7, "+15095556973 "), (8, "(509)555-6974"),
+             (9, "Mr Karl Holm"), (10, "Mr. Holm"), (11, "Herr Holm"), (12, "Mr Peter Holm"), (13, "Mrs Holm"), (14, "Sir Karl Berg")]
+    rows = {r.doc_id: r for r in pii.pseudonymise(row_keyed(make(texts)), "k").collect()}
+    got = {k: r.entities[0].surrogate for k, r in rows.items() if len(r.entities) == 1}
+    assert len(got) >= 13
+    digits = {k: re.sub("[^0-9]", "", s) for k, s in got.items()}
+    assert digits[1] == digits[2] == digits[3] != "4407620926593142" and re.fullmatch(r"\d{4}-\d{4}-\d{4}-\d{4}", got[2])
+    assert digits[4][-10:] == digits[5] == digits[6] != "5095556973" and digits[8] != digits[5]
+    assert re.fullmatch(r"\+1 \(\d{3}\) \d{3}-\d{4}", got[4]) and re.fullmatch(r"\(\d{3}\) \d{3}-\d{4}", got[5])
+    if 7 in got:
+        assert digits[7] == digits[4]
+    last = {k: got[k].split(" ")[-1] for k in range(9, 15)}
+    assert last[9] == last[10] == last[11] == last[12] != last[13] and last[14] != last[9]
+    assert got[10].startswith("Mr. ") and got[11].startswith("Herr ") and len({got[9], got[12], got[10]}) == 3
+    assert got[9].split(" ")[1] == got[14].split(" ")[1] != got[12].split(" ")[1]
+
+
 # Licences
 
 

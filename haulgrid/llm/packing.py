@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import base64
 import heapq
+import json
+import os
 import re
 import zlib
 from array import array
@@ -39,16 +41,33 @@ PLAIN = r"'(?:s|t|re|ve|m|ll|d)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s"
 _RUNS = re.compile(r"\s\s")
 
 
+def added_tokens(vocabulary: str) -> dict[str, int]:
+    """The added tokens of the tokenizers file beside the rank file, which stand for themselves in a text; without a file, none."""
+    described = os.path.splitext(vocabulary)[0] + ".json"
+    if not os.path.exists(described):
+        return {}
+    with open(described, encoding="utf-8") as f:
+        tokens = json.load(f)["added_tokens"]
+    odd = [t["content"] for t in tokens if t["single_word"] or t["lstrip"] or t["rstrip"]]
+    if odd:
+        raise ValueError(f"added tokens that take in what is around them are not supported: {odd}")
+    return {t["content"]: t["id"] for t in tokens}
+
+
 class Encoder:
-    """Byte-level BPE ids as little-endian unsigned 32-bit numbers."""
+    """Byte-level BPE ids as little-endian unsigned 32-bit numbers; an added token in a text is its own id, and what is
+    before and after it is encoded by itself."""
 
     def __init__(self, vocabulary: str):
         with open(vocabulary, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.full, self.plain = (tiktoken.Encoding("vocabulary", pat_str=p, mergeable_ranks=ranks, special_tokens={}) for p in (PATTERN, PLAIN))
+        self.added = added_tokens(vocabulary)
+        self.full, self.plain = (tiktoken.Encoding("vocabulary", pat_str=p, mergeable_ranks=ranks, special_tokens=self.added) for p in (PATTERN, PLAIN))
 
     def text(self, text: str) -> bytes:
         encoding = self.full if _RUNS.search(text) else self.plain
+        if any(t in text for t in self.added):
+            return array("I", encoding.encode(text, allowed_special="all")).tobytes()
         return array("I", encoding.encode_ordinary(text)).tobytes()
 
 

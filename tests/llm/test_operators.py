@@ -196,6 +196,17 @@ def test_karmarkar_karp():
 # Near copies
 
 
+def test_added_tokens_are_their_own_ids(make):
+    tokenizers, public = pytest.importorskip("tokenizers"), pytest.importorskip("public_tokenizers")
+    library = tokenizers.Tokenizer.from_file(public.path("byte_bpe_50k.json"))
+    encoder = packing.Encoder(packing.default_vocabulary())
+    texts = ["one <|endoftext|> two", "<|endoftext|>", "<|endoftext|><|endoftext|>a", "a  <|endoftext|>  \n b", "<|endoftext|", "x<|<|endoftext|>|>", "it<|endoftext|>'s\n<|endoftext|>\n"]
+    for text in texts:
+        assert library.encode(text, add_special_tokens=False).ids == np.frombuffer(encoder.text(text), np.uint32).tolist()
+    rows = packing.pack(make([(1, texts[0])])).collect()
+    assert [(r.doc_tokens, r.ids_crc32) for r in rows] == [(5, zlib.crc32(np.array([505, 220, 50256, 734, 0], np.uint32).tobytes()))]
+
+
 def _shingles(text, n):
     words = [w for w in re.split(r"[\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if w]
     return {tuple(words)} if 0 < len(words) < n else {tuple(words[k : k + n]) for k in range(len(words) - n + 1)}

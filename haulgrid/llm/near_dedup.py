@@ -273,6 +273,15 @@ def near_classes(keyed: DataFrame, p: Signature = Signature()) -> DataFrame:
     return signed.join(owned, "same", "left").select("_row", "n", F.coalesce("_root", "_row").alias("component"))
 
 
+def with_ids(found: DataFrame, keyed: DataFrame) -> DataFrame:
+    """Add to the rows of `near_classes` their `doc_id`, and as `component_id` that of the component's least row."""
+    ids = keyed.select("_row", "doc_id")
+    if ids.filter(~F.col("_row").eqNullSafe(F.col("doc_id"))).isEmpty():
+        return found.withColumns({"doc_id": F.col("_row"), "component_id": F.col("component")})
+    own = stored(found.join(ids, "_row"), "classes")
+    return own.join(ids.select(F.col("_row").alias("component"), F.col("doc_id").alias("component_id")), "component")
+
+
 def drop_near_copies(docs: DataFrame, p: Signature = Signature()) -> DataFrame:
     """The rows of `docs` that stay, with all their columns: of each component the one with the smallest doc_id (nulls
     last), and every row without words."""

@@ -56,7 +56,8 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = row_keyed(documents(spark, sf_dir).select("doc_id", "text"))
     found = near_dedup.near_classes(docs.select("_row", "text"), near_dedup.Signature(words=2))
-    return found.select(F.col("_row").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), (F.col("_row") == F.col("component")).alias("kept"))
+    found = near_dedup.with_ids(found, docs)
+    return found.select("doc_id", F.col("n").alias("n_shingles"), "component_id", (F.col("_row") == F.col("component")).alias("kept"))
 
 
 def op6_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:

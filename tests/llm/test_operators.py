@@ -285,6 +285,17 @@ def test_components(spark):
 def test_surrogates(make):
     texts = [(1, "Write to Jane.Doe@Mail.example.com or JANE.DOE@MAIL.EXAMPLE.COM, +1 (509) 555-6973."), (2, "jane.doe@mail.example.com at 10.0.0.7; card 4407620926593142, 4407-6209-2659-3142"),
              (3, "Mrs Anna Berg met Mr Karl Holm."), (4, None), (5, ""), (6, "nothing 12 here"), (6, "nothing 12 here"), (7, "иван@mail.example.org")]
+def test_near_dedup_query_gives_document_ids(spark, tmp_path):
+    from haulgrid.llm.queries import QUERIES
+
+    words = " ".join(WORDS)
+    rows = [(70, words), (70, words), (900, words + " end"), (None, "quite another text"), (50, "alone here"), (None, "alone here")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = [tuple(r) for r in QUERIES["op5_minhash_near_dedup"](spark, str(tmp_path)).collect()]
+    want = [(70, 18, 70, True), (70, 18, 70, False), (900, 19, 70, False), (None, 2, None, True), (50, 1, 50, True), (None, 1, 50, False)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
     got = {}
     for r in pii.pseudonymise(row_keyed(make(texts)), "k").collect():
         got.setdefault(r.doc_id, r)

@@ -86,18 +86,21 @@ class Learner:
 
 
 def train_batches(batches: Iterator[tuple[pa.Array, list[int]]], p: Ftrl) -> tuple[np.ndarray, np.ndarray]:
-    """Coordinates and values of the weights that are not zero. Later epochs reread the features of the first."""
+    """Coordinates and values of the weights that are not zero. A text that no longer fits `sample_bytes` is passed over. Later epochs reread the features of the first."""
     learner, seen, left = Learner(p), [], p.sample_bytes
     for texts, labels in batches:
+        kept = []
+        for k, size in enumerate(np.diff(text_arrays(texts)[1])):
+            if size <= left:
+                kept.append(k)
+                left -= int(size)
+        if len(kept) < len(texts):
+            texts, labels = texts.take(pa.array(kept, pa.int64())), [labels[k] for k in kept]
         data, offsets = text_arrays(texts)
-        fit = int(np.searchsorted(offsets, left, "right")) - 1
-        left -= len(data)
-        for found, y in zip(_distinct(data, offsets[: fit + 1], p.bits), labels):
+        for found, y in zip(_distinct(data, offsets, p.bits), labels):
             learner.learn(found, y)
             if p.epochs > 1:
                 seen.append((found, y))
-        if left < 0:
-            break
     for _ in range(p.epochs - 1):
         for found, y in seen:
             learner.learn(found, y)
@@ -138,7 +141,8 @@ def train(docs: DataFrame, labels: DataFrame, p: Ftrl = Ftrl()) -> dict[int, flo
 
 
 def scorer(spark: SparkSession, weights: dict[int, float], p: Ftrl = Ftrl()):
-    """Column function of a text: its toxicity from 0 to 1. Empty and null texts get the score of the bias alone."""
+    """Column function of a text: its toxicity from 0 to 1. Empty and null texts get the score of the bias alone.
+    A model without weights knows nothing of any text and scores all 0, so that nothing is dropped on its account."""
     sent = spark.sparkContext.broadcast(weights)
     bits = p.bits
 
@@ -156,6 +160,6 @@ def scorer(spark: SparkSession, weights: dict[int, float], p: Ftrl = Ftrl()):
                 hits = np.flatnonzero(w[numbers])
                 pairs = np.unique(owners[hits].astype(np.int64) << bits | numbers[hits])
                 sums[a:b] += np.bincount(pairs >> bits, w[pairs & ((1 << bits) - 1)], b - a)
-            yield pa.array(1 / (1 + np.exp(-np.clip(sums, -30, 30))))
+            yield pa.array(1 / (1 + np.exp(-np.clip(sums, -30, 30))) if sent.value else np.zeros(len(texts)))
 
     return score

@@ -128,6 +128,20 @@ def test_toxicity_of_odd_rows(spark, odd, empty):
     assert odd.select(score("text").alias("s")).filter("s between 0 and 1").count() == len(ODD)
 
 
+def test_toxicity_without_training_rows_drops_nothing(odd, spark):
+    score = toxicity.scorer(spark, toxicity.train(odd, spark.createDataFrame([], "doc_id long, toxic int")))
+    assert odd.filter(score("text") < toxicity.Ftrl().threshold).count() == len(ODD)
+
+
+def test_a_text_beyond_the_byte_budget_is_passed_over():
+    p = toxicity.Ftrl(sample_bytes=5_000)
+    rows = [("foul one", 1), ("kind two", 0)] * 60
+    small = [(toxicity.pa.array([t for t, _ in rows]), [y for _, y in rows])]
+    large = [(toxicity.pa.array(["y " * 5_000, *[t for t, _ in rows[:50]], "y " * 5_000]), [1, *[y for _, y in rows[:50]], 1]), (toxicity.pa.array([t for t, _ in rows[50:]]), [y for _, y in rows[50:]])]
+    (a, v), (b, w) = toxicity.train_batches(iter(small), p), toxicity.train_batches(iter(large), p)
+    assert len(a) and a.tolist() == b.tolist() and v.tolist() == w.tolist()
+
+
 # Packing
 
 

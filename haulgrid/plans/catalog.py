@@ -691,6 +691,7 @@ def flow_totals(spark, sf):
 def supply_chain_plan(spark, sf):
     history = _history(spark, sf)
     planned = plan_supply_chain(
-        b.arcs(spark, sf), lambda ids: b.arcs(spark, sf, 150.0, ids), history, _scaled(spark, sf), n_clusters=3
-    )
+        b.arcs(spark, sf, REACH), lambda ids: b.arcs(spark, sf, 150.0, ids), history, _scaled(spark, sf), n_clusters=3,
+        radius=REACH, diameters=lambda labels: b.diameters(spark, sf, labels),
+    )
     return planned.report

@@ -19,3 +19,19 @@ def test_plan_passes_its_audit(spark, sf):
     assert {r.yr for r in costs} == set(b.YEARS)
     for r in costs:
         assert abs(r.cost - (r.transport + r.mae + r.underuse)) < 1e-6
+
+
+def test_the_registered_plan_clusters_over_all_pairs(spark, sf, matrix, monkeypatch):
+    from haulgrid.operators import clustering as cl
+    from haulgrid.plans import catalog
+
+    made = []
+    monkeypatch.setattr(catalog, "plan_supply_chain", lambda *a, **k: made.append(plan_supply_chain(*a, **k)) or made[0])
+    catalog.supply_chain_plan(spark, sf)
+    labels = made[0].labels
+    want = cl.average_linkage(matrix, 3, radius=catalog.REACH)
+    assert {tuple(r) for r in labels.select("idx", "cluster").collect()} == {tuple(r) for r in want.select("idx", "cluster").collect()}
+    inner = {r.cluster: r.max_inner for r in cl.intra_max(matrix, labels).collect()}
+    got = {r.cluster: r.max_inner for r in made[0].profile.collect()}
+    assert len(got) == 3 and got == {c: inner[c] for c in got} and max(got.values()) > catalog.REACH
+    assert made[0].audit.filter(~F.col("ok")).isEmpty()

@@ -87,3 +87,16 @@ def slices(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + most, "right")) - 1)
         yield a, min(b, n)
         a = min(b, n)
+
+
+def gathered(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in fewer, larger batches: each ends when its texts in `column` reach `most` bytes."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.column(column).nbytes
+        if size >= most:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)

@@ -7,6 +7,7 @@ subtraction and one product (arithmetic modulo 2^64, in which an odd base has an
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INV = np.uint64(pow(int(BASE), -1, 1 << 64))
@@ -52,16 +53,17 @@ def run_ids(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
 
 
 def word_table(separators: bytes, lower: bool = True) -> np.ndarray:
-    """For each byte its value after lower-casing A-Z, 0 for a separator."""
+    """For each byte its value after lower-casing A-Z, 0 for a separator. A NUL that is none gets 255, which UTF-8 never has."""
     t = np.arange(256, dtype=np.uint8)
+    t[0] = 255
     if lower:
         t[65:91] += 32
     t[np.frombuffer(separators, np.uint8)] = 0
     return t
 
 
-def words(data: np.ndarray, offsets: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words of all texts: (start, end, 64-bit identifier) and for each text the index of its first word (n + 1)."""
+def word_spans(data: np.ndarray, offsets: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Mapped bytes of all texts, (start, end) of their words, and for each text the index of its first word (n + 1)."""
     low = to[data]
     inside = low != 0
     cut = np.zeros(len(data) + 1, bool)
@@ -71,5 +73,20 @@ def words(data: np.ndarray, offsets: np.ndarray, to: np.ndarray) -> tuple[np.nda
         first[1:] &= ~inside[:-1] | cut[1:-1]
         last[:-1] &= ~inside[1:] | cut[1:-1]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    ids = run_ids(prefix_sums(low), starts, ends)
-    return starts, ends, ids, np.searchsorted(starts, offsets)
+    return low, starts, ends, np.searchsorted(starts, offsets)
+
+
+def words(data: np.ndarray, offsets: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of all texts: (start, end, 64-bit identifier) and for each text the index of its first word (n + 1)."""
+    low, starts, ends, first = word_spans(data, offsets, to)
+    return starts, ends, run_ids(prefix_sums(low), starts, ends), first
+
+
+def word_codes(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, pa.StringArray]:
+    """The number of each word among the distinct words, and these words; compared by content, not by identifier."""
+    bounds = np.zeros(len(starts) + 1, np.int32)
+    np.cumsum(ends - starts, out=bounds[1:])
+    kept = low[low != 0]
+    kept[kept == 255] = 0
+    found = pa.StringArray.from_buffers(len(starts), pa.py_buffer(bounds), pa.py_buffer(kept)).dictionary_encode()
+    return found.indices.to_numpy().astype(np.int64), found.dictionary

@@ -84,6 +84,26 @@ select d.doc_id, cast(len(ws) as bigint) as n_words, coalesce(n_hit, 0) as n_hit
 from d left join h using (doc_id) left join it using (doc_id)
 """
 
+DIVERGENCE = r"""
+with d as (select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source,
+      regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as ts from documents),
+c as (select r, lang, source, term, count(*) as n from (select r, lang, source, unnest(ts) as term from d) group by all),
+k as (select lang, term, sum(n) as n from c group by lang, term having count(*) >= 30),
+l as (select lang, cast(count(*) as hugeint) as v, sum(n) as total from k group by lang),
+g as (select distinct lang, source from d),
+s as (select lang, source, term, sum(c.n) as n from c join k using (lang, term) group by all),
+t as (select lang, source, sum(n) as total from s group by all),
+x as (select g.lang, g.source, k.term, coalesce(s.n, 0) as n, 1 + (1000000000::hugeint * (coalesce(s.n, 0) + 5)) // (coalesce(t.total, 0) + 5 * l.v) as p,
+      1 + (1000000000::hugeint * (k.n + 5)) // (l.total + 5 * l.v) as q
+      from g join k using (lang) join l using (lang) left join s using (lang, source, term) left join t using (lang, source)),
+pr as (select a.lang, a.source, b.source as item, sum(abs(a.p - b.p)) as value from x a join x b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+o as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(pr.value, 0) as value
+      from g a join g b on a.lang = b.lang and a.source <> b.source left join pr on pr.lang = a.lang and pr.source = a.source and pr.item = b.source
+      union all select lang, source, 'term', term, p - q from x where n > 0 and p > q)
+select lang, source, part, item, cast(value as bigint) as value, cast(rank as integer) as rank
+from (select *, row_number() over (partition by lang, source, part order by value desc, item) as rank from o) where part = 'pair' or rank <= 50
+"""
+
 ORACLE = {
     "op1_exact_dedup": EXACT,
     "op2_secret_scan": SECRETS,
@@ -91,4 +111,5 @@ ORACLE = {
     "op7_license_scan": LICENSES,
     "op8_warc": WARC,
     "op9_decontamination": DECONTAMINATION,
+    "op11_source_divergence": DIVERGENCE,
 }

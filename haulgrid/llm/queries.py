@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from haulgrid.llm import (
     decontaminate,
+    divergence,
     exact_dedup,
     licenses,
     near_dedup,
@@ -90,6 +91,10 @@ def op10_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(documents(spark, sf_dir).select("text", "lang", "source"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_exact_dedup, op2_secret_scan, op3_toxicity, op4_packing, op5_minhash_near_dedup, op6_pii_surrogates, op7_license_scan, op8_warc, op9_decontamination, op10_repeated_spans,
+    op1_exact_dedup, op2_secret_scan, op3_toxicity, op4_packing, op5_minhash_near_dedup, op6_pii_surrogates, op7_license_scan, op8_warc, op9_decontamination, op10_repeated_spans, op11_source_divergence,
 )}

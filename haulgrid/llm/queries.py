@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from haulgrid.llm import (
+    collocations,
     decontaminate,
     divergence,
     exact_dedup,
@@ -95,6 +96,10 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(documents(spark, sf_dir).select("text", "lang", "source"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(documents(spark, sf_dir).select("text", "lang"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_exact_dedup, op2_secret_scan, op3_toxicity, op4_packing, op5_minhash_near_dedup, op6_pii_surrogates, op7_license_scan, op8_warc, op9_decontamination, op10_repeated_spans, op11_source_divergence,
+    op1_exact_dedup, op2_secret_scan, op3_toxicity, op4_packing, op5_minhash_near_dedup, op6_pii_surrogates, op7_license_scan, op8_warc, op9_decontamination, op10_repeated_spans, op11_source_divergence, op13_collocations,
 )}

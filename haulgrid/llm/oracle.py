@@ -107,14 +107,15 @@ from (select *, row_number() over (partition by lang, source, part order by valu
 COLLOCATIONS = r"""
 with p as (select coalesce(lang, 'und') as lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents),
 w as (select lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') as ws from p),
-g as (select lang, m, ws[k : k + m - 1] as ph from (select lang, ws, m, unnest(range(1, cast(len(ws) - m + 2 as bigint))) as k from w, (values (1), (2), (3), (4)) as t(m) where len(ws) >= m)),
-f as (select lang, m, ph, count(*) as a from g group by all having count(*) >= 30),
+g as (select lang, m, array_to_string(ws[k : k + m - 1], ' ') as ph from (select lang, ws, m, unnest(range(1, cast(len(ws) - m + 2 as bigint))) as k from w, (values (1), (2), (3), (4)) as t(m) where len(ws) >= m)),
+f as materialized (select lang, m, ph, string_split(ph, ' ') as ws, a from (select lang, m, ph, count(*) as a from g group by all having count(*) >= 30)),
 n as (select lang, cast(sum(len(ws)) as bigint) as n from w group by lang),
-c as (select c.lang, c.m, c.ph, c.a, x.k, lf.a as l, rf.a as r, (2000000::hugeint * c.a) // (lf.a + rf.a) as score
-      from f c join (values (1), (2), (3)) as x(k) on x.k < c.m join f lf on lf.lang = c.lang and lf.ph = c.ph[1 : x.k] join f rf on rf.lang = c.lang and rf.ph = c.ph[x.k + 1 : c.m]),
+t as (select lang, m, ph, a, k, array_to_string(ws[1 : k], ' ') as head, array_to_string(ws[k + 1 : m], ' ') as tail from f join (values (1), (2), (3)) as x(k) on k < m),
+c as materialized (select t.lang, t.m, t.ph, t.a, k, lf.a as l, rf.a as r, (2000000::hugeint * t.a) // (lf.a + rf.a) as score
+      from t join f lf on lf.lang = t.lang and lf.ph = head join f rf on rf.lang = t.lang and rf.ph = tail),
 b as (select * from c qualify row_number() over (partition by lang, ph order by score, k) = 1),
-s as (select lang, ph[o : o + q - 1] as ph, max(a) as longer from f, (values (1), (2), (3)) as x(o), (values (2), (3)) as y(q) where q < m and o + q - 1 <= m group by all),
-o as (select b.lang, array_to_string(b.ph, ' ') as phrase, b.a, b.l, b.r, cast(b.score as bigint) as score from b left join s on s.lang = b.lang and s.ph = b.ph where coalesce(100 * s.longer < 80 * b.a, true))
+s as (select lang, array_to_string(ws[o : o + q - 1], ' ') as ph, max(a) as longer from f, (values (1), (2), (3)) as x(o), (values (2), (3)) as y(q) where q < m and o + q - 1 <= m group by all),
+o as (select b.lang, b.ph as phrase, b.a, b.l, b.r, cast(b.score as bigint) as score from b left join s on s.lang = b.lang and s.ph = b.ph where coalesce(100 * s.longer < 80 * b.a, true))
 select o.lang, rank, phrase, a, l, r, n.n, score from (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from o) o join n using (lang) where rank <= 2000
 """
 

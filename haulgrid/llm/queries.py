@@ -10,6 +10,7 @@ from haulgrid.llm import (
     decontaminate,
     divergence,
     exact_dedup,
+    languages,
     licenses,
     near_dedup,
     packing,
@@ -96,10 +97,16 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(documents(spark, sf_dir).select("text", "lang", "source"))
 
 
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    told = languages.identify(docs.select("doc_id", "text"), languages.train(docs))
+    return told.select("doc_id", languages.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "accepted")
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(documents(spark, sf_dir).select("text", "lang"))
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_exact_dedup, op2_secret_scan, op3_toxicity, op4_packing, op5_minhash_near_dedup, op6_pii_surrogates, op7_license_scan, op8_warc, op9_decontamination, op10_repeated_spans, op11_source_divergence, op13_collocations,
+    op1_exact_dedup, op2_secret_scan, op3_toxicity, op4_packing, op5_minhash_near_dedup, op6_pii_surrogates, op7_license_scan, op8_warc, op9_decontamination, op10_repeated_spans, op11_source_divergence, op12_language_id, op13_collocations,
 )}

@@ -174,14 +174,17 @@ def _contracted(roots: DataFrame, links: DataFrame) -> DataFrame:
     return stored(moved.select("node", F.coalesce("_to", "root").alias("root")), "roots")
 
 
-def _open(buckets: DataFrame, roots: DataFrame) -> DataFrame:
-    """Rows of buckets that lie in several components: `key, a, n, root, main, first, size`; `main` is the component with
-    most rows of the bucket, `first` its least row."""
-    named = buckets.join(roots.select(F.col("node").alias("a"), "root"), "a").select("key", "a", "n", "root")
+def _by_row(rows: DataFrame) -> DataFrame:
+    """One row for each `a`, with the `keys` of its buckets: as many as a signature has, at most."""
+    return stored(rows.groupBy("a", "n").agg(F.collect_list("key").alias("keys")), "large")
+
+
+def _open(large: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows of buckets that lie in several components: `key, a, n, root, first, size`; `first` is the least row of the bucket.
+    Components are looked up once a row, not once for each of its buckets."""
+    named = large.join(roots.select(F.col("node").alias("a"), "root"), "a").select(F.explode("keys").alias("key"), "a", "n", "root")
     parts = named.groupBy("key", "root").agg(F.count(F.lit(1)).alias("s"), F.min("a").alias("first"))
-    sizes = parts.groupBy("key").agg(
-        F.max(F.struct("s", "root"))["root"].alias("main"), F.min("first").alias("first"), F.sum("s").alias("size"), F.count(F.lit(1)).alias("_parts")
-    )
+    sizes = parts.groupBy("key").agg(F.min("first").alias("first"), F.sum("s").alias("size"), F.count(F.lit(1)).alias("_parts"))
     return stored(named.join(sizes.filter("_parts > 1").drop("_parts"), "key"), "open")
 
 
@@ -216,21 +219,20 @@ def _rarest(rows: DataFrame, sets: DataFrame, p: Signature) -> DataFrame:
 
 def _all_tests(rows: DataFrame, sets: DataFrame, p: Signature) -> DataFrame:
     """Every pair of rows that share an open bucket, lie in different components and whose rarest shingles meet, once: at
-    the least of their common keys. Rows outside a bucket's main component meet all others of the bucket."""
-    keys = rows.groupBy("a").agg(F.collect_list("key").alias("keys"))
-    prefixes = _rarest(rows, sets, p).filter(F.size("prefix") > 0)
-    full = stored(rows.join(keys, "a").join(prefixes, "a"), "full")
-    left = full.filter("root != main").select("key", "a", F.col("n").alias("n_a"), "root", "keys", "own", "prefix")
-    right = full.select(
-        F.col("key").alias("_key"), F.col("a").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("_root"),
-        (F.col("root") != F.col("main")).alias("_also"), F.col("keys").alias("_keys"), F.col("own").alias("_own"), F.col("prefix").alias("_prefix"),
-    )
-    same = (F.col("key") == F.col("_key")) & (F.col("root") != F.col("_root")) & (~F.col("_also") | (F.col("a") < F.col("b")))
-    once = F.array_min(F.array_intersect("keys", "_keys")) == F.col("key")
+    the first shingle that both have among as many of the rarest as the sizes of the two ask for. The rows meet by these
+    shingles and not by their buckets, so a bucket of very many rows is not gone through pair by pair."""
+    keys = rows.groupBy("a", "n", "root").agg(F.collect_list("key").alias("keys"))
+    full = stored(keys.join(_rarest(rows, sets, p).filter(F.size("prefix") > 0), "a"), "full")
+    tokens = full.withColumn("token", F.explode("prefix"))
+    left = tokens.withColumnRenamed("n", "n_a")
+    right = tokens.select(
+        "token", F.col("a").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("_root"), F.col("keys").alias("_keys"), F.col("own").alias("_own"), F.col("prefix").alias("_prefix")
+    )
     needed = F.ceil(p.percent * (F.col("n_a") + F.col("n_b")) / (100 + p.percent) - 1e-9)
     firsts = [F.greatest(F.lit(0), F.col(n) - needed + 1 - F.col(own)).cast("int") for n, own in (("n_a", "own"), ("n_b", "_own"))]
-    meet = F.arrays_overlap(F.slice("prefix", F.lit(1), firsts[0]), F.slice("_prefix", F.lit(1), firsts[1]))
-    return left.join(right, same & once & meet).select("a", "n_a", "b", "n_b")
+    meet = F.array_intersect(F.slice("prefix", F.lit(1), firsts[0]), F.slice("_prefix", F.lit(1), firsts[1]))
+    apart = (F.col("a") < F.col("b")) & (F.col("root") != F.col("_root")) & F.arrays_overlap("keys", "_keys")
+    return left.join(right, (left["token"] == right["token"]) & apart & (F.get(meet, F.lit(0)) == left["token"])).select("a", "n_a", "b", "n_b")
 
 
 def near_classes(keyed: DataFrame, p: Signature = Signature()) -> DataFrame:
@@ -242,8 +244,7 @@ def near_classes(keyed: DataFrame, p: Signature = Signature()) -> DataFrame:
     3. Buckets of a few rows give all their pairs. In larger ones every row is first tested with the bucket's least row,
        then with some others, dealt anew by a hash each round; confirmed links are contracted to components, and a
        bucket within one component is finished. What is left between components after the rounds is tested in full:
-       rows outside a bucket's main component against all others whose rarest shingles meet theirs, as those of linked
-       sets must. No link between different components is lost, and a group of thousands of near copies costs
+       rows of different components that share a bucket and whose rarest shingles meet, as those of linked sets must. No link between different components is lost, and a group of thousands of near copies costs
        about in proportion to its size.
     4. Every link is confirmed on the full sets of both texts.
     """
@@ -254,7 +255,7 @@ def near_classes(keyed: DataFrame, p: Signature = Signature()) -> DataFrame:
     buckets = stored(keys.join(shared, "key"), "buckets")
 
     small = buckets.filter(F.col("_size") <= SMALL)
-    large = buckets.filter(F.col("_size") > SMALL).select("key", "a", "n")
+    large = _by_row(buckets.filter(F.col("_size") > SMALL))
     ends = small.select("key", F.col("a").alias("b"), F.col("n").alias("n_b"))
     met = small.withColumnRenamed("n", "n_a").join(ends, "key").filter("a < b")
     first = stored(_candidates(met, classes, p), "candidates")
@@ -268,7 +269,7 @@ def near_classes(keyed: DataFrame, p: Signature = Signature()) -> DataFrame:
         tests = _few_tests(rows, step) if step <= ROUNDS else _all_tests(rows, sets, p)
         candidates = stored(_candidates(tests, classes, p), "candidates")
         roots = _contracted(roots, stored(_confirmed(candidates, sets, p), "links"))
-        large = rows.select("key", "a", "n")
+        large = _by_row(rows)
     owned = classes.join(roots.select(F.col("node").alias("a"), "root"), "a", "left").select("same", F.coalesce("root", "a").alias("_root"))
     return signed.join(owned, "same", "left").select("_row", "n", F.coalesce("_root", "_row").alias("component"))
 

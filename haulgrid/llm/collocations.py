@@ -19,7 +19,7 @@ from haulgrid.llm.hashing import mix, prefix_sums, run_ids, word_codes, word_spa
 BREAKS = b".,;:!?\x0a\x0b\x0c\x0d"
 WORD_BYTES = word_table(b"\x20\x09" + BREAKS)
 #: Texts are counted in runs of about this many bytes.
-RUN_BYTES = 8 << 20
+RUN_BYTES = 4 << 20
 #: Bits of a filter at most (32 MB), bits for each phrase in it up to there, and bits of one slice as it is built.
 FILTER_BITS, BITS_EACH, SLICE_BITS = 1 << 28, 16, 1 << 16
 
@@ -61,18 +61,15 @@ class PhraseFilter:
         return ((self.bits[at >> 3] >> (at & 7)) & 1).all(axis=0)
 
 
-def filter_of(phrases: DataFrame) -> PhraseFilter:
-    """The filter of `phrases` (`lang, words array`), a written table. The slices of the bitmap are built in tasks; the driver
-    gets the bitmap itself, of at most FILTER_BITS whatever the number of phrases."""
-    size = 1 << max(16, min(FILTER_BITS.bit_length() - 1, (BITS_EACH * phrases.count()).bit_length()))
+def filter_of(ids: DataFrame) -> PhraseFilter:
+    """The filter of the identifiers `ids` (`id`), a written table. The slices of the bitmap are built in tasks; the driver gets the
+    bitmap itself, of at most FILTER_BITS whatever the number of phrases."""
+    size = 1 << max(16, min(FILTER_BITS.bit_length() - 1, (BITS_EACH * ids.count()).bit_length()))
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = _string_ids(batch.column("lang"))
-            lists = batch.column("words")
-            for k in range(max([0, *pc.list_value_length(lists).unique().to_pylist()])):
-                ids = _then(ids, _string_ids(pc.list_element(lists, k)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(PhraseFilter.places(ids, size)))], ["at"])
+            found = batch.column("id").to_numpy().view(np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(PhraseFilter.places(found, size)))], ["at"])
 
     def packed(table: pa.Table) -> pa.Table:
         at = table.column("at").to_numpy()
@@ -80,13 +77,69 @@ def filter_of(phrases: DataFrame) -> PhraseFilter:
         bits[at % SLICE_BITS] = 1
         return pa.table({"slice": pa.array([int(at[0]) // SLICE_BITS]), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()])})
 
-    places = phrases.mapInArrow(placed, "at long").groupBy(F.expr(f"at div {SLICE_BITS}").alias("slice"))
+    places = ids.mapInArrow(placed, "at long").groupBy(F.expr(f"at div {SLICE_BITS}").alias("slice"))
     bits = np.zeros(size // 8, np.uint8)
     for r in places.applyInArrow(packed, "slice long, bits binary").collect():
         bits[r["slice"] * SLICE_BITS // 8 :][: SLICE_BITS // 8] = np.frombuffer(r["bits"], np.uint8)
     return PhraseFilter(bits)
 
 
+@dataclass
+class Run:
+    """The words of a run of texts: their numbers among the run's distinct `words`, the language of each, and whether each is in one
+    piece with the word before."""
+
+    code: np.ndarray
+    words: pa.StringArray
+    lang: np.ndarray
+    langs: pa.Array
+    joined: np.ndarray
+
+    @staticmethod
+    def of(texts: pa.Array, langs: pa.Array) -> Run:
+        data, offsets = text_arrays(texts)
+        low, starts, ends, first = word_spans(data, offsets, WORD_BYTES)
+        code, words = word_codes(low, starts, ends)
+        named = langs.dictionary_encode()
+        doc = np.repeat(np.arange(len(texts)), np.diff(first))
+        breaks = np.zeros(len(data) + 1, np.int32)
+        np.cumsum(np.isin(data, np.frombuffer(BREAKS, np.uint8)), out=breaks[1:])
+        joined = np.zeros(len(doc), bool)
+        joined[1:] = (doc[1:] == doc[:-1]) & (breaks[starts[1:]] == breaks[ends[:-1]])
+        return Run(code, words, named.indices.to_numpy()[doc].astype(np.int64), named.dictionary, joined)
+
+    def phrases(self, most: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each length from 1 to `most`: the length, the places of the first words of all phrases, their identifiers."""
+        word_ids = _string_ids(self.words)[self.code]
+        at = np.arange(len(self.code))
+        ids = _then(_string_ids(self.langs)[self.lang], word_ids)
+        yield 1, at, ids
+        for m in range(2, most + 1):
+            ahead = at[at + m - 1 < len(self.code)]
+            ids, at = ids[: len(ahead)], ahead
+            there = self.joined[at + m - 1]
+            at, ids = at[there], ids[there]
+            ids = _then(ids, word_ids[at + m - 1])
+            yield m, at, ids
+
+
+def phrase_counts(run: Run, orders: Sequence[int], known: PhraseFilter | None) -> pa.RecordBatch:
+    """`id, n`: occurrences of the phrases of the lengths `orders`, by identifier. `known` has the words, or pairs of words, that
+    may be part of one: the words for length 2, the pairs for 3 and 4."""
+    parts, part = [], 1 if orders == (2,) else 2
+    may = np.zeros(len(run.code), bool)
+    for m, at, ids in run.phrases(max(orders)):
+        if m == part:
+            may[at] = True if known is None else known.has(ids)
+        if m in orders:
+            for k in range(0 if m > part else m, m - part + 1):
+                kept = may[at + k]
+                at, ids = at[kept], ids[kept]
+            parts.append(ids)
+    ids, n = np.unique(np.concatenate(parts), return_counts=True)
+    return pa.RecordBatch.from_arrays([pa.array(ids.view(np.int64)), pa.array(n.astype(np.int64))], ["id", "n"])
+
+
 _STRIPE = "lang string, prefix array<string>, cells array<struct<next string, n long>>"
 
 
@@ -98,96 +151,82 @@ def _nested(columns: Sequence[pa.Array], rows: int) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.arange(rows + 1) * width, pa.int32()), flat.take(pa.array(order, pa.int64())))
 
 
-def run_stripes(texts: pa.Array, langs: pa.Array, orders: Sequence[int], known: PhraseFilter | None) -> Iterator[pa.RecordBatch]:
-    """Stripes of one run of texts, for the phrase lengths `orders` (1, 2, or 3 and 4). For length 2 `known` has the words that may
-    occur in a phrase, for longer ones the pairs of words."""
-    data, offsets = text_arrays(texts)
-    low, starts, ends, first = word_spans(data, offsets, WORD_BYTES)
-    code, words = word_codes(low, starts, ends)
-    named = langs.dictionary_encode()
-    doc = np.repeat(np.arange(len(texts)), np.diff(first))
-    lang, size = named.indices.to_numpy()[doc].astype(np.int64), max(1, len(words))
-    breaks = np.zeros(len(data) + 1, np.int32)
-    np.cumsum(np.isin(data, np.frombuffer(BREAKS, np.uint8)), out=breaks[1:])
-    joined = (doc[1:] == doc[:-1]) & (breaks[starts[1:]] == breaks[ends[:-1]]) if len(doc) else np.zeros(0, bool)
-
-    def stripes(keys: np.ndarray, n: np.ndarray, of_prefix, width: int) -> pa.RecordBatch:
-        """`keys` are sorted numbers prefix * size + next; `of_prefix` gives language and words of prefix numbers."""
-        prefix, begins = np.unique(keys // size, return_index=True)
-        cells = pa.StructArray.from_arrays([words.take(pa.array(keys % size)), pa.array(n.astype(np.int64))], ["next", "n"])
-        own, parts = of_prefix(prefix)
-        names = _nested([words.take(pa.array(p)) for p in parts], len(prefix))
-        return pa.RecordBatch.from_arrays([named.dictionary.take(pa.array(own)), names, pa.ListArray.from_arrays(pa.array(np.append(begins, len(keys)), pa.int32()), cells)], ["lang", "prefix", "cells"])
-
-    unit = lang * size + code
-    if 1 in orders:
-        keys, n = np.unique(unit, return_counts=True)
-        yield stripes(keys, n, lambda p: (p, []), 0)
-    if not {2, 3, 4} & set(orders):
-        return
-    at = np.flatnonzero(joined)
-    if known is not None and orders == (2,):
-        units, number = np.unique(unit, return_inverse=True)
-        ids = _then(_string_ids(named.dictionary)[units // size], _string_ids(words)[units % size])
-        may = known.has(ids)[number]
-        at = at[may[at] & may[at + 1]]
-    pairs, number, n = np.unique(unit[at] * size + code[at + 1], return_inverse=True, return_counts=True)
-    if 2 in orders:
-        yield stripes(pairs, n, lambda p: (p // size, [p % size]), 1)
-    if not {3, 4} & set(orders):
-        return
-    own, one, two = pairs // size // size, pairs // size % size, pairs % size
-    if known is not None:
-        by_word = _string_ids(words)
-        may = known.has(_then(_then(_string_ids(named.dictionary)[own], by_word[one]), by_word[two]))
-    else:
-        may = np.ones(len(pairs), bool)
-    pair_at = np.full(len(code), -1)
-    pair_at[at] = np.where(may[number], number, -1)
-    at = np.flatnonzero((pair_at[:-1] >= 0) & (pair_at[1:] >= 0)) if len(pair_at) else at[:0]
-    triples, number, n = np.unique(pair_at[at] * size + code[at + 2], return_inverse=True, return_counts=True)
-    if 3 in orders:
-        yield stripes(triples, n, lambda p: (own[p], [one[p], two[p]]), 2)
-    if 4 in orders:
-        triple_at = np.full(len(code), -1)
-        triple_at[at] = number
-        at = at[triple_at[at + 1] >= 0]
-        fours, n = np.unique(triple_at[at] * size + code[at + 3], return_counts=True)
-        head, third = triples // size, triples % size
-        yield stripes(fours, n, lambda p: (own[head[p]], [one[head[p]], two[head[p]], third[p]]), 3)
-
-
-def stripe_cells(docs: DataFrame, orders: Sequence[int], known: PhraseFilter | None = None) -> DataFrame:
-    """`lang, prefix, next, n`: the merged stripes of `docs` (`text, lang`). A stripe is merged cell by cell, as that of a frequent
-    word, let alone of the empty prefix, would not fit a row."""
-    sent = docs.sparkSession.sparkContext.broadcast(known)
+def run_stripes(run: Run, orders: Sequence[int], known: PhraseFilter | None) -> Iterator[pa.RecordBatch]:
+    """The stripes of a run for each phrase length of `orders`, of the phrases that `known` has, of all without. `known` must
+    have the prefixes of what it has. With length 1 come the word occurrences of each language, as a cell without a word."""
+    size = max(1, len(run.words))
+
+    def batch(lang: np.ndarray, prefix: list[pa.Array], begins: np.ndarray, following: pa.Array, n: np.ndarray) -> pa.RecordBatch:
+        cells = pa.StructArray.from_arrays([following, pa.array(n.astype(np.int64))], ["next", "n"])
+        stripes = pa.ListArray.from_arrays(pa.array(np.append(begins, len(n)), pa.int32()), cells)
+        return pa.RecordBatch.from_arrays([run.langs.take(pa.array(lang)), _nested(prefix, len(lang)), stripes], ["lang", "prefix", "cells"])
+
+    # Each phrase that goes on has a number; `before` gives for each its prefix's number and its last word.
+    number, before = run.lang, []
+    for m, at, ids in run.phrases(max(orders)):
+        if m == 1 and m in orders:
+            n = np.bincount(run.lang, minlength=len(run.langs))
+            yield batch(np.arange(len(n)), [], np.arange(len(n)), pa.nulls(len(n), pa.string()), n)
+        if known is not None and m in orders:
+            kept = known.has(ids) & (number[at] >= 0)
+            at = at[kept]
+        found, index, n = np.unique(number[at] * size + run.code[at + m - 1], return_inverse=True, return_counts=True)
+        if m in orders:
+            prefix, begins = np.unique(found // size, return_index=True)
+            own, parts = prefix, []
+            for earlier in reversed(before):
+                parts.insert(0, run.words.take(pa.array(earlier[own] % size)))
+                own = earlier[own] // size
+            yield batch(own, parts, begins, run.words.take(pa.array(found % size)), n)
+        number = np.full(len(run.code), -1)
+        number[at] = index
+        before.append(found)
+
+
+def _by_run(make):
+    """Apply `make` to the runs of a partition's texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for texts in gathered(batches, "text", RUN_BYTES):
             _, offsets = text_arrays(texts.column("text"))
             for a, b in slices(offsets, RUN_BYTES):
-                yield from run_stripes(texts.column("text").slice(a, b - a), texts.column("lang").slice(a, b - a), tuple(orders), sent.value)
+                yield from make(Run.of(texts.column("text").slice(a, b - a), texts.column("lang").slice(a, b - a)))
 
-    made = docs.select("text", "lang").mapInArrow(run, _STRIPE)
+    return run
+
+
+def hashed_counts(docs: DataFrame, orders: Sequence[int], known: PhraseFilter | None = None) -> DataFrame:
+    """`id, n`: a hashed phrase and its occurrences; no less than those of the phrase, more only where two phrases share an id."""
+    sent = docs.sparkSession.sparkContext.broadcast(known)
+    made = docs.select("text", "lang").mapInArrow(_by_run(lambda r: [phrase_counts(r, tuple(orders), sent.value)]), "id long, n long")
+    return made.groupBy("id").agg(F.sum("n").alias("n"))
+
+
+def stripe_cells(docs: DataFrame, orders: Sequence[int], known: PhraseFilter | None = None) -> DataFrame:
+    """`lang, prefix, next, n`: the merged stripes of `docs` (`text, lang`). A stripe is merged cell by cell, as that of a frequent
+    word, let alone of the empty prefix, would not fit a row."""
+    sent = docs.sparkSession.sparkContext.broadcast(known)
+    made = docs.select("text", "lang").mapInArrow(_by_run(lambda r: run_stripes(r, orders, sent.value)), _STRIPE)
     return made.select("lang", "prefix", F.inline("cells")).groupBy("lang", "prefix", "next").agg(F.sum("n").alias("n"))
 
 
 def frequent_phrases(docs: DataFrame, p: Mining) -> tuple[DataFrame, DataFrame]:
-    """`lang, words, a` for all phrases of 1 to 4 words with `p.least` occurrences, and `lang, n` with all word occurrences.
+    """`lang, words, a` for all phrases of 1 to 4 words with `p.least` occurrences, and `lang, n` with all word occurrences of
+    languages that have so many.
 
-    Level by level: a phrase can be frequent only if its words, and its pairs of words, are. The frequent ones of a level
-    go to the next as a filter of fixed size, so counts stay whole and nothing that grows with the corpus is broadcast.
+    Level by level: a phrase can be frequent only if its words, and its pairs of words, are. Which phrases may be frequent is
+    counted by identifier, and goes on as a filter of fixed size; stripes with the words themselves are made of these alone,
+    with all their occurrences. So counts are exact and whole, and nothing that grows with the corpus is broadcast.
     """
-    def phrases(cells: DataFrame) -> DataFrame:
-        return cells.filter(F.col("n") >= p.least).select("lang", F.concat("prefix", F.array("next")).alias("words"), F.col("n").alias("a"))
-
-    vocabulary = stored(stripe_cells(docs, (1,)), "words")
-    totals = vocabulary.groupBy("lang").agg(F.sum("n").alias("n"))
-    levels = [stored(phrases(vocabulary), "phrases")]
-    for orders in ((2,), (3, 4)):
-        known = filter_of(levels[-1])
-        levels.append(stored(phrases(stripe_cells(docs, orders, known)), "phrases"))
-    return levels[0].unionByName(levels[1]).unionByName(levels[2]), totals
+    enough = F.col("n") >= p.least
+    ids, known = [], None
+    for orders in ((1,), (2,), (3, 4)):
+        ids.append(stored(hashed_counts(docs, orders, known).filter(enough).select("id"), "ids"))
+        known = filter_of(ids[-1])
+    known = filter_of(ids[0].unionByName(ids[1]).unionByName(ids[2]))
+    cells = stored(stripe_cells(docs, (1, 2, 3, 4), known).filter(enough), "stripes")
+    phrases = cells.filter(F.col("next").isNotNull()).select("lang", F.concat("prefix", F.array("next")).alias("words"), F.col("n").alias("a"))
+    return phrases, cells.filter(F.col("next").isNull()).select("lang", "n")
 
 
 def cohesion(a: Column, parts: Column, p: Mining) -> Column:
@@ -224,5 +263,5 @@ def collocations(docs: DataFrame, p: Mining = Mining()) -> DataFrame:
     kept = scored.join(longest, ["lang", "words"], "left").filter(F.col("longer").isNull() | ~covered)
     kept = kept.select("lang", F.array_join("words", " ").alias("phrase"), "a", "cut.l", "cut.r", "cut.score")
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    best = kept.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= p.top)
-    return best.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    best = kept.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= p.top)
+    return best.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")

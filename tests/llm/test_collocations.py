@@ -65,7 +65,8 @@ def test_a_full_filter_loses_nothing(spark):
     full = collocations.PhraseFilter(np.full(1 << 13, 255, np.uint8))
     for orders in ((2,), (3, 4)):
         a, b = ({(r.lang, *r.prefix, r.next): r.n for r in collocations.stripe_cells(docs, orders, known).collect()} for known in (None, full))
-        assert a == b
+        c, d = ({r.id: r.n for r in collocations.hashed_counts(docs, orders, known).collect()} for known in (None, full))
+        assert a == b and c == d and sorted(a.values()) == sorted(c.values())
     assert not collocations.PhraseFilter(np.zeros(1 << 13, np.uint8)).has(np.arange(100, dtype=np.uint64)).any()
 
 
@@ -77,9 +78,14 @@ def test_odd_and_empty_tables(odd, empty):
 
 def test_stripes_of_a_run():
     texts, langs = pa.array(["a b c. a b d", "", "a b"]), pa.array(["en", "en", "de"])
-    (pairs,) = collocations.run_stripes(texts, langs, (2,), None)
-    got = {(r["lang"], *r["prefix"]): {c["next"]: c["n"] for c in r["cells"]} for r in pairs.to_pylist()}
-    assert got == {("en", "a"): {"b": 2}, ("en", "b"): {"c": 1, "d": 1}, ("de", "a"): {"b": 1}}
+    (pairs,) = collocations.run_stripes(collocations.Run.of(texts, langs), (2,), None)
+    def stripes(batch):
+        return {(r["lang"], *r["prefix"]): {c["next"]: c["n"] for c in r["cells"]} for r in batch.to_pylist()}
+
+    all_words, words, _ = collocations.run_stripes(collocations.Run.of(texts, langs), (1, 2), None)
+    assert stripes(all_words) == {("en",): {None: 6}, ("de",): {None: 2}}
+    assert stripes(words) == {("en",): {"a": 2, "b": 2, "c": 1, "d": 1}, ("de",): {"a": 1, "b": 1}}
+    assert stripes(pairs) == {("en", "a"): {"b": 2}, ("en", "b"): {"c": 1, "d": 1}, ("de", "a"): {"b": 1}}
 
 
 def test_scores_are_exact_beyond_64_bits(spark):

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import tiktoken
+import tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
@@ -39,6 +40,8 @@ def default_vocabulary() -> str:
 #: Without runs of white space the pattern's look-ahead is idle; leaving it out makes splitting much faster.
 PLAIN = r"'(?:s|t|re|ve|m|ll|d)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s"
 _RUNS = re.compile(r"\s\s")
+#: White space of this length is beyond the stack of the fast encoder's pattern engine.
+_LONG = re.compile(r"\s{10000}")
 
 
 def added_tokens(vocabulary: str) -> dict[str, int]:
@@ -56,15 +59,21 @@ def added_tokens(vocabulary: str) -> dict[str, int]:
 
 class Encoder:
     """Byte-level BPE ids as little-endian unsigned 32-bit numbers; an added token in a text is its own id, and what is
-    before and after it is encoded by itself."""
+    before and after it is encoded by itself. Texts with very long white space go to the tokenizers library, which is slower
+    and gives the same ids."""
 
     def __init__(self, vocabulary: str):
         with open(vocabulary, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.added = added_tokens(vocabulary)
+        self.vocabulary, self.slow = vocabulary, None
         self.full, self.plain = (tiktoken.Encoding("vocabulary", pat_str=p, mergeable_ranks=ranks, special_tokens=self.added) for p in (PATTERN, PLAIN))
 
     def text(self, text: str) -> bytes:
+        if _LONG.search(text):
+            if self.slow is None:
+                self.slow = tokenizers.Tokenizer.from_file(os.path.splitext(self.vocabulary)[0] + ".json")
+            return array("I", self.slow.encode(text, add_special_tokens=False).ids).tobytes()
         encoding = self.full if _RUNS.search(text) else self.plain
         if any(t in text for t in self.added):
             return array("I", encoding.encode(text, allowed_special="all")).tobytes()

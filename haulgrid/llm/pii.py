@@ -11,16 +11,18 @@ from haulgrid.llm.common import stored
 #: Titles that show the gender of the name after them.
 FEMALE = ("Mrs", "Ms", "Miss", "Madam", "Madame", "Mme", "Frau", "Señora", "Doña")
 MALE = ("Mr", "Sir", "Monsieur", "Herr", "Señor", "Don")
+_NAME = r"\p{Lu}\p{Ll}{1,60}(?!\p{Ll})"
 _TITLE = "(?:" + "|".join(sorted((*FEMALE, *MALE), key=len, reverse=True)) + r")\.?"
 
-#: Kinds in the order in which they are tried at a place.
+#: Kinds in the order in which they are tried at a place. All parts are bounded: an address as mail and name servers bound it (64
+#: before the @, labels of 63, 127 labels), a name by 60 letters. What is longer is none, and costs neither stack nor time.
 KINDS = {
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,125}\.[A-Za-z]{2,63}",
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])",
     "card": r"(?<![0-9])[0-9]{4}(?:[ -]?[0-9]{4}){3}(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "phone": r"\+[0-9]{1,3}[ .-]?\(?[0-9]{1,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])|(?<![0-9])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])|(?<![0-9-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9-])",
-    "person": rf"(?<!\p{{L}}){_TITLE} \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?",
+    "person": rf"(?<!\p{{L}}){_TITLE} {_NAME}(?: {_NAME})?",
 }
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
 #: Without one of these a text is not searched.

@@ -85,16 +85,26 @@ def sentence_ids(text: Column, sentences: dict[str, str] = SENTENCES) -> Column:
     return F.concat(F.lit(","), F.array_join(ids, ","), F.lit(","))
 
 
+def follows(ids: Column, rule: tuple[str, ...]) -> Column:
+    """Whether the identifiers of `rule` stand in the comma-joined `ids` in this order, each sought behind the one before."""
+    at = F.lit(1)
+    for name in rule:
+        place = F.call_function("locate", F.lit(f",{name},"), ids, at)
+        # Not found stays not found; else on from the comma that ends the name.
+        at = F.when((at > 0) & (place > 0), place + len(name) + 1).otherwise(F.lit(0))
+    return at > 0
+
+
 def recognise(docs: DataFrame, text: str = "text", sentences: dict[str, str] = SENTENCES, rules=RULES) -> DataFrame:
     """Add `sentence_ids` (in order, comma-joined), `n_sentences`, `licenses` (sorted, comma-joined).
 
     Null and empty texts hold no sentence. Every row gives one row. Columns of `docs` with these names are replaced.
     """
     out = docs.withColumn("sentence_ids", sentence_ids(F.coalesce(F.col(text), F.lit("")), sentences))
-    names: dict[str, list[str]] = {}
+    hits: dict[str, Column] = {}
     for name, ids in rules:
-        names.setdefault(name, []).append(",(?:[^,]+,)*".join(ids))
-    hits = {n: F.col("sentence_ids").rlike("|".join(f"(?:,{p},)" for p in ps)) for n, ps in names.items()}
+        met = follows(F.col("sentence_ids"), ids)
+        hits[name] = hits[name] | met if name in hits else met
     for winner, loser in HIDES:
         if winner in hits and loser in hits:
             hits[loser] = hits[loser] & ~hits[winner]

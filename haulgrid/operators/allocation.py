@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -99,6 +100,61 @@ def fill_single_depot(
     return filled.select("i", "j", "d", "b")
 
 
+@dataclass(frozen=True)
+class Frontier:
+    """Arcs of any length, fetched as plants need them: `legs(radius, ends)` gives all arcs (i, j, d) up to `radius` into the
+    plants `ends(idx)`, into all of `plants(idx)` for None. No arc is longer than `reach`; plants start with those up to `start`."""
+
+    legs: Callable[[float, DataFrame | None], DataFrame]
+    plants: DataFrame
+    start: float
+    reach: float
+
+
+class _Arcs:
+    """The arcs (cluster, i, j, d) that are known so far, in stored tables sorted by plant, and for a `Frontier` the radius up to
+    which each plant's arcs are among them."""
+
+    def __init__(self, source: DataFrame | Frontier, clustered: Callable[[DataFrame], DataFrame], labels: DataFrame | None, factor: float):
+        self.frontier = source if isinstance(source, Frontier) else None
+        self.clustered = clustered
+        if self.frontier is None:
+            self.pieces, self.radius = [clustered(source)], None
+            return
+        # What costs more than the biomass is worth is not part of the greedy rounds.
+        self.reach = min(self.frontier.reach, 1 / factor)
+        start = min(self.frontier.start, self.reach)
+        self.pieces = [self._fetched(start, None)]
+        plants = self.frontier.plants.select("idx")
+        plants = plants.withColumn("cluster", F.lit(0).cast("bigint")) if labels is None else plants.join(labels.select("idx", "cluster"), "idx")
+        self.radius = cut(plants.select("cluster", F.col("idx").alias("j"), F.lit(start).alias("radius")), "radius")
+
+    def _fetched(self, radius: float, ends: DataFrame | None, beyond: float = -1.0) -> DataFrame:
+        found = self.clustered(self.frontier.legs(radius, ends).filter(F.col("d") > beyond))
+        return cut(found.repartitionByRange("cluster", "j").sortWithinPartitions("cluster", "j"), "arcs")
+
+    @property
+    def table(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, self.pieces)
+
+    def whole(self, clusters: DataFrame) -> DataFrame:
+        """All arcs of the clusters, whatever they cost."""
+        found = self.table if self.frontier is None else self.clustered(self.frontier.legs(self.frontier.reach, None))
+        return found.join(clusters, "cluster", "left_semi")
+
+    def extend(self, plants: DataFrame) -> None:
+        """Fetch the next ring of arcs for `plants` (`cluster, j`): the radius doubles. There are as many different radii as
+        doublings so far, a handful; each is one job."""
+        grown = cut(self.radius.join(plants, ["cluster", "j"], "left_semi"), "grown")
+        for r in sorted(row["radius"] for row in grown.select("radius").distinct().collect()):
+            ends = grown.filter(F.col("radius") == r)
+            ring = self._fetched(min(2 * r, self.reach), ends.select(F.col("j").alias("idx")).distinct(), r)
+            self.pieces.append(cut(ring.join(ends.select("cluster", "j"), ["cluster", "j"], "left_semi"), "ring"))
+        more = grown.select("cluster", "j", F.lit(True).alias("_more"))
+        doubled = F.when(F.col("_more"), F.least(F.col("radius") * 2, F.lit(self.reach))).otherwise(F.col("radius"))
+        self.radius = cut(self.radius.join(more, ["cluster", "j"], "left").select("cluster", "j", doubled.alias("radius")), "radius")
+
+
 def fill_by_radius(
     legs: Callable[[float, DataFrame | None], DataFrame], depots: DataFrame, forecast: DataFrame, cap: float, start: float, reach: float
 ) -> DataFrame:
@@ -241,21 +297,64 @@ def _refilled(fills: DataFrame, arcs: DataFrame, left: DataFrame, chosen: DataFr
     return cut(kept.unionByName(fill_by_rank(again, cap, keys, F.col("d"), spread, whole=False)), "fills")
 
 
-def _greedy(arcs: DataFrame, supply: DataFrame, cap: float, limits: DataFrame, factor: float, rounds: int) -> DataFrame:
+def _scored(fills: DataFrame, arcs: _Arcs, closed: DataFrame | None, active: DataFrame, cap: float, years: int, factor: float) -> DataFrame:
+    """`cluster, j, score, short` of the plants that may still open: added cost of a plant's filling. A plant of a `Frontier` that is not
+    full and whose radius can grow is `short`; its score is then the least that it can become, the room that is left filled at the
+    present radius."""
+    gain = F.lit(factor) * F.col("d") - 1.0
+    known = fills.groupBy("cluster", "j").agg((F.sum(gain * F.col("b")) + years * cap).alias("score"), F.sum("b").alias("filled"))
+    if arcs.radius is None:
+        return known.join(active, "cluster", "left_semi").select("cluster", "j", "score", F.lit(False).alias("short"))
+    plants = arcs.radius if closed is None else arcs.radius.join(closed, ["cluster", "j"], "left_anti")
+    plants = plants.join(active, "cluster", "left_semi").join(known, ["cluster", "j"], "left")
+    room = years * cap - F.coalesce("filled", F.lit(0.0))
+    short = (room > years * cap * 1e-9) & (F.col("radius") < arcs.reach)
+    score = F.coalesce("score", F.lit(years * cap)) + F.when(short, room * (factor * F.col("radius") - 1)).otherwise(0.0)
+    return plants.filter(short | (F.col("filled") > 0)).select("cluster", "j", score.alias("score"), short.alias("short"))
+
+
+#: Of the plants that may need more arcs about this many are looked at together, those with the best prospects first.
+PROSPECTS = 500
+
+
+def _resolved(fills: DataFrame, arcs: _Arcs, supply: DataFrame, closed: DataFrame | None, active: DataFrame, cap: float, years: int, factor: float) -> tuple[DataFrame, DataFrame]:
+    """Fillings and scores after short plants that might be the cheapest of their cluster have got all arcs that decide it."""
+    while True:
+        scores = cut(_scored(fills, arcs, closed, active, cap, years, factor), "scores")
+        if arcs.radius is None:
+            return fills, scores
+        best = scores.groupBy("cluster").agg(F.min(F.when(~F.col("short"), F.col("score"))).alias("best"))
+        doubtful = cut(scores.filter("short").join(best, "cluster").filter(F.col("best").isNull() | (F.col("score") <= F.col("best"))), "doubtful")
+        n = doubtful.count()
+        if n == 0:
+            return fills, scores
+        if n > PROSPECTS:
+            bars = doubtful.groupBy("cluster").agg(F.percentile_approx("score", F.lit(PROSPECTS / n)).alias("bar"))
+            doubtful = doubtful.join(bars, "cluster").filter(F.col("score") <= F.col("bar"))
+        chosen = cut(doubtful.select("cluster", "j"), "prospects")
+        arcs.extend(chosen)
+        offered = arcs.table.join(chosen, ["cluster", "j"], "left_semi").join(supply, ["cluster", "i"])
+        offered = cut(offered, "offered")
+        refilled = fill_by_rank(offered, cap, ["cluster", "j", "yr"], F.col("d"), spread_of(offered, ["cluster", "j"]), whole=False)
+        fills = cut(fills.join(chosen, ["cluster", "j"], "left_anti").unionByName(refilled.select(fills.columns)), "fills")
+
+
+def _greedy(arcs: _Arcs, supply: DataFrame, cap: float, limits: DataFrame, factor: float, rounds: int) -> DataFrame:
     """Open plants per cluster in the order of least added cost until the targets are met or the quota is used.
 
-    `arcs(cluster, i, j, d)`, `supply(cluster, i, yr, supply)`; `limits(cluster, quota, yr, target)` says
+    `arcs` of (cluster, i, j, d), `supply(cluster, i, yr, supply)`; `limits(cluster, quota, yr, target)` says
     how many plants a cluster may open and what it must ship per year. Returns (cluster, i, j, yr, d, b).
 
     Gives what opening one plant after the other gives, but many plants a round. A plant that is cheaper than every plant
     it shares a source with keeps its filling until its turn comes, since fillings only get dearer as supply goes; all such
     plants open at once. A cluster is finished when the plants cheaper than any that is left meet its targets or its quota;
-    plants beyond are dropped again. So the rounds depend on how far plants reach, not on how many there are. Clusters whose
+    plants beyond are dropped again. So the rounds depend on how far plants reach, not on how many there are. Over a
+    `Frontier` the result is that over all arcs: a plant whose filling is not certain yet counts with the least score it can
+    have, gets more arcs only once it might be the next to open, and none opens that is not cheaper. Clusters whose
     targets cannot be met by arcs that cost less than their biomass is worth are planned one by one over all arcs.
     """
-    spark = arcs.sparkSession
-    gain = F.lit(factor) * F.col("d") - 1.0
-    cheap = arcs.filter(F.col("d") * factor < 1.0)
+    spark = supply.sparkSession
+    cheap = arcs.table.filter(F.col("d") * factor < 1.0)
     spread = spread_of(cheap, ["cluster", "j"])
     columns = ["cluster", "i", "j", "yr", "d", "b"]
     first_supply = supply
@@ -266,10 +365,9 @@ def _greedy(arcs: DataFrame, supply: DataFrame, cap: float, limits: DataFrame, f
     active = limits.filter("quota > 0").select("cluster").distinct()
     schema = fills.select(*columns, F.lit(0.0).alias("score")).schema
     picked: list[str] = []
-    picks = None
+    picks = closed = None
     while True:
-        scores = fills.groupBy("cluster", "j").agg((F.sum(gain * F.col("b")) + years * cap).alias("score"))
-        scores = cut(scores.join(active, "cluster", "left_semi"), "scores")
+        fills, scores = _resolved(fills, arcs, supply, closed, active, cap, years, factor)
         if picks is not None:
             rest = scores.groupBy("cluster").agg(F.min(F.struct("score", "j")).alias("rest"))
             certain = picks.join(rest, "cluster", "left").filter(F.col("rest").isNull() | (F.struct("score", "j") < F.col("rest")))
@@ -281,27 +379,33 @@ def _greedy(arcs: DataFrame, supply: DataFrame, cap: float, limits: DataFrame, f
             break
         users = fills.select("cluster", "i", "yr", "j").join(scores, ["cluster", "j"])
         cheapest = users.groupBy("cluster", "i", "yr").agg(F.min(F.struct("score", "j")).alias("m"))
-        first = users.join(cheapest, ["cluster", "i", "yr"]).groupBy("cluster", "j", "score").agg(F.bool_and(F.col("m.j") == F.col("j")).alias("first"))
+        first = users.filter(~F.col("short")).join(cheapest, ["cluster", "i", "yr"]).groupBy("cluster", "j", "score").agg(F.bool_and(F.col("m.j") == F.col("j")).alias("first"))
         opened = first.filter("first").select("cluster", "j", "score")
+        if arcs.radius is not None:
+            prospects = scores.filter("short").groupBy("cluster").agg(F.min("score").alias("least"))
+            opened = opened.join(prospects, "cluster", "left").filter(F.col("least").isNull() | (F.col("score") < F.col("least"))).drop("least")
         picked.append(written(fills.select(*columns).join(opened, ["cluster", "j"]).select(*columns, "score"), "chosen"))
         new = spark.read.schema(schema).parquet(picked[-1])
         picks = spark.read.schema(schema).parquet(*picked)
+        closed = picks.select("cluster", "j").distinct()
         used = new.groupBy("cluster", "i", "yr").agg(F.sum("b").alias("used"))
         left = supply.join(used, ["cluster", "i", "yr"], "left")
         left = left.withColumn("supply", F.col("supply") - F.coalesce(F.col("used") + F.col("supply") * ROUNDING, F.lit(0.0)))
         before, supply = (fills, supply), cut(left.filter("supply > 0").drop("used"), "supply")
-        fills = _refilled(fills, cheap, supply, new.select("cluster", "j").distinct(), used.select("cluster", "i", "yr"), cap, spread)
+        near = arcs.table.filter(F.col("d") * factor < 1.0)
+        fills = _refilled(fills, near, supply, new.select("cluster", "j").distinct(), used.select("cluster", "i", "yr"), cap, spread)
         forget(*before)
     if picks is None:
         moved = fills.select(*columns).filter(F.lit(False))
     else:
         moved = cut(_in_order(picks, limits).select(*columns), "moved")
     short = cut(_progress(limits, moved).filter("shipped < target and quota > 0").select("cluster").distinct(), "short")
-    dear = arcs.filter(F.col("d") * factor >= 1.0).join(short, "cluster", "left_semi").select("cluster").distinct()
-    if dear.isEmpty():
+    everything = arcs.whole(short)
+    dear = everything.filter(F.col("d") * factor >= 1.0).select("cluster").distinct()
+    if short.isEmpty() or dear.isEmpty():
         return moved
     dear = cut(dear, "dear")
-    again = [t.join(dear, "cluster", "left_semi") for t in (arcs, first_supply, limits)]
+    again = [cut(everything.join(dear, "cluster", "left_semi"), "arcs"), *(t.join(dear, "cluster", "left_semi") for t in (first_supply, limits))]
     slow = _one_by_one(again[0], again[1], cap, cut(again[2], "limits"), factor, rounds)
     return moved.join(dear, "cluster", "left_anti").select(*columns).unionByName(slow.select(*columns))
 
@@ -315,13 +419,13 @@ def _progress(limits: DataFrame, moved: DataFrame) -> DataFrame:
 
 
 def _in_order(picks: DataFrame, limits: DataFrame) -> DataFrame:
-    """Of the plants of a cluster in the order of (`score`, `j`) those that come before its targets or its quota are met."""
+    """Of the plants of a cluster in the order of (`score`, `j`) those that come before its targets or its quota are met. The running
+    sums go over ranges, so a single cluster of very many plants is no single task."""
     plants = picks.groupBy("cluster", "j", "score", "yr").agg(F.sum("b").alias("amount"))
     grid = plants.select("cluster", "j", "score").distinct().join(limits, "cluster").join(plants, ["cluster", "j", "score", "yr"], "left")
-    # One row a year for each plant of the cluster: as many as the quota allows, and those opened beyond it in a round.
-    order = Window.partitionBy("cluster", "yr").orderBy("score", "j")
-    before = F.coalesce(F.sum(F.coalesce("amount", F.lit(0.0))).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    kept = grid.withColumns({"_before": before, "_rank": F.row_number().over(order)})
+    order = [F.col("score"), F.col("j")]
+    summed = running_total(grid, F.coalesce("amount", F.lit(0.0)), order, keys=["cluster", "yr"], out="_sum", before="_before")
+    kept = running_total(summed.drop("_sum"), F.lit(1), order, keys=["cluster", "yr"], out="_rank", before="_ahead")
     kept = kept.groupBy("cluster", "j").agg(F.bool_or((F.col("_before") < F.col("target")) & (F.col("_rank") <= F.col("quota"))).alias("_keep"))
     return picks.join(kept.filter("_keep"), ["cluster", "j"], "left_semi")
 
@@ -339,23 +443,26 @@ def _flow_rows(moved: DataFrame, leg: str, plant: str) -> DataFrame:
 
 
 def open_depots(
-    dist: DataFrame, forecast: DataFrame, p: Params, labels: DataFrame | None = None, quota: DataFrame | None = None
+    dist: DataFrame | Frontier, forecast: DataFrame, p: Params, labels: DataFrame | None = None, quota: DataFrame | None = None
 ) -> DataFrame:
     """Depots and biomass flows that process the minimum share of the forecast in every year.
 
     With `labels(idx, cluster)` and `quota(cluster, quota)` each cluster is planned on its own arcs,
     all of them in the same jobs; without, one plan of at most `max_depots` covers all sites. `dist`
-    is read again as plants open, so it should be a stored table, best sorted by `j`.
+    is read again as plants open, so it should be a stored table, best sorted by `j`; or a `Frontier`, which gives the plan
+    over arcs of any length without the whole matrix.
     """
     rows = forecast.filter(F.col("yr").isin(*p.years)).select(F.col("idx").alias("i"), "yr", F.col("biomass").alias("supply"))
     if labels is None:
-        arcs = dist.select(F.lit(0).cast("bigint").alias("cluster"), "i", "j", "d")
+        clustered = lambda df: df.select(F.lit(0).cast("bigint").alias("cluster"), "i", "j", "d")
         supply = rows.select(F.lit(0).cast("bigint").alias("cluster"), "i", "yr", "supply")
         allowed = None
         rounds = p.max_depots
     else:
-        arcs = cluster_arcs(dist, labels, quota).repartitionByRange("cluster", "j").sortWithinPartitions("cluster", "j")
-        arcs = cut(arcs, "arcs")
+        def clustered(df: DataFrame) -> DataFrame:
+            own = cluster_arcs(df, labels, quota).select("cluster", "i", "j", "d")
+            return cut(own.repartitionByRange("cluster", "j").sortWithinPartitions("cluster", "j"), "arcs")
+
         supply = rows.join(labels.select(F.col("idx").alias("i"), "cluster"), "i")
         allowed = quota.filter(F.col("quota") > 0).select("cluster", "quota")
         rounds = allowed.agg(F.max("quota")).first()[0] or 0
@@ -364,7 +471,7 @@ def open_depots(
         limits = totals.withColumn("quota", F.lit(p.max_depots).cast("bigint"))
     else:
         limits = totals.join(allowed, "cluster")
-    moved = _greedy(arcs, supply, p.depot_cap - p.margin, cut(limits, "limits"), p.factor, rounds)
+    moved = _greedy(_Arcs(dist, clustered, labels, p.factor), supply, p.depot_cap - p.margin, cut(limits, "limits"), p.factor, rounds)
     return _flow_rows(moved, BIOMASS, DEPOT)
 
 
@@ -397,7 +504,7 @@ def plan_status(
 
 
 def open_refineries(
-    dist: DataFrame, depot_flows: DataFrame, p: Params, labels: DataFrame | None = None, quota: DataFrame | None = None
+    dist: DataFrame | Frontier, depot_flows: DataFrame, p: Params, labels: DataFrame | None = None, quota: DataFrame | None = None
 ) -> DataFrame:
     """Refineries and pellet flows that take all biomass the depots received.
 
@@ -411,12 +518,15 @@ def open_refineries(
         own = received.join(labels.select(F.col("idx").alias("i"), "cluster"), "i")
     supply = cut(own.select("cluster", "i", "yr", "supply"), "pellets")
     # The arcs that matter are the rows of the open depots.
-    depots = supply.select("i", "cluster").distinct()
-    arcs = lookup_join(dist.select("i", "j", "d"), depots, ["i"]).select("cluster", "i", "j", "d")
-    if labels is not None:
-        ends = labels.select(F.col("idx").alias("j"), F.col("cluster").alias("_end"))
-        arcs = lookup_join(arcs, ends, ["j"]).filter(F.col("cluster") == F.col("_end")).drop("_end")
-    arcs = cut(arcs.select("cluster", "i", "j", "d"), "arcs")
+    depots = cut(supply.select("i", "cluster").distinct(), "depots")
+
+    def clustered(df: DataFrame) -> DataFrame:
+        arcs = lookup_join(df.select("i", "j", "d"), depots, ["i"], stored=True).select("cluster", "i", "j", "d")
+        if labels is not None:
+            ends = labels.select(F.col("idx").alias("j"), F.col("cluster").alias("_end"))
+            arcs = lookup_join(arcs, ends, ["j"]).filter(F.col("cluster") == F.col("_end")).drop("_end")
+        return cut(arcs.select("cluster", "i", "j", "d"), "arcs")
+
     limits = supply.groupBy("cluster", "yr").agg((F.sum("supply") - p.tolerance / 2).alias("target"))
     if quota is None:
         limits = limits.withColumn("quota", F.lit(p.max_refineries).cast("bigint"))
@@ -424,14 +534,15 @@ def open_refineries(
         limits = limits.join(quota.select("cluster", F.col("quota").cast("bigint").alias("quota")), "cluster")
     limits = cut(limits, "limits")
     rounds = limits.agg(F.max("quota")).first()[0] or 0
-    moved = _greedy(arcs, supply, p.refinery_cap - p.margin, limits, p.factor, rounds)
+    moved = _greedy(_Arcs(dist, clustered, labels, p.factor), supply, p.refinery_cap - p.margin, limits, p.factor, rounds)
     return _flow_rows(moved, PELLET, REFINERY)
 
 
-def refinery_direct(dist: DataFrame, forecast: DataFrame, p: Params, max_d: float = DIRECT_RADIUS) -> DataFrame:
+def refinery_direct(dist: DataFrame | Frontier, forecast: DataFrame, p: Params, max_d: float = DIRECT_RADIUS) -> DataFrame:
     """One-tier plan: sites ship straight to refineries within `max_d`."""
     one_tier = replace(p, depot_cap=p.refinery_cap, max_depots=p.max_refineries)
-    flows = open_depots(dist.filter(F.col("d") <= max_d), forecast, one_tier)
+    near = replace(dist, reach=min(dist.reach, max_d)) if isinstance(dist, Frontier) else dist.filter(F.col("d") <= max_d)
+    flows = open_depots(near, forecast, one_tier)
     kind = F.col("data_type")
     return flows.withColumn("data_type", F.when(kind == DEPOT, F.lit(REFINERY)).otherwise(kind))
 
@@ -446,12 +557,23 @@ def plan_objective(flows: DataFrame, dist: DataFrame, p: Params) -> DataFrame:
     )
 
 
+def _best_plants(plants: DataFrame, most: int) -> tuple[DataFrame, float]:
+    """The `most` plants (`j`, `k`, a stored table) with the least `k`, and the sum of these. Ranked over ranges, if there are more."""
+    row = plants.agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("k")).first()
+    if row["n"] <= most:
+        return plants, row["k"] or 0.0
+    ranked = running_total(plants, F.lit(1), [F.col("k"), F.col("j")], out="_rank", before="_ahead")
+    best = cut(ranked.filter(F.col("_rank") <= most).select("j", "k"), "best")
+    return best, best.agg(F.sum("k")).first()[0]
+
+
 def allocation_bound(dist: DataFrame, forecast: DataFrame, p: Params, upper: float, steps: int = 20) -> DataFrame:
     """Lower bound on the objective of any depot plan, with the gap to the plan value `upper`.
 
     Lagrangian relaxation of site supply and yearly coverage (Held, Wolfe and Crowder 1974; Fisher 1981):
     each depot becomes a fractional knapsack, filled by `fill_by_rank` on reduced costs; the multipliers
-    take subgradient steps. The driver sees the `max_depots` best depots and sums per year.
+    take subgradient steps. The driver sees sums per year; the `max_depots` best depots are a table, ranked over ranges
+    where more would pay.
     """
     cap = p.depot_cap - p.margin
     years = list(p.years)
@@ -478,9 +600,8 @@ def allocation_bound(dist: DataFrame, forecast: DataFrame, p: Params, upper: flo
         filled = fill_by_rank(priced, cap, ["j", "yr"], F.col("cost"), costs)
         filled = cut(filled.select("i", "j", "yr", "cost", "b"), "knapsack")
         plants = filled.groupBy("j").agg((F.sum(F.col("cost") * F.col("b")) + cap * len(years)).alias("k"))
-        chosen = plants.filter(F.col("k") < 0).orderBy("k", "j").limit(p.max_depots).collect()
-        value = sum(r["k"] for r in chosen)
-        taken = filled.filter(F.col("j").isin([r["j"] for r in chosen])).groupBy("i", "yr").agg(F.sum("b").alias("taken"))
+        chosen, value = _best_plants(cut(plants.filter(F.col("k") < 0), "plants"), p.max_depots)
+        taken = filled.join(chosen.select("j"), "j", "left_semi").groupBy("i", "yr").agg(F.sum("b").alias("taken"))
         slope = F.coalesce("taken", F.lit(0.0)) - F.col("supply")
         state = cut(sites.join(taken, ["i", "yr"], "left").withColumn("slope", slope).drop("taken"), "slopes")
         pull = F.when((F.col("price") > 0) | (F.col("slope") > 0), F.col("slope") * F.col("slope")).otherwise(0.0)

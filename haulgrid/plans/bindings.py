@@ -11,6 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from haulgrid.operators.allocation import Frontier
 from haulgrid.operators.audit import forecast_rows, submission_to_solution
 from haulgrid.operators.neighbours import arcs_to_few, farthest_inside, pair_distances, radius_edges
 from haulgrid.operators.reshape import matrix_to_edges, union_rows
@@ -88,9 +89,9 @@ def matrix(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def years(spark: SparkSession, sf: str) -> list[int]:
-    """All years of the harvest and the orders, from the tables."""
-    seen = history(spark, sf).select("yr").union(table(spark, sf, "orders").select(F.year("o_orderdate").cast("int").alias("yr")))
-    return sorted(r["yr"] for r in seen.filter(F.col("yr").isNotNull()).distinct().collect())
+    """All years of the harvest and the orders, from the dates alone."""
+    dates = [table(spark, sf, name).select(F.year(day).cast("int").alias("yr")).distinct() for name, day in (("lineitem", "l_shipdate"), ("orders", "o_orderdate"))]
+    return sorted(r["yr"] for r in dates[0].union(dates[1]).filter(F.col("yr").isNotNull()).distinct().collect())
 
 
 def arcs_into(spark: SparkSession, sf: str, max_d: float, ends: DataFrame | None) -> DataFrame:
@@ -103,6 +104,21 @@ def arcs_into(spark: SparkSession, sf: str, max_d: float, ends: DataFrame | None
     return turned.select("i", "j", _travel(F.col("d")).alias("d")).filter(F.col("d") <= max_d)
 
 
+def frontier(spark: SparkSession, sf: str, start: float) -> Frontier:
+    """Arcs of any length between all sites, for plans that ask for them plant by plant."""
+    return Frontier(lambda radius, ends: arcs_into(spark, sf, radius, ends), sites(spark, sf).select("idx"), start, reach(spark, sf))
+
+
+def frontier_from(spark: SparkSession, sf: str, starts: DataFrame, start: float) -> Frontier:
+    """The same for arcs that begin at the few sites `starts(idx)`."""
+
+    def legs(radius: float, ends: DataFrame | None) -> DataFrame:
+        found = arcs(spark, sf, radius, starts)
+        return found if ends is None else found.join(ends.select(F.col("idx").alias("j")), "j", "left_semi").select("i", "j", "d")
+
+    return Frontier(legs, sites(spark, sf).select("idx"), start, reach(spark, sf))
+
+
 def reach(spark: SparkSession, sf: str) -> float:
     """No arc is longer: the diagonal of the sites' box, and the detour."""
     box = sites(spark, sf).agg(*[f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("lat", "lon")]).first()

@@ -28,8 +28,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 YEAR = 2000
-# Longest arcs that plans and clusters over the sites consider: their number per site depends on it.
+# Arcs that plans start from, and the longest that clusters and the bound consider: their number per site depends on it.
 REACH = 60.0
+# The same for legs from depots to refineries.
+LEGS = 150.0
 # Where the values of the measured matrix are cut.
 MATRIX_CUT = 0.5
 P = Params(years=b.YEARS)
@@ -589,31 +591,30 @@ def _scaled(spark, sf):
 
 @query
 def open_depots(spark, sf):
-    arcs = _arcs(spark, sf)
-    return al.open_depots(arcs, cut(b.forecast(spark, sf), "forecast"), _scaled(spark, sf))
+    return al.open_depots(b.frontier(spark, sf, REACH), cut(b.forecast(spark, sf), "forecast"), _scaled(spark, sf))
 
 
 @query
 def open_depots_by_cluster(spark, sf):
-    arcs, forecast = _arcs(spark, sf), cut(b.forecast(spark, sf), "forecast")
-    labels = b.blocks(spark, sf)
+    forecast, labels = cut(b.forecast(spark, sf), "forecast"), b.blocks(spark, sf)
     profile = st.cluster_profile(forecast, labels, b.YEARS, b.diameters(spark, sf, labels))
     quota = cut(st.depot_quota(profile, *fixed.DEPOT_QUOTA).select("cluster", "quota"), "quota")
-    return al.open_depots(arcs, forecast, P, labels, quota)
+    return al.open_depots(b.frontier(spark, sf, REACH), forecast, P, labels, quota)
 
 
 @query
 def plan_status(spark, sf):
-    arcs, forecast, p = _arcs(spark, sf), cut(b.forecast(spark, sf), "forecast"), _scaled(spark, sf)
-    return rounded(al.plan_status(al.open_depots(arcs, forecast, p), forecast, p), "target").select("cluster", "yr", "target", "quota", "feasible")
+    forecast, p = cut(b.forecast(spark, sf), "forecast"), _scaled(spark, sf)
+    plan = al.open_depots(b.frontier(spark, sf, REACH), forecast, p)
+    return rounded(al.plan_status(plan, forecast, p), "target").select("cluster", "yr", "target", "quota", "feasible")
 
 
 @query
 def open_refineries(spark, sf):
-    p, arcs = _scaled(spark, sf), _arcs(spark, sf)
-    depots = cut(al.open_depots(arcs, cut(b.forecast(spark, sf), "forecast"), p), "depots")
-    opened = depots.filter(F.col("dst").isNotNull()).select(F.col("dst").alias("idx")).distinct()
-    return depots.unionByName(al.open_refineries(b.arcs(spark, sf, 150.0, opened), depots, p))
+    p = _scaled(spark, sf)
+    depots = cut(al.open_depots(b.frontier(spark, sf, REACH), cut(b.forecast(spark, sf), "forecast"), p), "depots")
+    opened = cut(depots.filter(F.col("dst").isNotNull()).select(F.col("dst").alias("idx")).distinct(), "opened")
+    return depots.unionByName(al.open_refineries(b.frontier_from(spark, sf, opened, LEGS), depots, p))
 
 
 @query
@@ -625,7 +626,8 @@ def plan_audit(spark, sf):
 
 @query
 def refinery_direct(spark, sf):
-    return al.refinery_direct(_arcs(spark, sf), cut(b.forecast(spark, sf), "forecast"), Params(years=b.YEARS, refinery_cap=fixed.DIRECT_CAP))
+    p = Params(years=b.YEARS, refinery_cap=fixed.DIRECT_CAP)
+    return al.refinery_direct(b.frontier(spark, sf, REACH), cut(b.forecast(spark, sf), "forecast"), p)
 
 
 @query
@@ -691,7 +693,8 @@ def flow_totals(spark, sf):
 def supply_chain_plan(spark, sf):
     history = _history(spark, sf)
     planned = plan_supply_chain(
-        b.arcs(spark, sf, REACH), lambda ids: b.arcs(spark, sf, 150.0, ids), history, _scaled(spark, sf), n_clusters=3,
-        radius=REACH, diameters=lambda labels: b.diameters(spark, sf, labels),
+        b.arcs(spark, sf, REACH), lambda ids: b.frontier_from(spark, sf, ids, LEGS), history, _scaled(spark, sf), n_clusters=3,
+        radius=REACH, diameters=lambda labels: b.diameters(spark, sf, labels), plants=b.frontier(spark, sf, REACH),
+        distances=lambda flows: b.distances_of(spark, sf, flows),
     )
     return planned.report

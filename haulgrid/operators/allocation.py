@@ -475,6 +475,78 @@ def open_depots(
     return _flow_rows(moved, BIOMASS, DEPOT)
 
 
+def improve_depots(
+    flows: DataFrame, dist: DataFrame, forecast: DataFrame, p: Params, labels: DataFrame | None = None,
+    distances: DataFrame | None = None, rounds: int = 8,
+) -> DataFrame:
+    """A depot plan of no higher cost than `flows`: close one plant, fill another (or the same anew, or none) from what it had and what
+    nobody ships, keep what is cheaper.
+
+    Every round scores all such swaps at once and exactly: a closed plant j meets the plants k that one of its sources has an
+    arc to, so there are as many pairs as plants times neighbours; one filling and one sum give the cost of each. The best
+    swap of every plant is kept where it is the best for all sources it uses, so swaps of a round do not touch each other; a
+    swap that ships less than before must be the best of its cluster and leave the year's target met. Ends when no swap
+    pays. `dist` are the arcs that swaps may use, a stored table; `distances` those of the arcs in `flows`, by default `dist`.
+    """
+    cap, years = p.depot_cap - p.margin, len(p.years)
+    gain = F.lit(p.factor) * F.col("d") - 1.0
+    if labels is None:
+        home = lambda df, site: df.withColumn("cluster", F.lit(0).cast("bigint"))
+    else:
+        home = lambda df, site: df.join(labels.select(F.col("idx").alias(site), "cluster"), site)
+    arcs = home(dist.select("i", "j", "d"), "i")
+    if labels is not None:
+        arcs = arcs.join(labels.select(F.col("idx").alias("j"), F.col("cluster").alias("_end")), "j").filter("cluster = _end")
+    arcs = cut(arcs.select("cluster", "i", F.col("j").alias("k"), "d").filter(F.col("d") * p.factor < 1), "arcs")
+    rows = forecast.filter(F.col("yr").isin(*p.years) & (F.col("biomass") > 0)).select(F.col("idx").alias("i"), "yr", F.col("biomass").alias("supply"))
+    supply = cut(home(rows, "i"), "supply")
+    targets = cut(supply.groupBy("cluster", "yr").agg((F.sum("supply") * p.min_share + p.margin).alias("target")), "targets")
+    moved = flows.filter(F.col("data_type") == BIOMASS).select(F.col("src").alias("i"), F.col("dst").alias("j"), "yr", F.col("value").alias("b"))
+    paid = (dist if distances is None else distances).select("i", "j", "d")
+    held = cut(home(moved.join(paid, ["i", "j"]), "i").select("cluster", "i", "j", "yr", "d", "b"), "held")
+    for _ in range(rounds):
+        taken = held.groupBy("cluster", "i", "yr").agg(F.sum("b").alias("taken"))
+        left = supply.join(taken, ["cluster", "i", "yr"], "left")
+        left = left.withColumn("supply", F.col("supply") - F.coalesce(F.col("taken") + F.col("supply") * ROUNDING, F.lit(0.0))).filter("supply > 0").drop("taken")
+        present = held.groupBy("cluster", "j").agg((F.sum(gain * F.col("b")) + years * cap).alias("now"))
+        pairs = held.select("cluster", "i", "j").join(arcs, ["cluster", "i"]).select("cluster", "j", "k").distinct()
+        pairs = pairs.join(present.select("cluster", F.col("j").alias("k"), F.lit(True).alias("_open")), ["cluster", "k"], "left")
+        pairs = pairs.filter(F.col("_open").isNull() | (F.col("j") == F.col("k"))).drop("_open")
+        met = pairs.join(arcs, ["cluster", "k"])
+        own = met.join(held.select("cluster", "j", "i", "yr", F.col("b").alias("supply")), ["cluster", "j", "i"])
+        unused = met.join(left, ["cluster", "i"])
+        keys = ["cluster", "j", "k"]
+        offered = own.select(*keys, "i", "d", "yr", "supply").unionByName(unused.select(*keys, "i", "d", "yr", "supply"))
+        offered = cut(offered.groupBy(*keys, "i", "d", "yr").agg(F.sum("supply").alias("supply")), "offered")
+        fills = cut(fill_by_rank(offered, cap, [*keys, "yr"], F.col("d"), spread_of(offered, keys), whole=False), "fills")
+        # A swap into nothing closes the plant.
+        scored = fills.groupBy(*keys).agg((F.sum(gain * F.col("b")) + years * cap).alias("new"))
+        scored = scored.unionByName(present.select("cluster", "j", F.lit(None).cast("bigint").alias("k"), F.lit(0.0).alias("new")))
+        scored = scored.join(present, ["cluster", "j"]).withColumn("delta", F.col("new") - F.col("now")).filter(F.col("delta") < -1e-6)
+        # What each swap changes of every year's shipments, against what is shipped beyond the target.
+        was, will = held.groupBy("cluster", "j", "yr").agg(F.sum("b").alias("was")), fills.groupBy(*keys, "yr").agg(F.sum("b").alias("will"))
+        slack = targets.join(held.groupBy("cluster", "yr").agg(F.sum("b").alias("shipped")), ["cluster", "yr"], "left")
+        slack = slack.select("cluster", "yr", F.greatest(F.coalesce("shipped", F.lit(0.0)) - F.col("target"), F.lit(0.0)).alias("slack"))
+        changes = scored.join(slack, "cluster").join(was, ["cluster", "j", "yr"], "left")
+        changes = changes.join(will.withColumnRenamed("k", "_k"), (changes["cluster"] == will["cluster"]) & (changes["j"] == will["j"]) & (changes["yr"] == will["yr"]) & changes["k"].eqNullSafe(F.col("_k")), "left").select(
+            changes["*"], F.coalesce("will", F.lit(0.0)).alias("will")
+        )
+        change = F.col("will") - F.coalesce("was", F.lit(0.0))
+        swaps = changes.groupBy(*keys, "delta").agg(F.bool_and(change >= -1e-9).alias("whole"), F.bool_and(change >= -F.col("slack")).alias("feasible"))
+        best = cut(swaps.filter("feasible").groupBy("cluster", "j").agg(F.min(F.struct("delta", "k", "whole")).alias("m")).select("cluster", "j", "m.delta", "m.k", "m.whole"), "best")
+        if best.isEmpty():
+            break
+        uses = best.join(fills, keys).select("cluster", "j", "k", "delta", "i", "yr")
+        least = uses.groupBy("cluster", "i", "yr").agg(F.min(F.struct("delta", "j")).alias("m"))
+        beaten = uses.join(least, ["cluster", "i", "yr"]).filter(F.col("m.j") != F.col("j")).select("cluster", "j").distinct()
+        leads = best.groupBy("cluster").agg(F.min(F.struct("delta", "j"))["j"].alias("_lead"))
+        free = best.join(beaten.withColumn("_beaten", F.lit(True)), ["cluster", "j"], "left").join(leads, "cluster")
+        kept = cut(free.filter((F.col("j") == F.col("_lead")) | (F.col("_beaten").isNull() & F.col("whole"))).select(*keys), "swaps")
+        fresh = fills.join(kept, keys).select("cluster", "i", F.col("k").alias("j"), "yr", "d", "b")
+        held = cut(held.join(kept.select("cluster", "j"), ["cluster", "j"], "left_anti").unionByName(fresh), "held")
+    return _flow_rows(held, BIOMASS, DEPOT)
+
+
 def plan_status(
     flows: DataFrame, forecast: DataFrame, p: Params, labels: DataFrame | None = None, quota: DataFrame | None = None
 ) -> DataFrame:

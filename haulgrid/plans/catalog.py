@@ -21,7 +21,7 @@ from haulgrid import params as fixed
 from haulgrid.params import Params
 from haulgrid.plans import bindings as b
 from haulgrid.plans.supply_chain import plan_supply_chain
-from haulgrid.schemas import BIOMASS, FORECAST
+from haulgrid.schemas import BIOMASS, DEPOT, FORECAST
 from haulgrid.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -594,6 +594,29 @@ def open_depots(spark, sf):
     return al.open_depots(b.frontier(spark, sf, REACH), cut(b.forecast(spark, sf), "forecast"), _scaled(spark, sf))
 
 
+def _improved(spark, sf):
+    """The greedy plan, the plan after swaps, and the parameters of both."""
+    p, forecast = _scaled(spark, sf), cut(b.forecast(spark, sf), "forecast")
+    plan = cut(al.open_depots(b.frontier(spark, sf, REACH), forecast, p), "plan")
+    paid = cut(b.distances_of(spark, sf, plan), "paid")
+    return plan, cut(al.improve_depots(plan, _arcs(spark, sf), forecast, p, distances=paid), "improved"), p
+
+
+@query
+def improve_depots(spark, sf):
+    return _improved(spark, sf)[1]
+
+
+@query
+def plan_improvement(spark, sf):
+    """Objective of the greedy plan and of the one after swaps; plants of both."""
+    plan, better, p = _improved(spark, sf)
+    rows = [al.plan_objective(flows, b.distances_of(spark, sf, flows), p).withColumn("plan", F.lit(name)) for name, flows in (("greedy", plan), ("swaps", better))]
+    opened = [flows.filter(F.col("data_type") == DEPOT).agg(F.count_distinct("src").alias("opened")) for flows in (plan, better)]
+    each = [r.join(o) for r, o in zip(rows, opened)]
+    return rounded(each[0].unionByName(each[1]).select("plan", "objective", "opened"), "objective", digits=4)
+
+
 @query
 def open_depots_by_cluster(spark, sf):
     forecast, labels = cut(b.forecast(spark, sf), "forecast"), b.blocks(spark, sf)

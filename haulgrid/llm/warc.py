@@ -3,6 +3,7 @@ computed anew, commit through temporary names and a manifest."""
 
 from __future__ import annotations
 
+import bisect
 import gzip
 import hashlib
 import uuid
@@ -110,8 +111,8 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 def write_archives(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, file_bytes: int = FILE_BYTES, date: str = DATE) -> DataFrame:
     """Write one record per row of `pages` (`page_id, url, html`) under `folder` and return the manifest, a stored table.
 
-    Shards are cut by the running total of payload bytes in the order of page_id, so they are the same in every run,
-    whatever the partitions. Each shard is sorted and written by one task, which opens a new file whenever the present one
+    Shards are cut by the running total of payload bytes in the order of page_id, address and digest, so they are the same in every run,
+    whatever the partitions, and no id, missing or repeated, makes one of its own size. Each shard is sorted and written by one task, which opens a new file whenever the present one
     has `file_bytes`. Tasks write temporary names only; the manifest names the files of the attempts that counted, these
     get their final names, and what lost attempts left under temporary names goes. `folder` must be one that all executors reach
     (any file system that Arrow opens by its address). An empty table gives no file.
@@ -120,16 +121,22 @@ def write_archives(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES
     types = stored(record_types(pages), "record-types")
     order = [F.col("page_id").asc_nulls_last(), F.col("url"), F.col("digest")]
     placed = running_total(types, F.col("bytes") + 500, order, out="_end", before="_start")
-    starts = placed.groupBy(F.floor(F.col("_start") / shard_bytes).alias("k")).agg(F.min("page_id").alias("first"))
-    # One number for every `shard_bytes` of the pages.
-    sent = spark.sparkContext.broadcast(np.array(sorted({r["first"] for r in starts.collect() if r["first"] is not None}), np.int64))
+    place = F.struct(F.col("page_id").isNull().alias("none"), "page_id", F.coalesce("url", F.lit("")).alias("url"), "digest")
+    starts = placed.groupBy(F.floor(F.col("_start") / shard_bytes).alias("k")).agg(F.min(place).alias("first"))
+    # One place for every `shard_bytes` of the pages. Pages of one id, or of none, are cut by address and digest as well.
+    firsts = sorted({(r["first"]["none"], r["first"]["page_id"] or 0, r["first"]["url"], r["first"]["digest"]) for r in starts.collect()})
+    sent = spark.sparkContext.broadcast(firsts)
 
     @F.arrow_udf(T.LongType())
-    def shard_of(page_ids: pa.Array) -> pa.Array:
+    def shard_of(page_ids: pa.Array, urls: pa.Array, digests: pa.Array) -> pa.Array:
         firsts = sent.value
-        last = max(len(firsts) - 1, 0)
-        ids = pc.fill_null(page_ids, firsts[-1] if len(firsts) else 0).to_numpy(zero_copy_only=False)
-        return pa.array(np.clip(np.searchsorted(firsts, ids, "right") - 1, 0, last).astype(np.int64))
+        numbers = np.array([f[1] for f in firsts if not f[0]], np.int64)
+        ids, absent = pc.fill_null(page_ids, 0).to_numpy(zero_copy_only=False), page_ids.is_null().to_numpy(zero_copy_only=False)
+        shards = np.searchsorted(numbers, ids, "right") - 1
+        # Only where a shard begins within an id do the other columns matter.
+        for k in np.flatnonzero(absent | np.isin(ids, numbers)):
+            shards[k] = bisect.bisect_right(firsts, (bool(absent[k]), int(ids[k]), urls[k].as_py() or "", digests[k].as_py())) - 1
+        return pa.array(np.maximum(shards, 0).astype(np.int64))
 
     # What a record refers to travels in a narrow row that sorts before the pages it belongs to: pages are shuffled once.
     body = F.coalesce("html", F.lit(""))
@@ -137,7 +144,7 @@ def write_archives(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES
     nothing, key = F.lit(None), ["page_id", "url", "digest"]
     notes = types.filter(F.col("refers_to").isNotNull()).select(*key, "refers_to", nothing.cast("string").alias("html")).distinct()
     rows = notes.unionByName(pages.select("page_id", "url", digest, nothing.cast("long").alias("refers_to"), body.alias("html")))
-    rows = rows.withColumn("shard", shard_of("page_id")).repartition("shard")
+    rows = rows.withColumn("shard", shard_of("page_id", "url", "digest")).repartition("shard")
     rows = rows.sortWithinPartitions("shard", F.col("page_id").asc_nulls_last(), "url", "digest", F.col("html").isNotNull())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,7 +206,8 @@ def records_of(stream, chunk: int = 1 << 20) -> Iterator[bytes]:
 
 def read_archives(manifest: DataFrame) -> DataFrame:
     """Every record of the files in `manifest`: `page_id, url, record_type, refers_to, payload_bytes, payload_digest, html`
-    (`html` null for revisits). Digests of blocks and payloads are checked; a file per task at most."""
+    (`html` null for revisits). Digests of blocks and payloads are checked, `payload_bytes` of a response is measured on what was
+    read. There are as many tasks as files, dealt by the names' order, so hardly one gets two."""
     spec = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, html string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,7 +229,7 @@ def read_archives(manifest: DataFrame) -> DataFrame:
                         if payload is not None and hashlib.sha1(payload).hexdigest() != digest:
                             raise ValueError(f"payload digest of {h['warc-record-id']}")
                         number = lambda k: int(h[k]) if k in h else None
-                        rows.append((number("x-page-id"), h["warc-target-uri"], h["warc-type"], number("x-refers-to-page-id"), int(h["x-payload-length"]), digest, payload.decode() if payload is not None else None))
+                        rows.append((number("x-page-id"), h["warc-target-uri"], h["warc-type"], number("x-refers-to-page-id"), int(h["x-payload-length"]) if payload is None else len(payload), digest, payload.decode() if payload is not None else None))
                         if len(rows) >= 500:
                             yield _rows(rows)
                             rows = []
@@ -233,7 +241,8 @@ def read_archives(manifest: DataFrame) -> DataFrame:
         by = list(zip(*rows)) or [()] * len(kinds)
         return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(by, kinds)], [f.split()[0] for f in spec.split(", ")])
 
-    return manifest.select("final", "address").repartition("final").mapInArrow(run, spec)
+    files = max(1, manifest.count())
+    return manifest.select("final", "address").repartitionByRange(files, "final").mapInArrow(run, spec)
 
 
 def archive(pages: DataFrame, folder: str | None = None, **options) -> DataFrame:

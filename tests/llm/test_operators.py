@@ -485,6 +485,17 @@ def test_archives_round_trip(spark):
     assert warc.archive(pages.limit(0)).count() == 0
 
 
+def test_pages_of_one_id_or_none_are_spread_over_shards(spark):
+    rows = [(None if k % 2 else 7, f"http://h/{k}", f"{k} " * 200) for k in range(300)] + [(k, "http://u", "z" * 500) for k in range(20)]
+    folder = "file://" + scratch_path(spark, "warc").removeprefix("file:")
+    manifest = warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4), folder, shard_bytes=20_000, file_bytes=1 << 20)
+    sizes = [r.records for r in manifest.collect()]
+    assert sum(sizes) == len(rows) and len(sizes) >= 9 and max(sizes) <= 60
+    read = warc.read_archives(manifest.withColumn("address", F.lit(folder)))
+    assert read.rdd.getNumPartitions() == len(sizes) and read.count() == len(rows)
+    assert {(r.page_id, r.url, r.html) for r in read.collect()} == set(rows)
+
+
 # Benchmark passages
 
 

@@ -14,6 +14,7 @@ from haulgrid.operators import audit as au
 from haulgrid.operators import clustering as cl
 from haulgrid.operators import filters as fi
 from haulgrid.operators import neighbours as nb
+from haulgrid.operators import reflow as rf
 from haulgrid.operators import reshape as rs
 from haulgrid.operators import stats as st
 from haulgrid.operators import weather as wx
@@ -640,6 +641,23 @@ def open_refineries(spark, sf):
     return depots.unionByName(al.open_refineries(b.frontier_from(spark, sf, opened, LEGS), depots, p))
 
 
+def _reflowed(spark, sf):
+    """The two-tier plan before and after both legs are re-flowed, over the arcs in use and those up to twice the first radius."""
+    before, forecast = cut(open_refineries(spark, sf), "plan"), cut(b.forecast(spark, sf), "forecast")
+
+    def arcs(leg):
+        moved = before.filter(F.col("data_type") == leg)
+        ends = cut(moved.select(F.col("dst").alias("idx")).distinct(), "ends")
+        return cut(b.distances_of(spark, sf, moved).unionByName(b.arcs_into(spark, sf, 2 * REACH, ends)).distinct(), "ways")
+
+    return before, cut(rf.reflow_plan(before, arcs(BIOMASS), arcs(PELLET), forecast), "reflowed"), forecast
+
+
+@query
+def reflow_plan(spark, sf):
+    return _reflowed(spark, sf)[1]
+
+
 @query
 def plan_audit(spark, sf):
     """The audit of the two-tier plan: checked and failed rows of each constraint."""

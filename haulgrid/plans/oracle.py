@@ -141,8 +141,9 @@ from ({BALANCE})"""
 
 
 def _undeclared(name: str, leg: str, side: str, kind: str) -> str:
-    return f"""select '{name}' as "constraint", yr, {side} as key, sum(value) as actual, 0 as "limit", false as ok from flows
-where data_type = '{leg}' and {side} not in (select src from flows where data_type = '{kind}') group by yr, {side}"""
+    return f"""select '{name}' as "constraint", yr, u.{side} as key, sum(value) as actual, 0 as "limit", false as ok
+from flows u anti join (select distinct src as {side} from flows where data_type = '{kind}') known using ({side})
+where data_type = '{leg}' group by yr, u.{side}"""
 
 
 C9 = " union all ".join([
@@ -354,9 +355,8 @@ ORACLE: dict[str, str] = {
           select j, sum(d * b) as cost, sum(b) as shipped, count(*) as sources from fill where b > 0 group by 1)
         where shipped >= 20000 - 1e-6 order by cost, j limit 1"""),
     "linkage_checks": "select cast(5 as bigint) as clusters, count(*) as sites, true as named_by_least from supplier",
-    "bound_check": "select true as below_plan, true as gap_is_a_share",
     "plan_audit": "select unnest([" + ", ".join(f"'{c}'" for c in CONSTRAINTS) + """]) as "constraint", cast(0 as bigint) as failed""",
-    "plan_status": sql(HIST, select="""select cast(0 as bigint) as cluster, yr, round(sum(biomass) * 0.8e0, 6) as target, cast(25 as bigint) as quota,
+    "plan_status": sql(HIST, select="""select cast(0 as bigint) as cluster, yr, round(sum(biomass) * 0.8e0, 6) as target, (select greatest(1, count(*) // 4) from supplier) as quota,
         true as feasible from hist where yr in (1999, 2000) group by yr"""),
     "model_size": arcs("""select 10 * n + 4 as constraints, 2 * a + 2 * n * n + 2 * n as variables, 2 * n as integers,
         8 * a + 8 * n * n + 10 * n as nonzeros

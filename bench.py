@@ -15,12 +15,12 @@ from pyspark.sql import SparkSession
 from haulgrid.plans.catalog import QUERIES
 
 HEADLINE = [
-    "total_by_year", "panel_unpivot", "forecast_pivot", "dense_site_index", "matrix_to_edges", "two_hop_arcs",
+    "total_by_year", "panel_unpivot", "forecast_pivot", "dense_site_index", "matrix_to_edges", "two_hop_arcs", "least_two_hop_arcs",
     "arcs_within", "radius_edges", "nearest_cell", "neighbour_spacing", "k_nearest", "catchment_sum", "catchment_curve",
     "describe_measure", "correlation_matrix", "histogram", "pareto_share", "balanced_blocks", "cluster_profile",
     "weather_flatten", "weather_daily_hourly", "fill_single_depot", "choose_one_depot", "transport_cost", "total_cost",
     "solution_to_submission", "audit", "kmeans_sites", "average_linkage", "open_depots", "open_depots_by_cluster",
-    "plan_status", "open_refineries", "refinery_direct", "allocation_bound", "supply_chain_plan", "read_distance_matrix", "read_submission",
+    "plan_status", "plan_improvement", "open_refineries", "refinery_direct", "allocation_bound", "supply_chain_plan", "read_distance_matrix", "read_submission",
 ]
 
 

@@ -285,19 +285,22 @@ def catchment_sum(dist: DataFrame, measure: DataFrame, r: float) -> DataFrame:
 def catchment_curve(dist: DataFrame, measure: DataFrame, max_r: float = CURVE_RADIUS, points: int = CURVE_POINTS) -> DataFrame:
     """Catchment sums at evenly spaced radii from 0 to `max_r`, one row per centre and radius.
 
-    One join and one aggregation fill all radii of a centre; `unpivot` turns them into rows.
+    Every arc counts once, at the first radius that covers it; a centre's few sums per radius are then added up.
     """
     step = max_r / (points - 1)
     radii = [k * step for k in range(points - 1)] + [max_r]
     near = attach_measure(dist.filter(F.col("d") <= max_r), measure)
-    sums = [
-        F.coalesce(F.sum(F.when(F.col("d") <= r, F.col("biomass"))), F.lit(0.0)).alias(str(k))
-        for k, r in enumerate(radii)
-    ]
-    wide = near.groupBy(F.col("i").alias("center")).agg(*sums)
-    long = wide.unpivot(["center"], [str(k) for k in range(points)], "point", "biomass")
-    at = F.get(F.array(*[F.lit(r) for r in radii]), F.col("point").cast("int"))
-    return long.select("center", F.col("point").cast("int").alias("point"), at.alias("radius"), "biomass")
+    steps = F.array(*[F.lit(r) for r in radii])
+    # The quotient may be off by one at a radius itself.
+    guess = F.greatest(F.lit(0), F.least(F.lit(points - 1), F.ceil(F.col("d") / step))).cast("int")
+    lower = (guess > 0) & (F.col("d") <= F.get(steps, guess - 1))
+    point = F.when(lower, guess - 1).when(F.col("d") > F.get(steps, guess), guess + 1).otherwise(guess)
+    sums = near.groupBy(F.col("i").alias("center"), point.alias("point")).agg(F.sum("biomass").alias("biomass"))
+    own = sums.groupBy("center").agg(F.collect_list(F.struct("point", "biomass")).alias("_sums"))
+    rows = own.select("center", "_sums", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"))
+    covered = F.filter("_sums", lambda x: x["point"] <= F.col("point"))
+    total = F.aggregate(F.array_sort(covered), F.lit(0.0), lambda acc, x: acc + F.coalesce(x["biomass"], F.lit(0.0)))
+    return rows.select("center", "point", F.get(steps, F.col("point")).alias("radius"), total.alias("biomass"))
 
 
 def catchment_band(catchments: DataFrame, lo: float, hi: float) -> DataFrame:

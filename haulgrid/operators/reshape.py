@@ -81,6 +81,16 @@ def two_hop(arcs_ij: DataFrame, arcs_jk: DataFrame) -> DataFrame:
     )
 
 
+def least_two_hop(arcs_ij: DataFrame, arcs_jk: DataFrame, digits: int = 4) -> DataFrame:
+    """The shortest path i -> j -> k of every pair (i, k): `i, k, j, d`; the least j of equals.
+
+    A min-plus product: the join's paths go straight into minima per pair within their task, so what is shuffled is bounded by the
+    pairs that a task meets and not by the paths over a hub, whose two sides `two_hop` cuts into blocks.
+    """
+    paths = two_hop(arcs_ij, arcs_jk).select("i", "k", F.struct(F.round("d", digits).alias("d"), "j").alias("way"))
+    return paths.groupBy("i", "k").agg(F.min("way").alias("best")).select("i", "k", "best.j", "best.d")
+
+
 def union_rows(*tables: DataFrame) -> DataFrame:
     """Append like tables by column name; a column a table lacks is null."""
     result = tables[0]

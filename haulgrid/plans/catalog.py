@@ -219,6 +219,12 @@ def two_hop_arcs(spark, sf):
     return rounded(rs.two_hop(near, near), "d", digits=4)
 
 
+@query
+def least_two_hop_arcs(spark, sf):
+    near = _arcs(spark, sf, 20.0)
+    return rs.least_two_hop(near, near)
+
+
 @query
 def union_rows(spark, sf):
     history = _history(spark, sf)

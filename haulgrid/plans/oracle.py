@@ -223,6 +223,8 @@ ORACLE: dict[str, str] = {
         union all
         select 'j', j, cast(floor(i / 32) as bigint), string_agg(i, ',' order by i), count(*) from dist group by 2, 3""", 50.0),
     "two_hop_arcs": arcs("select a.i, a.j, b.j as k, round(a.d + b.d, 4) as d from dist a join dist b on b.i = a.j", 20.0),
+    "least_two_hop_arcs": arcs("""select i, k, first(j order by d, j) as j, min(d) as d
+        from (select a.i, a.j, b.j as k, round(a.d + b.d, 4) as d from dist a join dist b on b.i = a.j) group by i, k""", 20.0),
     "union_rows": sql(HIST, select="""select idx, yr, biomass, 'history' as origin from hist
         union all select idx, yr + 2, biomass, null from hist"""),
     "weather_flatten": sql(WEATHER, select="select * from weather"),

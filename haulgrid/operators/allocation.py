@@ -115,11 +115,12 @@ class _Arcs:
     """The arcs (cluster, i, j, d) that are known so far, in stored tables sorted by plant, and for a `Frontier` the radius up to
     which each plant's arcs are among them."""
 
-    def __init__(self, source: DataFrame | Frontier, clustered: Callable[[DataFrame], DataFrame], labels: DataFrame | None, factor: float):
+    def __init__(self, source: DataFrame | Frontier, clustered: Callable[[DataFrame], DataFrame], labels: DataFrame | None, factor: float, stored: bool = False):
+        """`clustered` makes (cluster, i, j, d) of arcs (i, j, d); `stored` tells that those of a table need no table of their own."""
         self.frontier = source if isinstance(source, Frontier) else None
         self.clustered = clustered
         if self.frontier is None:
-            self.pieces, self.radius = [clustered(source)], None
+            self.pieces, self.radius = [clustered(source) if stored else self._sorted(clustered(source))], None
             return
         # What costs more than the biomass is worth is not part of the greedy rounds.
         self.reach = min(self.frontier.reach, 1 / factor)
@@ -129,9 +130,14 @@ class _Arcs:
         plants = plants.withColumn("cluster", F.lit(0).cast("bigint")) if labels is None else plants.join(labels.select("idx", "cluster"), "idx")
         self.radius = cut(plants.select("cluster", F.col("idx").alias("j"), F.lit(start).alias("radius")), "radius")
 
-    def _fetched(self, radius: float, ends: DataFrame | None, beyond: float = -1.0) -> DataFrame:
+    @staticmethod
+    def _sorted(arcs: DataFrame) -> DataFrame:
+        return cut(arcs.repartitionByRange("cluster", "j").sortWithinPartitions("cluster", "j"), "arcs")
+
+    def _fetched(self, radius: float, plants: DataFrame | None, beyond: float = -1.0) -> DataFrame:
+        ends = None if plants is None else plants.select(F.col("j").alias("idx")).distinct()
         found = self.clustered(self.frontier.legs(radius, ends).filter(F.col("d") > beyond))
-        return cut(found.repartitionByRange("cluster", "j").sortWithinPartitions("cluster", "j"), "arcs")
+        return self._sorted(found if plants is None else found.join(plants, ["cluster", "j"], "left_semi"))
 
     @property
     def table(self) -> DataFrame:
@@ -147,9 +153,7 @@ class _Arcs:
         doublings so far, a handful; each is one job."""
         grown = cut(self.radius.join(plants, ["cluster", "j"], "left_semi"), "grown")
         for r in sorted(row["radius"] for row in grown.select("radius").distinct().collect()):
-            ends = grown.filter(F.col("radius") == r)
-            ring = self._fetched(min(2 * r, self.reach), ends.select(F.col("j").alias("idx")).distinct(), r)
-            self.pieces.append(cut(ring.join(ends.select("cluster", "j"), ["cluster", "j"], "left_semi"), "ring"))
+            self.pieces.append(self._fetched(min(2 * r, self.reach), grown.filter(F.col("radius") == r).select("cluster", "j"), r))
         more = grown.select("cluster", "j", F.lit(True).alias("_more"))
         doubled = F.when(F.col("_more"), F.least(F.col("radius") * 2, F.lit(self.reach))).otherwise(F.col("radius"))
         self.radius = cut(self.radius.join(more, ["cluster", "j"], "left").select("cluster", "j", doubled.alias("radius")), "radius")
@@ -400,9 +404,11 @@ def _greedy(arcs: _Arcs, supply: DataFrame, cap: float, limits: DataFrame, facto
     else:
         moved = cut(_in_order(picks, limits).select(*columns), "moved")
     short = cut(_progress(limits, moved).filter("shipped < target and quota > 0").select("cluster").distinct(), "short")
+    if short.isEmpty() or (arcs.frontier is not None and arcs.frontier.reach * factor < 1):
+        return moved
     everything = arcs.whole(short)
     dear = everything.filter(F.col("d") * factor >= 1.0).select("cluster").distinct()
-    if short.isEmpty() or dear.isEmpty():
+    if dear.isEmpty():
         return moved
     dear = cut(dear, "dear")
     again = [cut(everything.join(dear, "cluster", "left_semi"), "arcs"), *(t.join(dear, "cluster", "left_semi") for t in (first_supply, limits))]
@@ -459,10 +465,7 @@ def open_depots(
         allowed = None
         rounds = p.max_depots
     else:
-        def clustered(df: DataFrame) -> DataFrame:
-            own = cluster_arcs(df, labels, quota).select("cluster", "i", "j", "d")
-            return cut(own.repartitionByRange("cluster", "j").sortWithinPartitions("cluster", "j"), "arcs")
-
+        clustered = lambda df: cluster_arcs(df, labels, quota).select("cluster", "i", "j", "d")
         supply = rows.join(labels.select(F.col("idx").alias("i"), "cluster"), "i")
         allowed = quota.filter(F.col("quota") > 0).select("cluster", "quota")
         rounds = allowed.agg(F.max("quota")).first()[0] or 0
@@ -471,7 +474,7 @@ def open_depots(
         limits = totals.withColumn("quota", F.lit(p.max_depots).cast("bigint"))
     else:
         limits = totals.join(allowed, "cluster")
-    moved = _greedy(_Arcs(dist, clustered, labels, p.factor), supply, p.depot_cap - p.margin, cut(limits, "limits"), p.factor, rounds)
+    moved = _greedy(_Arcs(dist, clustered, labels, p.factor, stored=labels is None), supply, p.depot_cap - p.margin, cut(limits, "limits"), p.factor, rounds)
     return _flow_rows(moved, BIOMASS, DEPOT)
 
 
@@ -596,8 +599,8 @@ def open_refineries(
         arcs = lookup_join(df.select("i", "j", "d"), depots, ["i"], stored=True).select("cluster", "i", "j", "d")
         if labels is not None:
             ends = labels.select(F.col("idx").alias("j"), F.col("cluster").alias("_end"))
-            arcs = lookup_join(arcs, ends, ["j"]).filter(F.col("cluster") == F.col("_end")).drop("_end")
-        return cut(arcs.select("cluster", "i", "j", "d"), "arcs")
+            arcs = lookup_join(arcs, ends, ["j"]).filter(F.col("cluster") == F.col("_end"))
+        return arcs.select("cluster", "i", "j", "d")
 
     limits = supply.groupBy("cluster", "yr").agg((F.sum("supply") - p.tolerance / 2).alias("target"))
     if quota is None:

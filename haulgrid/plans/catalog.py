@@ -22,7 +22,7 @@ from haulgrid import params as fixed
 from haulgrid.params import Params
 from haulgrid.plans import bindings as b
 from haulgrid.plans.supply_chain import plan_supply_chain
-from haulgrid.schemas import BIOMASS, DEPOT, FORECAST
+from haulgrid.schemas import BIOMASS, DEPOT, FORECAST, PELLET
 from haulgrid.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]

@@ -23,6 +23,8 @@ TASK_ROWS = 2_000_000
 LARGE_ROWS = 5_000_000
 # (Plant, year) pairs that are listed in a filter rather than joined.
 LISTED = 1_000
+# The source that stands for all beyond the arcs of a bound; no site has it.
+FAR = -1
 # Share taken off a used supply, so that rounding never ships more than a site has.
 ROUNDING = 1e-12
 
@@ -632,7 +634,7 @@ def plan_objective(flows: DataFrame, dist: DataFrame, p: Params) -> DataFrame:
     )
 
 
-def _best_plants(plants: DataFrame, most: int) -> tuple[DataFrame, float]:
+def best_plants(plants: DataFrame, most: int) -> tuple[DataFrame, float]:
     """The `most` plants (`j`, `k`, a stored table) with the least `k`, and the sum of these. Ranked over ranges, if there are more."""
     row = plants.agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("k")).first()
     if row["n"] <= most:
@@ -642,9 +644,14 @@ def _best_plants(plants: DataFrame, most: int) -> tuple[DataFrame, float]:
     return best, best.agg(F.sum("k")).first()[0]
 
 
-def allocation_bound(dist: DataFrame, forecast: DataFrame, p: Params, upper: float, steps: int = 20) -> DataFrame:
+def allocation_bound(
+    dist: DataFrame, forecast: DataFrame, p: Params, upper: float, steps: int = 20, radius: float | None = None
+) -> DataFrame:
     """Lower bound on the objective of any depot plan, with the gap to the plan value `upper`.
 
+    Where the arcs of `dist` are cut, give the `radius` up to which they are whole: what lies beyond counts as one arc of that
+    length from which a plant can fill itself, so the bound also holds for plans over longer arcs.
+
     Lagrangian relaxation of site supply and yearly coverage (Held, Wolfe and Crowder 1974; Fisher 1981):
     each depot becomes a fractional knapsack, filled by `fill_by_rank` on reduced costs; the multipliers
     take subgradient steps. The driver sees sums per year; the `max_depots` best depots are a table, ranked over ranges
@@ -660,6 +667,8 @@ def allocation_bound(dist: DataFrame, forecast: DataFrame, p: Params, upper: flo
     )
     arcs = dist.select("i", "j", "d")
     spread = spread_of(arcs, ["j"])
+    every_year = F.explode(F.array(*[F.lit(y) for y in years])).alias("yr")
+    far = cut(arcs.select("j").distinct().select(F.lit(FAR).cast("bigint").alias("i"), "j", every_year, F.lit(cap).alias("supply")), "far")
     few = sites.count() <= BROADCAST_ROWS
     total = {r["yr"]: r["t"] for r in sites.groupBy("yr").agg(F.sum("supply").alias("t")).collect()}
     need = {y: p.min_share * total.get(y, 0.0) + p.margin for y in years}
@@ -670,13 +679,17 @@ def allocation_bound(dist: DataFrame, forecast: DataFrame, p: Params, upper: flo
         for y in years:
             mu = F.when(F.col("yr") == y, F.lit(reward[y])).otherwise(mu)
         cost = F.lit(p.factor) * F.col("d") - 1.0 + F.col("price") - mu
-        priced = arcs.join(F.broadcast(sites) if few else sites, "i").withColumn("cost", cost).filter(F.col("cost") < 0)
+        priced = arcs.join(F.broadcast(sites) if few else sites, "i").select("i", "j", "yr", "supply", cost.alias("cost"))
+        if radius is not None:
+            priced = priced.unionByName(far.select("i", "j", "yr", "supply", (F.lit(p.factor * radius - 1.0) - mu).alias("cost")))
+        priced = priced.filter(F.col("cost") < 0)
         costs = replace(spread, lo=p.factor * spread.lo - 1.0 - max(reward.values()), hi=0.0)
         filled = fill_by_rank(priced, cap, ["j", "yr"], F.col("cost"), costs)
         filled = cut(filled.select("i", "j", "yr", "cost", "b"), "knapsack")
         plants = filled.groupBy("j").agg((F.sum(F.col("cost") * F.col("b")) + cap * len(years)).alias("k"))
-        chosen, value = _best_plants(cut(plants.filter(F.col("k") < 0), "plants"), p.max_depots)
+        chosen, value = best_plants(cut(plants.filter(F.col("k") < 0), "plants"), p.max_depots)
         taken = filled.join(chosen.select("j"), "j", "left_semi").groupBy("i", "yr").agg(F.sum("b").alias("taken"))
+        beyond = {} if radius is None else {r["yr"]: r["b"] for r in taken.filter(F.col("i") == FAR).groupBy("yr").agg(F.sum("taken").alias("b")).collect()}
         slope = F.coalesce("taken", F.lit(0.0)) - F.col("supply")
         state = cut(sites.join(taken, ["i", "yr"], "left").withColumn("slope", slope).drop("taken"), "slopes")
         pull = F.when((F.col("price") > 0) | (F.col("slope") > 0), F.col("slope") * F.col("slope")).otherwise(0.0)
@@ -694,7 +707,7 @@ def allocation_bound(dist: DataFrame, forecast: DataFrame, p: Params, upper: flo
             stalls += 1
             if stalls == 10:
                 theta, stalls = theta / 2, 0
-        lack = {y: need[y] - (sums[y]["moved"] if y in sums else 0.0) for y in years}
+        lack = {y: need[y] - (sums[y]["moved"] if y in sums else 0.0) - beyond.get(y, 0.0) for y in years}
         norm = sum(r["norm"] for r in sums.values())
         norm += sum(g * g for y, g in lack.items() if reward[y] > 0 or g > 0)
         if step == steps or norm <= 0 or upper - value <= 0:

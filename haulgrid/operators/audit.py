@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from haulgrid.functions.keys import data_type_of, name_part
+from haulgrid.functions.lineage import cut
 from haulgrid.functions.scale import lookup_join
 from haulgrid.operators.stats import all_loads, depot_load
 from haulgrid.params import LOCATION_YEAR, Params
@@ -60,7 +61,10 @@ def _none() -> Column:
 
 def check_nonnegative(flows: DataFrame, p: Params) -> DataFrame:
     """Per data type and year the least value, which must not be below zero."""
-    least = flows.filter(F.col("value").isNotNull()).groupBy("data_type", "yr").agg(F.min("value").alias("v"))
+    return _nonnegative(flows.filter(F.col("value").isNotNull()).groupBy("data_type", "yr").agg(F.min("value").alias("v")))
+
+
+def _nonnegative(least: DataFrame) -> DataFrame:
     name = F.concat(F.lit("C1_nonnegative_"), F.col("data_type"))
     return least.select(
         name.alias("constraint"), "yr", F.lit(None).cast("bigint").alias("key"), F.col("v").alias("actual"),
@@ -79,6 +83,10 @@ def check_site_supply(flows: DataFrame, p: Params) -> DataFrame:
         total(BIOMASS).alias("sent"), total(FORECAST).alias("forecast"),
         F.count_if(F.col("data_type") == BIOMASS).alias("n"),
     )
+    return _site_supply(sites)
+
+
+def _site_supply(sites: DataFrame) -> DataFrame:
     sites = sites.filter(F.col("n") > 0)
     ok = F.col("sent") <= F.col("forecast")
     return _rows(sites, "C2_site_supply", F.col("yr"), F.col("src"), F.col("sent"), F.col("forecast"), ok)
@@ -86,7 +94,10 @@ def check_site_supply(flows: DataFrame, p: Params) -> DataFrame:
 
 def check_depot_capacity(flows: DataFrame, p: Params) -> DataFrame:
     """Both in-flow and out-flow of a depot against its capacity."""
-    loads = all_loads(flows)
+    return _depot_capacity(all_loads(flows), p)
+
+
+def _depot_capacity(loads: DataFrame, p: Params) -> DataFrame:
     into = (F.col("data_type") == BIOMASS) & (F.col("side") == "dst")
     out = (F.col("data_type") == PELLET) & (F.col("side") == "src")
     rows = loads.filter(into | out)
@@ -98,15 +109,20 @@ def check_depot_capacity(flows: DataFrame, p: Params) -> DataFrame:
 
 
 def check_refinery_capacity(flows: DataFrame, p: Params) -> DataFrame:
-    load = depot_load(flows, PELLET, "dst")
+    return _refinery_capacity(depot_load(flows, PELLET, "dst"), p)
+
+
+def _refinery_capacity(load: DataFrame, p: Params) -> DataFrame:
     return _rows(load, "C4_refinery_in", F.col("yr"), F.col("key"), F.col("load"), F.lit(p.refinery_cap), F.col("load") <= p.refinery_cap)
 
 
 def check_counts(flows: DataFrame, p: Params) -> DataFrame:
     """Number of depots and refineries, and whether a cell is declared twice."""
     kinds = flows.filter(F.col("data_type").isin(DEPOT, REFINERY)).groupBy("data_type", "src")
-    cells = kinds.agg(F.count(F.lit(1)).alias("n"))
+    return _counts(kinds.agg(F.count(F.lit(1)).alias("n")), p)
 
+
+def _counts(cells: DataFrame, p: Params) -> DataFrame:
     def per(kind: str) -> list[Column]:
         mine = F.col("data_type") == kind
         return [F.count_if(mine), F.coalesce(F.sum(F.when(mine, F.col("n") - 1)), F.lit(0).cast("bigint"))]
@@ -139,7 +155,10 @@ def processed_ratio(flows: DataFrame) -> DataFrame:
 
 
 def check_coverage(flows: DataFrame, p: Params) -> DataFrame:
-    years = processed_ratio(flows)
+    return _coverage(processed_ratio(flows), p)
+
+
+def _coverage(years: DataFrame, p: Params) -> DataFrame:
     limit = F.col("forecast") * p.min_share
     return _rows(years, "C7_coverage", F.col("yr"), _none(), F.col("processed"), limit, F.col("processed") >= limit)
 
@@ -156,27 +175,33 @@ def flow_balance(flows: DataFrame) -> DataFrame:
 
 
 def check_flow_balance(flows: DataFrame, p: Params) -> DataFrame:
+    return _flow_balance(flow_balance(flows), p)
+
+
+def _flow_balance(depots: DataFrame, p: Params) -> DataFrame:
     gap = F.abs("diff")
-    return _rows(flow_balance(flows), "C8_balance", F.col("yr"), F.col("key"), gap, F.lit(p.tolerance), gap <= p.tolerance)
+    return _rows(depots, "C8_balance", F.col("yr"), F.col("key"), gap, F.lit(p.tolerance), gap <= p.tolerance)
 
 
 def check_locations(flows: DataFrame, p: Params) -> DataFrame:
     """Cells that flows use without a declaration, and declarations under another year: rows that fail."""
-    def declared(kind: str) -> DataFrame:
-        return flows.filter(F.col("data_type") == kind).select(F.col("src").alias("key")).distinct()
+    kind = F.col("data_type")
+    plants = flows.filter(kind.isin(DEPOT, REFINERY)).select("data_type", "yr", "src")
+    loads = {(leg, side): depot_load(flows, leg, side) for leg, side in ((BIOMASS, "dst"), (PELLET, "src"), (PELLET, "dst"))}
+    return _locations(plants, loads, p)
 
-    def used(leg: str, side: str) -> DataFrame:
-        return depot_load(flows, leg, side)
 
-    def undeclared(constraint: str, loads: DataFrame, kind: str) -> DataFrame:
-        loose = loads.join(declared(kind), "key", "left_anti")
+def _locations(plants: DataFrame, loads: dict[tuple[str, str], DataFrame], p: Params) -> DataFrame:
+    def undeclared(constraint: str, leg: str, side: str, kind: str) -> DataFrame:
+        declared = plants.filter(F.col("data_type") == kind).select(F.col("src").alias("key")).distinct()
+        loose = loads[leg, side].join(declared, "key", "left_anti")
         return _rows(loose, constraint, F.col("yr"), F.col("key"), F.col("load"), F.lit(0.0), F.lit(False))
 
-    wrong_year = flows.filter(F.col("data_type").isin(DEPOT, REFINERY) & (F.col("yr") != p.location_year))
+    wrong_year = plants.filter(F.col("yr") != p.location_year)
     return (
-        undeclared("C9_depot_in_undeclared", used(BIOMASS, "dst"), DEPOT)
-        .unionByName(undeclared("C9_depot_out_undeclared", used(PELLET, "src"), DEPOT))
-        .unionByName(undeclared("C9_refinery_undeclared", used(PELLET, "dst"), REFINERY))
+        undeclared("C9_depot_in_undeclared", BIOMASS, "dst", DEPOT)
+        .unionByName(undeclared("C9_depot_out_undeclared", PELLET, "src", DEPOT))
+        .unionByName(undeclared("C9_refinery_undeclared", PELLET, "dst", REFINERY))
         .unionByName(_rows(wrong_year, "C9_location_year", F.col("yr"), F.col("src"), F.col("yr"), F.lit(p.location_year), F.lit(False)))
     )
 
@@ -187,12 +212,59 @@ CHECKS = (
 )
 
 
+# Values of the grouping id of `tally`: which of src and dst a row is not about.
+BY_SOURCE, BY_DESTINATION, BY_YEAR = 1, 2, 3
+
+
+def tally(flows: DataFrame) -> DataFrame:
+    """Sum, least value and rows per data type and year: by source, by destination and in all (`by`), in one aggregation."""
+    keys = ["data_type", "yr", "src", "dst"]
+    grouped = flows.groupingSets([keys[:3], ["data_type", "yr", "dst"], keys[:2]], *keys)
+    return grouped.agg(
+        F.grouping_id().cast("int").alias("by"), F.sum("value").alias("load"), F.min("value").alias("least"), F.count(F.lit(1)).alias("n")
+    )
+
+
 def audit(flows: DataFrame, p: Params) -> DataFrame:
-    """All checks as one table (constraint, yr, key, actual, limit, ok)."""
-    result = CHECKS[0](flows, p)
-    for check in CHECKS[1:]:
-        result = result.unionByName(check(flows, p))
-    return result
+    """All checks as one table (constraint, yr, key, actual, limit, ok).
+
+    The flows are read and shuffled once: the checks work on their `tally`, a stored table with a row per kind, year and node.
+    """
+    sums = cut(tally(flows), "tally")
+    kind, by = F.col("data_type"), F.col("by")
+    sources = sums.filter(by == BY_SOURCE)
+    years = sums.filter(by == BY_YEAR).select("data_type", "yr", F.col("load").alias("value"), "least")
+
+    def ends(side: str) -> DataFrame:
+        rows = sums.filter(kind.isin(BIOMASS, PELLET) & (by == (BY_SOURCE if side == "src" else BY_DESTINATION)))
+        return rows.select("data_type", F.lit(side).alias("side"), "yr", F.col(side).alias("key"), "load")
+
+    loads = ends("src").unionByName(ends("dst"))
+
+    def load(leg: str, side: str) -> DataFrame:
+        return ends(side).filter(kind == leg).select("yr", "key", "load")
+
+    def part(of: str, name: str) -> Column:
+        return F.sum(F.when(kind == of, F.col("load")).otherwise(0.0)).alias(name)
+
+    sites = sources.filter(kind.isin(BIOMASS, FORECAST)).groupBy("yr", "src").agg(
+        part(BIOMASS, "sent"), part(FORECAST, "forecast"), F.coalesce(F.sum(F.when(kind == BIOMASS, F.col("n"))), F.lit(0)).alias("n")
+    )
+    plants = sources.filter(kind.isin(DEPOT, REFINERY)).select("data_type", "yr", "src", "n")
+    # Flows in at a depot and out of it; other ends are no part of its balance.
+    own = ((kind == BIOMASS) & (F.col("side") == "dst")) | ((kind == PELLET) & (F.col("side") == "src"))
+    depots = loads.filter(own).groupBy("yr", "key").agg(part(BIOMASS, "inflow"), part(PELLET, "outflow"))
+    repeated = plants.withColumn("n", F.explode(F.sequence(F.lit(1), F.col("n")))).drop("n")
+    return (
+        _nonnegative(years.filter(F.col("least").isNotNull()).select("data_type", "yr", F.col("least").alias("v")))
+        .unionByName(_site_supply(sites))
+        .unionByName(_depot_capacity(loads, p))
+        .unionByName(_refinery_capacity(load(PELLET, "dst"), p))
+        .unionByName(_counts(plants.groupBy("data_type", "src").agg(F.sum("n").alias("n")), p))
+        .unionByName(_coverage(processed_ratio(years), p))
+        .unionByName(_flow_balance(depots.withColumn("diff", F.col("inflow") - F.col("outflow")), p))
+        .unionByName(_locations(repeated, {key: load(*key) for key in ((BIOMASS, "dst"), (PELLET, "src"), (PELLET, "dst"))}, p))
+    )
 
 
 def repair_overload(flows: DataFrame, p: Params, mode: str = "shave", shave: float = 1e-2) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from haulgrid.functions.lineage import cut, scratch_path
 from haulgrid.operators import allocation as al
 from haulgrid.operators import audit as au
+from haulgrid.operators import bounds as bd
 from haulgrid.operators import clustering as cl
 from haulgrid.operators import filters as fi
 from haulgrid.operators import neighbours as nb
@@ -682,7 +683,18 @@ def allocation_bound(spark, sf):
     p, arcs, forecast = _scaled(spark, sf), _arcs(spark, sf), cut(b.forecast(spark, sf), "forecast")
     plan = cut(al.open_depots(arcs, forecast, p), "plan")
     upper = al.plan_objective(plan, arcs, p).first()["objective"]
-    return al.allocation_bound(arcs, forecast, p, upper)
+    return al.allocation_bound(arcs, forecast, p, upper, radius=REACH)
+
+
+@query
+def two_tier_bound(spark, sf):
+    """Bound and gap of the plan of both tiers, for plans over arcs of any length."""
+    p, forecast = _scaled(spark, sf), cut(b.forecast(spark, sf), "forecast")
+    flows = cut(open_refineries(spark, sf).unionByName(au.forecast_rows(forecast)), "flows")
+    cost = au.total_cost(flows, b.distances_of(spark, sf, flows), forecast, forecast, p)
+    upper = cost.agg(F.sum(F.col("transport") + F.col("underuse"))).first()[0]
+    arcs = _arcs(spark, sf)
+    return bd.two_tier_bound(arcs, arcs, forecast, p, upper, steps=6, radius=REACH, leg_radius=REACH)
 
 
 @query
@@ -708,7 +720,7 @@ def solution_to_submission(spark, sf):
 
 def _checked(check):
     # One pass over the flows lets Spark leave out the kinds a check does not use; several need a stored table.
-    source = _flows if check in (au.check_locations, au.audit) else b.flows
+    source = _flows if check is au.check_locations else b.flows
 
     def run(spark, sf):
         return rounded(check(source(spark, sf), TIGHT), "actual", "limit")

@@ -1,8 +1,10 @@
 """Each constraint fails on its own violation only; keys and files round-trip."""
 
 import json
+from functools import reduce
 
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -215,3 +217,18 @@ def test_matrix_labels_come_from_the_header(spark, tmp_path):
     (tmp_path / "bad.csv").write_text(",40,7\n40,0.0,far\n")
     with pytest.raises(Exception, match="not a number"):
         files.read_distances(spark, str(tmp_path / "bad.csv")).collect()
+
+
+@pytest.mark.parametrize("case", ["nothing", "location year", "one leg only", "same cell"])
+def test_audit_from_the_tally_equals_the_checks(spark, case):
+    """Also with rows of no value, without a destination, and plants declared twice under a wrong year."""
+    odd = [(BIOMASS, 2018, 0, 5, None), (BIOMASS, 2018, 3, None, 1.0), (DEPOT, 2018, 5, None, None), (DEPOT, 2018, 5, None, None)]
+    flows = spark.createDataFrame(BAD[case][0] + odd, FLOWS).coalesce(1)
+    both = [sorted(map(str, df.withColumn("actual", F.round("actual", 9)).collect()))
+            for df in (au.audit(flows, P), reduce(DataFrame.unionByName, [check(flows, P) for check in au.CHECKS]))]
+    assert both[0] == both[1]
+
+
+def test_tally_reads_flows_once(spark):
+    plan = au.tally(spark.createDataFrame(GOOD, FLOWS))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") + plan.count("LocalRelation") == 1 and plan.count("Expand") == 1

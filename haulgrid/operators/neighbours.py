@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -13,36 +12,41 @@ from haulgrid.functions.lineage import cut
 from haulgrid.functions.scale import key_counts, lookup_join, running_total, split_join
 from haulgrid.params import CURVE_POINTS, CURVE_RADIUS, SPACING_FLAG
 
-# Nearest-location descent: 4 x 4 children per cell, about this many locations in a last cell.
+# Nearest-location descent: 4 x 4 children per cell, at most this many locations in a last cell.
 LEAF = 32
-MAX_DEPTH = 12
 # Levels with at most 16 ** 4 = 65,536 cells are broadcast, deeper ones are shuffled.
 BROADCAST_LEVELS = 4
 
 
-def _with_cells(locations: DataFrame) -> tuple[DataFrame, int]:
-    """Add the finest grid cell (`cx`, `cy`) of each location and return the grid's depth.
+def _with_cells(locations: DataFrame, leaf: int = LEAF) -> tuple[DataFrame, int]:
+    """Add the last cell (`cx`, `cy`) of each location, store the table, and return it with the number of levels.
 
-    The depth grows until no cell holds more than LEAF locations, so a dense spot gets small cells.
+    Cells split the ranks of the locations by latitude and by longitude, four by four a level, so every row and every column
+    of cells holds an equal share however the locations crowd. A cell of level k lies in a row that holds n / 4**k of n
+    locations: no cell has more than `leaf` once 4**k >= n / leaf, and the depth is the least that meets it.
     """
-    box = locations.agg(
-        F.min("lat").alias("lat"), F.min("lon").alias("lon"),
-        F.max("lat").alias("lat_hi"), F.max("lon").alias("lon_hi"), F.count(F.lit(1)).alias("n"),
-    ).first()
-    extent = max((box["lat_hi"] or 0) - (box["lat"] or 0), (box["lon_hi"] or 0) - (box["lon"] or 0), 1e-9)
-    extent *= 1 + 1e-9
-    depth = max(1, math.ceil(math.log(max(box["n"] / LEAF, 1), 16)))
-    while True:
-        side = extent / 4**depth
-        celled = locations.withColumn("cx", F.floor((F.col("lat") - (box["lat"] or 0)) / side)).withColumn(
-            "cy", F.floor((F.col("lon") - (box["lon"] or 0)) / side)
-        )
-        if depth == MAX_DEPTH:
-            return celled, depth
-        fullest = celled.groupBy("cx", "cy").count().agg(F.max("count")).first()[0] or 0
-        if fullest <= LEAF:
-            return celled, depth
-        depth += 1
+    ranked = running_total(locations, F.lit(1), [F.col("lat"), F.col("lon"), F.col("idx")], out="_to", before="cx")
+    ranked = running_total(ranked.drop("_to"), F.lit(1), [F.col("lon"), F.col("lat"), F.col("idx")], out="_to", before="cy")
+    ranked = cut(ranked.drop("_to"), "ranked")
+    n = ranked.count()
+    finest = 1
+    while leaf * 4**finest < n:
+        finest += 1
+
+    def cell(rank: str, levels: int) -> Column:
+        return F.floor(F.col(rank) * F.lit(4**levels).cast("bigint") / F.lit(max(n, 1))).cast("bigint").alias(rank)
+
+    depth = finest
+    if finest > 1:
+        full = ranked.groupBy(cell("cx", finest), cell("cy", finest)).count()
+        level = full.withColumn("level", F.explode(F.sequence(F.lit(1), F.lit(finest))))
+        up = (2 * (finest - F.col("level"))).cast("int")
+        shifted = [F.call_function("shiftright", F.col(c), up).alias(c) for c in ("cx", "cy")]
+        sums = level.groupBy("level", *shifted).agg(F.sum("count").alias("n"))
+        fullest = sums.groupBy("level").agg(F.max("n").alias("n")).filter(F.col("n") <= leaf)
+        depth = fullest.agg(F.min("level")).first()[0] or finest
+    celled = ranked.withColumns({c: F.shiftright(cell(c, finest), 2 * (finest - depth)) for c in ("cx", "cy")})
+    return cut(celled, "celled"), depth
 
 
 def _box_distance(near: bool) -> Column:
@@ -60,13 +64,12 @@ def _box_distance(near: bool) -> Column:
 def nearest_location(points: DataFrame, locations: DataFrame, other_only: bool = False) -> DataFrame:
     """Nearest location (`idx`, `d`) of every distinct point (`plat`, `plon`); least idx wins ties.
 
-    `locations(idx, lat, lon)` must have distinct coordinates. All points descend a grid together,
-    four by four cells per level: a cell survives for a point if it can hold something at least as
+    `locations(idx, lat, lon)` must have distinct coordinates. All points descend the cells together,
+    four by four per level: a cell survives for a point if it can hold something at least as
     near as the nearest cell is certain to. The candidates per point stay few wherever the locations
     crowd. With `other_only` a location equal to the point does not count.
     """
     celled, depth = _with_cells(locations)
-    celled = cut(celled, "celled")
     found = points
     for level in range(1, depth + 1):
         shift = 2 * (depth - level)
@@ -114,8 +117,7 @@ def farthest_inside(
     be. A bounding box touches a site on every side, which makes the certain distances.
     """
     placed = sites.join(labels.select("idx", "cluster"), "idx")
-    celled, depth = _with_cells(cut(placed.select("cluster", "idx", "lat", "lon"), "placed"))
-    celled = cut(celled, "celled")
+    celled, depth = _with_cells(placed.select("cluster", "idx", "lat", "lon"))
     pairs = None
     for level in range(1, depth + 1):
         shift = 2 * (depth - level)

@@ -7,8 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from haulgrid.functions.scale import quantiles, running_total
-from haulgrid.operators.reshape import union_rows
+from haulgrid.functions.scale import column_quantiles, running_total
 from haulgrid.params import Params
 from haulgrid.schemas import BIOMASS, PELLET
 
@@ -18,21 +17,20 @@ def total_by_year(history: DataFrame) -> DataFrame:
 
 
 def describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Count, mean, sample deviation, extremes and exact quartiles, one row per column."""
-    rows = []
-    for c in cols:
-        base = df.agg(
-            F.lit(c).alias("measure"), F.count(c).alias("n"), F.avg(c).alias("mean"),
-            F.stddev_samp(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"),
-        )
-        cuts = quantiles(df.select(c), c, [0.25, 0.5, 0.75]).agg(
-            F.lit(c).alias("measure"),
-            *[F.max(F.when(F.col("prob") == q, F.col("value"))).alias(name)
-              for q, name in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))],
-        )
-        rows += [base, cuts]
-    names = ("n", "mean", "std", "min", "q25", "q50", "q75", "max")
-    return union_rows(*rows).groupBy("measure").agg(*[F.max(c).alias(c) for c in names])
+    """Count, mean, sample deviation, extremes and exact quartiles, one row per column.
+
+    All columns share one aggregation and the few passes of `column_quantiles`.
+    """
+    quartiles = column_quantiles(df, cols, [0.25, 0.5, 0.75])
+    own = {"n": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    wide = df.agg(*[f(c).alias(f"{k}_{name}") for k, c in enumerate(cols) for name, f in own.items()])
+
+    def row(k: int, c: str) -> Column:
+        q = [F.lit(quartiles[c][p]).cast("double").alias(name) for p, name in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))]
+        at = {name: F.col(f"{k}_{name}").cast("bigint" if name == "n" else "double").alias(name) for name in own}
+        return F.struct(F.lit(c).alias("measure"), at["n"], at["mean"], at["std"], at["min"], *q, at["max"])
+
+    return wide.select(F.inline(F.array(*[row(k, c) for k, c in enumerate(cols)])))
 
 
 def value_counts(df: DataFrame, col: str) -> DataFrame:

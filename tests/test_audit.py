@@ -165,6 +165,30 @@ def test_weather_files_skip_failed_calls(spark, tmp_path):
     assert [(r.site, str(r.time)[:10], r.rain_sum) for r in flat.orderBy("time").collect()] == [(4, "2018-01-01", 1.5), (4, "2018-01-02", None)]
 
 
+def test_one_large_array_is_read_in_splits(spark, tmp_path):
+    """Braces, quotes and backslashes in strings, nested objects, long and empty records, cut at every few hundred bytes."""
+    odd = ["plain", "}", "{{", '"', "\\", '\\"}', "a}b{c\"d", "\n}", "", '{"site": 9}', "ü}漢", "x" * 900 + "}" * 40, "[{]"]
+    rows = [{"site": k, "note": odd[k % len(odd)], "deep": {"name}": odd[(k * 7) % len(odd)], "list": [{"v": k}, {"v": None}]}} for k in range(400)]
+    rows[17] = rows[230] = {}
+    for name, layout in (("a.json", {"indent": 2}), ("b.json", {"ensure_ascii": False}), ("c.json", {"separators": (",", ":")})):
+        (tmp_path / name).write_text(json.dumps(rows, **layout), encoding="utf-8")
+    (tmp_path / "d.json").write_text("[]\n")
+    schema = "site bigint, note string, deep struct<`name}`: string, list: array<struct<v: bigint>>>"
+    kind = T._parse_datatype_string(schema)
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+        for name in ("a.json", "b.json", "c.json"):
+            got = files.read_weather(spark, str(tmp_path / name), kind, one_array=True).collect()
+            want = spark.read.schema(kind).option("multiLine", True).json(str(tmp_path / name)).collect()
+            assert sorted(map(str, got)) == sorted(map(str, want)) and len(got) == 400
+        records = files.array_records(spark, str(tmp_path))
+        assert {r.file.rsplit("/", 1)[1]: r["count"] for r in records.groupBy("file").count().collect()} == {"a.json": 400, "b.json": 400, "c.json": 400}
+        assert {json.dumps(json.loads(r.record)) for r in records.collect()} == {json.dumps(r) for r in rows}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
 def test_small_statistics(spark):
     df = spark.createDataFrame([(n, float(v)) for n, v in enumerate([0, 1, 2, 2, 10])], "idx bigint, biomass double")
     bins = {r.bin: r.n for r in st.histogram(df, "biomass", 5).collect()}

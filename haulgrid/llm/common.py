@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -21,17 +22,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def store(df: DataFrame, name: str) -> str:
-    """Write `df` to the shared folder and return the place."""
-    conf, path = df.sparkSession.conf, scratch_path(df.sparkSession, name)
-    before = {key: conf.get(key) for key in _WRITING}
+@contextmanager
+def writing(spark: SparkSession) -> Iterator[None]:
+    """The settings of `_WRITING` for the jobs inside."""
+    before = {key: spark.conf.get(key) for key in _WRITING}
     try:
         for key, value in _WRITING.items():
-            conf.set(key, value)
-        df.write.option("compression", "zstd").parquet(path)
+            spark.conf.set(key, value)
+        yield
     finally:
         for key, value in before.items():
-            conf.set(key, value)
+            spark.conf.set(key, value)
+
+
+def store(df: DataFrame, name: str) -> str:
+    """Write `df` to the shared folder and return the place."""
+    path = scratch_path(df.sparkSession, name)
+    with writing(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     return path
 
 

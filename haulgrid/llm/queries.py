@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from haulgrid.functions.lineage import scratch_path
 from haulgrid.llm import (
     collocations,
     decontaminate,
@@ -37,7 +38,7 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     versions = documents(spark, sf_dir).select(F.col("doc_id").alias("path"), "text")
-    found, _ = secret_scan.scan_versions(versions)
+    found = secret_scan.scan_into(versions, scratch_path(spark, "blob-ledger"))
     spans = secret_scan.span_text(F.col("spans"))
     return found.select(
         F.col("path").alias("doc_id"), *[secret_scan.count_of(F.col("spans"), k).alias(f"n_{k}") for k in ("assign", "access", "hex")],

@@ -5,10 +5,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haulgrid.llm.common import stored
+from haulgrid.llm.common import stored, writing
 
 
 @dataclass(frozen=True)
@@ -22,6 +22,9 @@ class Rule:
     version: int = 1
 
 
+SPANS = "array<struct<start:int,order:int,kind:string,end:int>>"
+
+
 def either_case(word: str) -> str:
     return "".join(f"[{c.upper()}{c.lower()}]" if c.isalpha() else c for c in word)
 
@@ -46,7 +49,7 @@ def rule_spans(text: Column, rule: Rule, order: int) -> Column:
     values = found if rule.value == 0 else F.regexp_extract_all(text, pattern, F.lit(rule.value))
     lengths = F.transform(F.arrays_zip(gaps.alias("g"), found.alias("m"), values.alias("v")), lambda x: F.struct(
         F.length(x["g"]).alias("gap"), F.coalesce(F.length(x["m"]), F.lit(0)).alias("own"), F.coalesce(F.length(x["v"]), F.lit(0)).alias("value")))
-    empty = F.array().cast("array<struct<start:int,order:int,kind:string,end:int>>")
+    empty = F.array().cast(SPANS)
     walked = F.aggregate(
         lengths,
         F.struct(F.lit(0).alias("at"), empty.alias("spans")),
@@ -62,43 +65,95 @@ def rule_spans(text: Column, rule: Rule, order: int) -> Column:
     return F.when(text.rlike(rule.pattern), walked["spans"]).otherwise(empty)
 
 
+LEDGER = f"blob string, spans {SPANS}, kind string, rule_version int"
+_PAIR = ["blob", "kind", "rule_version"]
+
+
 def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """`blob, kind, rule_version, spans` for every blob and rule, blobs without a finding as well (empty spans)."""
-    scanned = blobs.select("blob", *[rule_spans(F.col("text"), r, k).alias(r.kind) for k, r in enumerate(rules)])
-    rows = F.explode(F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("rule_version"), F.col(r.kind).alias("spans")) for r in rules]))
-    return scanned.select("blob", rows.alias("r")).select("blob", "r.*")
+    """`blob, spans, kind, rule_version` for every blob and rule, blobs without a finding as well (empty spans).
+
+    A column `seen` of `blobs` (array of kinds, may be null) names the rules that are not to be run on a blob.
+    """
+    def run(r: Rule, k: int) -> Column:
+        spans = rule_spans(F.col("text"), r, k)
+        return F.when(~F.coalesce(F.array_contains("seen", r.kind), F.lit(False)), spans) if "seen" in blobs.columns else spans
+
+    scanned = blobs.select("blob", *[run(r, k).alias(r.kind) for k, r in enumerate(rules)])
+    rows = F.explode(F.array(*[F.struct(F.col(r.kind).alias("spans"), F.lit(r.kind).alias("kind"), F.lit(r.version).alias("rule_version")) for r in rules]))
+    return scanned.select("blob", rows.alias("r")).select("blob", "r.*").filter(F.col("spans").isNotNull())
+
+
+def _current(ledger: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """The rows of the rules' present versions; over a stored ledger the filter chooses folders."""
+    wanted = F.lit(False)
+    for r in rules:
+        wanted = wanted | ((F.col("kind") == r.kind) & (F.col("rule_version") == r.version))
+    return ledger.filter(wanted)
+
+
+def _addressed(versions: DataFrame) -> DataFrame:
+    return versions.select("path", F.coalesce("text", F.lit("")).alias("text")).withColumn("blob", F.sha2("text", 256))
+
+
+def _unseen(addressed: DataFrame, paths: DataFrame, current: DataFrame | None, rules: tuple[Rule, ...]) -> DataFrame:
+    """Ledger rows of the pairs of blob and rule version that `current` lacks; only those are scanned."""
+    firsts = paths.groupBy("blob").agg(F.min("path").alias("path"))
+    if current is not None:
+        seen = current.groupBy("blob").agg(F.collect_set("kind").alias("seen"))
+        firsts = firsts.join(seen, "blob", "left").filter(F.coalesce(F.size("seen"), F.lit(0)) < len(rules))
+    own = firsts.withColumnRenamed("path", "_path")
+    same = addressed["path"].eqNullSafe(own["_path"]) & (addressed["blob"] == own["blob"])
+    texts = addressed.join(own, same).select(addressed["blob"], "text", *(["seen"] if current is not None else []))
+    return scan_blobs(texts, rules).dropDuplicates(_PAIR)
+
+
+def _joined(paths: DataFrame, known: DataFrame) -> DataFrame:
+    hits = known.filter(F.size("spans") > 0).dropDuplicates(_PAIR)
+    found = hits.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
+    return paths.join(found, "blob", "left").select("path", "blob", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
 
 
 def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, DataFrame]:
     """Scan `versions` (`path`, `text`): returns (`path, blob, spans` for every version, new ledger rows).
 
     A blob is addressed by the SHA-256 of its text (null: empty), so copies under other paths and unchanged later versions
-    are scanned once. `ledger` (`blob, kind, rule_version, spans`) holds earlier scans; a blob is scanned again only for
+    are scanned once. `ledger` (`blob, spans, kind, rule_version`) holds earlier scans; a blob is scanned again only for
     rules whose present version it lacks. Texts are drawn by (blob, path), so a blob that a third of the rows share is
     one row of that join; findings return by blob, a join that only has blobs with findings on its small side.
     Every row of `versions` gives one row, repeated rows too; an empty table gives none.
     """
-    addressed = versions.select("path", F.coalesce("text", F.lit("")).alias("text")).withColumn("blob", F.sha2("text", 256))
+    addressed = _addressed(versions)
     paths = stored(addressed.select("path", "blob"), "paths")
-    firsts = paths.groupBy("blob").agg(F.min("path").alias("path"))
-    current = None
-    if ledger is not None:
-        wanted = F.lit(False)
-        for r in rules:
-            wanted = wanted | ((F.col("kind") == r.kind) & (F.col("rule_version") == r.version))
-        current = ledger.filter(wanted)
-        complete = current.groupBy("blob").agg(F.countDistinct("kind").alias("_n")).filter(F.col("_n") == len(rules))
-        firsts = firsts.join(complete, "blob", "left_anti")
-    same = addressed["path"].eqNullSafe(firsts["path"]) & (addressed["blob"] == firsts["blob"])
-    unseen = addressed.join(firsts, same, "left_semi").select("blob", "text")
-    fresh = scan_blobs(unseen, rules).dropDuplicates(["blob", "kind", "rule_version"])
-    if current is not None:
-        fresh = fresh.join(current.select("blob", "kind", "rule_version"), ["blob", "kind", "rule_version"], "left_anti")
-    fresh = stored(fresh, "ledger")
-    known = fresh if current is None else fresh.unionByName(current)
-    found = known.filter(F.size("spans") > 0).groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
-    none = F.array().cast("array<struct<start:int,order:int,kind:string,end:int>>")
-    return paths.join(found, "blob", "left").select("path", "blob", F.coalesce("spans", none).alias("spans")), fresh
+    current = None if ledger is None else _current(ledger, rules)
+    fresh = stored(_unseen(addressed, paths, current, rules), "ledger")
+    known = fresh if current is None else fresh.unionByName(current.select(*fresh.columns))
+    return _joined(paths, known), fresh
+
+
+def read_ledger(spark: SparkSession, folder: str) -> DataFrame | None:
+    """The ledger stored in `folder` by earlier scans; None where there is none yet."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return None
+    return spark.read.schema(LEDGER).parquet(folder)
+
+
+def scan_into(versions: DataFrame, folder: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Scan `versions` (`path`, `text`) against the ledger stored in `folder` and append what was unseen: `path, blob, spans`.
+
+    The ledger has a folder per kind and rule version: a scan reads only the rules' present ones, and a rule whose version rises
+    starts an empty one, so all blobs are scanned anew for that rule alone. Findings are joined from the stored rows. A scan
+    that is cut off leaves whole rows, which the next one finds and does not scan again; two scans at once may both
+    store a pair, which counts once. The guarantees of `scan_versions` on nulls, copies and repeated rows hold.
+    """
+    spark = versions.sparkSession
+    ledger = read_ledger(spark, folder)
+    addressed = _addressed(versions)
+    paths = stored(addressed.select("path", "blob"), "paths")
+    fresh = _unseen(addressed, paths, None if ledger is None else _current(ledger, rules), rules)
+    with writing(spark):
+        fresh.write.mode("append").partitionBy("kind", "rule_version").option("compression", "zstd").parquet(folder)
+    return _joined(paths, _current(spark.read.schema(LEDGER).parquet(folder), rules))
 
 
 def span_text(spans: Column) -> Column:

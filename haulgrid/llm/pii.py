@@ -65,11 +65,18 @@ def _pick(letters: str, value: Column) -> Column:
     return F.substring(F.lit(letters), F.pmod(value, F.lit(len(letters))).cast("int") + 1, F.lit(1))
 
 
+def check_sum(digits: Column) -> Column:
+    """Luhn sum of the first 16 of an array of digits, modulo 10: 0 for a valid card number."""
+    doubled = F.transform(F.slice(digits, 1, 16), lambda c, i: c.try_cast("int") * F.when(i % 2 == 0, 2).otherwise(1))
+    return F.aggregate(doubled, F.lit(0), lambda s, d: s + d - F.when(d > 9, 9).otherwise(0)) % 10
+
+
 def surrogate(kind: Column, canonical: Column, secret: str, attempt: Column) -> Column:
     """The replacement of a canonical entity: an HMAC-like digest of key, kind, entity and attempt chooses every character
     within its class, so punctuation, digits, script and (for persons) gender stay, and at first the length. Every further
     attempt makes a name longer by two letters, and from the fourth on an email by one: there is always a free one.
-    The leading 1 of eleven-digit phones stays, as spellings without it must tell numbers apart too."""
+    The leading 1 of eleven-digit phones stays, as spellings without it must tell numbers apart too. The last digit of a card is
+    chosen so that its check sum stays: valid numbers get valid ones, others none that look valid."""
     inner = F.sha2(F.concat_ws("|", F.lit(secret), kind, canonical, attempt.cast("string")), 256)
     more = F.when(kind == "person", 2 * attempt).when(kind == "email", F.greatest(attempt - 3, F.lit(0))).otherwise(F.lit(0)).cast("int")
     length = F.length(canonical) + more
@@ -99,9 +106,13 @@ def surrogate(kind: Column, canonical: Column, secret: str, attempt: Column) ->
     longer = F.concat(chars, F.array_repeat(F.substring(canonical, -1, 1), more))
     mailed = F.concat(F.array_repeat(F.lit("x"), more), chars)
     prefix = F.when((kind == "phone") & canonical.rlike("^1[0-9]{10}$"), 1).otherwise(0)
+    # The last of sixteen digits has weight 1, so the sum without it tells the digit that is needed.
+    body = F.transform(F.slice(chars, 1, 15), letter)
+    last = F.pmod(check_sum(chars) - check_sum(body), F.lit(10)).cast("string")
     octets = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: (F.pmod(value(k), F.lit(254)) + 1).cast("string")), ".")
     return (
         F.when(kind == "ip", octets)
+        .when(kind == "card", F.concat(F.array_join(body, ""), last))
         .when(kind == "person", F.array_join(F.transform(longer, named), ""))
         .when(kind == "email", F.array_join(F.transform(mailed, lambda c, i: F.when(i >= length - tail, c).otherwise(letter(c, i))), ""))
         .otherwise(F.array_join(F.transform(chars, lambda c, i: F.when(i < prefix, c).otherwise(letter(c, i))), ""))

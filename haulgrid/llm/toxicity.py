@@ -114,18 +114,39 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def _fitting(most: int):
+    """Of rows in order those whose `size` still fits `most` in all; larger ones are passed over."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = most
+        for batch in batches:
+            kept = []
+            for k, size in enumerate(batch.column("size").to_pylist()):
+                if size <= left:
+                    kept.append(k)
+                    left -= size
+            yield batch.take(pa.array(kept, pa.int64()))
+
+    return run
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, p: Ftrl) -> DataFrame:
     """`text, label` of at most about `p.sample` labelled rows outside the held-out part, in one partition ordered by hash.
 
-    The ids of the sample are bounded by `p.sample`, so they are broadcast; only the texts of the sample move.
-    Rows without a label or doc_id are left out; of several labels of a document the highest counts.
+    The ids of the sample are bounded by `p.sample`, so they are broadcast. Their sizes alone decide which texts fit
+    `p.sample_bytes`; only those texts move. Rows without a label or doc_id are left out; of several labels of a document the
+    highest counts. Rows with one doc_id fit together or not at all.
     """
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = stored(known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label")).withColumn("h", F.xxhash64("doc_id")), "labels")
     n = known.count()
     if n > p.sample:
         known = known.filter(F.pmod("h", F.lit(1 << 32)) < int(p.sample / n * (1 << 32)))
-    chosen = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
+    size = F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")).alias("size")
+    sized = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").groupBy("doc_id", "label", "h").agg(size)
+    ordered = sized.repartition(1).sortWithinPartitions("h", "doc_id")
+    fitting = stored(ordered.mapInArrow(_fitting(p.sample_bytes), ordered.schema).drop("size"), "sample")
+    chosen = docs.select("doc_id", "text").join(F.broadcast(fitting), "doc_id")
     return chosen.repartition(1).sortWithinPartitions("h", "doc_id", "text").select("text", "label")
 
 

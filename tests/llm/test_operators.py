@@ -1,6 +1,7 @@
 """Each operator against plain code, on texts made for it and on the odd rows of the fixture."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -163,6 +164,60 @@ def test_toxicity_on_held_out_rows(make, spark):
     assert len(right) > 200 and sum(right) / len(right) > 0.95
 
 
+def _plain_ftrl(rows, p):
+    """FTRL-proximal as it is written down, one coordinate at a time, over features by name."""
+
+    def found(text):
+        w = [x.lower() for x in re.findall("[A-Za-z0-9]+", text)]
+        return {*w, *(("pair", *x) for x in zip(w, w[1:])), *(("skip", *x) for x in zip(w, w[2:])), None}
+
+    z, n = {}, {}
+
+    def weight(f):
+        if abs(z.get(f, 0.0)) <= p.l1:
+            return 0.0
+        return -(z[f] - math.copysign(p.l1, z[f])) / ((p.beta + math.sqrt(n[f])) / p.alpha + p.l2)
+
+    def score(text):
+        return 1 / (1 + math.exp(-sum(weight(f) for f in found(text))))
+
+    for _ in range(p.epochs):
+        for text, label in rows:
+            g, now = score(text) - label, {f: weight(f) for f in found(text)}
+            for f, w in now.items():
+                sigma = (math.sqrt(n.get(f, 0.0) + g * g) - math.sqrt(n.get(f, 0.0))) / p.alpha
+                z[f], n[f] = z.get(f, 0.0) + g - sigma * w, n.get(f, 0.0) + g * g
+    return score, sum(weight(f) != 0 for f in z)
+
+
+def test_toxicity_equals_plain_ftrl(make, spark):
+    rng = random.Random(8)
+    vocabulary = [f"w{k}" for k in range(12)]  # few enough that no two features share a hash
+    texts = [(k, " ".join(rng.choices(vocabulary, k=rng.randrange(1, 25))) + (" Vile, vile" if k % 3 == 0 else "")) for k in range(400)]
+    docs, marks = make(texts), spark.createDataFrame([(k, int(k % 3 == 0)) for k, _ in texts], "doc_id long, toxic int")
+    p = toxicity.Ftrl(l1=0.5)
+    order = docs.filter(~toxicity.held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id")).select("doc_id", "text").collect()
+    score, count = _plain_ftrl([(r.text, int(r.doc_id % 3 == 0)) for r in order], p)
+    weights = toxicity.train(docs, marks, p)
+    assert len(weights) == count > 20
+    got = docs.select("text", toxicity.scorer(spark, weights, p)("text").alias("s")).collect()
+    assert [r.s for r in got] == pytest.approx([score(r.text) for r in got], abs=1e-9)
+
+
+def test_only_texts_that_fit_are_drawn(make, spark):
+    texts = [(k, "x" * (10_000 if k % 5 == 0 else 100)) for k in range(200)]
+    docs, marks = make(texts), spark.createDataFrame([(k, k % 2) for k, _ in texts], "doc_id long, toxic int")
+    p = toxicity.Ftrl(sample_bytes=25_000)
+    drawn = toxicity.labelled_sample(docs, marks, p)
+    ids = docs.filter(~toxicity.held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id")).select(F.length("text")).collect()
+    left, want = p.sample_bytes, []
+    for (size,) in ids:
+        if size <= left:
+            want.append(size)
+            left -= size
+    assert [len(r.text) for r in drawn.collect()] == want and len(want) < len(ids)
+
+
 def test_toxicity_of_odd_rows(spark, odd, empty):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert toxicity.train(empty, none) == {} and toxicity.train(odd, none) == {}
@@ -370,6 +425,21 @@ def test_surrogates(make):
     assert re.fullmatch(r"[а-яё]{4}@[a-z]{4}\.[a-z]{7}\.org", got[7].entities[0].surrogate)
 
 
+def _luhn(number):
+    digits = [int(c) for c in number if c.isdigit()]
+    return sum(d if k % 2 else sum(divmod(2 * d, 10)) for k, d in enumerate(digits)) % 10
+
+
+def test_cards_keep_their_check_sum(make):
+    rng = random.Random(6)
+    cards = ["4111 1111 1111 1111", "5500-0000-0000-0004", "4407 6209 2659 0314"] + ["".join(rng.choices("0123456789", k=16)) for _ in range(60)]
+    rows = pii.pseudonymise(row_keyed(make([(k, f"paid with {c} today") for k, c in enumerate(cards)])), "k").collect()
+    made = {r.doc_id: r.entities[0].surrogate for r in rows}
+    assert {_luhn(c) for c in cards} == set(range(10)) and len(set(made.values())) == len(cards)
+    for k, c in enumerate(cards):
+        assert made[k] != c and _luhn(made[k]) == _luhn(c) and re.sub("[0-9]", "0", made[k]) == re.sub("[0-9]", "0", c)
+
+
 def test_surrogates_stay_distinct(spark):
     entities = spark.createDataFrame([("ssn", f"{k:03d}-00-0000") for k in range(60)] + [("email", f"{a}@b.co") for a in "abcdefgh"], "kind string, canonical string")
     got = pii.assign_surrogates(entities, "key").collect()

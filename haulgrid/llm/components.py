@@ -18,8 +18,9 @@ def _rows(df: DataFrame, *pairs: tuple[Column, Column]) -> DataFrame:
 
 
 def _with_least(edges: DataFrame) -> DataFrame:
-    """Each edge with the least of its node `v` and the node's neighbours."""
-    return edges.join(edges.groupBy("v").agg(F.least(F.col("v"), F.min("u")).alias("m")), "v")
+    """Each edge with the least of its node `v` and the node's neighbours. Sorted and merged: a broadcast would take more than 1 MB of
+    the driver at every step, however few the edges, and one task needs no shuffle for it."""
+    return edges.join(edges.groupBy("v").agg(F.least(F.col("v"), F.min("u")).alias("m")).hint("merge"), "v")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from haulgrid.functions.lineage import scratch_path
 from haulgrid.llm import decontaminate, exact_dedup, licenses, near_dedup, packing, pii, repeated_spans, secret_scan, toxicity, warc
 from haulgrid.llm.common import packed, row_keyed, stored
-from haulgrid.llm.components import components
+from haulgrid.llm.components import _with_least, components
 from tests.compare import database, difference
 from tests.llm.conftest import ODD
 
@@ -383,6 +383,15 @@ def test_near_dedup_keeps_columns(odd, empty):
     assert near_dedup.drop_near_copies(empty).count() == 0
 
 
+def test_steps_of_components_broadcast_nothing(spark):
+    """Of few edges a step is one task without a shuffle, and sends the driver no lookup table."""
+    edges = stored(spark.createDataFrame([(k + 1, k) for k in range(50)], "v long, u long"), "edges").coalesce(1)
+    step = _with_least(edges)
+    assert sorted((r.v, r.m) for r in step.collect()) == [(k + 1, k) for k in range(50)]
+    plan = step._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+
+
 def test_near_dedup_query_gives_document_ids(spark, tmp_path):
     from haulgrid.llm.queries import QUERIES
 

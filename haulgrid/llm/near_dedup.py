@@ -252,7 +252,8 @@ def near_classes(keyed: DataFrame, p: Signature = Signature()) -> DataFrame:
     classes = stored(signed.filter("n > 0").groupBy("same", "n", "signature").agg(F.min("_row").alias("a")), "classes")
     keys = classes.select(F.explode(chunk_keys(p)).alias("key"), "a", "n")
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("_size")).filter("_size > 1")
-    buckets = stored(keys.join(shared, "key"), "buckets")
+    # Merged: by the size of the classes' files Spark would take the fifty keys of each for a small table and broadcast them.
+    buckets = stored(keys.join(shared.hint("merge"), "key"), "buckets")
 
     small = buckets.filter(F.col("_size") <= SMALL)
     large = _by_row(buckets.filter(F.col("_size") > SMALL))
@@ -271,7 +272,7 @@ def near_classes(keyed: DataFrame, p: Signature = Signature()) -> DataFrame:
         roots = _contracted(roots, stored(_confirmed(candidates, sets, p), "links"))
         large = _by_row(rows)
     owned = classes.join(roots.select(F.col("node").alias("a"), "root"), "a", "left").select("same", F.coalesce("root", "a").alias("_root"))
-    return signed.join(owned, "same", "left").select("_row", "n", F.coalesce("_root", "_row").alias("component"))
+    return signed.join(owned.hint("merge"), "same", "left").select("_row", "n", F.coalesce("_root", "_row").alias("component"))
 
 
 def with_ids(found: DataFrame, keyed: DataFrame) -> DataFrame:

@@ -139,9 +139,17 @@ def _candidates(pairs: DataFrame, classes: DataFrame, p: Signature) -> DataFrame
     """Distinct pairs (`a` < `b`) whose set sizes and signatures allow the similarity."""
     fits = 100 * F.least("n_a", "n_b") >= p.percent * F.greatest("n_a", "n_b")
     pairs = pairs.filter(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct()
-    left = classes.select("a", F.col("signature").alias("_left"))
-    right = classes.select(F.col("a").alias("b"), F.col("signature").alias("_right"))
-    return pairs.join(left, "a").join(right, "b").filter(_near(p)("_left", "_right")).select("a", "b")
+    return _with_both(stored(pairs, "pairs"), classes, "a", "signature").filter(_near(p)("_left", "_right")).select("a", "b")
+
+
+def _with_both(pairs: DataFrame, table: DataFrame, key: str, value: str) -> DataFrame:
+    """The stored `pairs` with `value` of their rows in `table` as `_left` and `_right`. Each side is cut to the rows that are that end of
+    a pair before it is shuffled."""
+    both = pairs
+    for end, name in (("a", "_left"), ("b", "_right")):
+        side = table.select(F.col(key).alias(end), F.col(value).alias(name))
+        both = both.join(lookup_join(side, stored(pairs.select(end).distinct(), "ends"), [end], stored=True), end)
+    return both
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
@@ -150,10 +158,7 @@ def _ends(pairs: DataFrame) -> DataFrame:
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, p: Signature) -> DataFrame:
     """The pairs whose full shingle sets are similar enough."""
-    sets = lookup_join(sets, stored(_ends(pairs), "ends"), ["_row"], stored=True)
-    left = sets.select(F.col("_row").alias("a"), F.col("shingles").alias("_left"))
-    right = sets.select(F.col("_row").alias("b"), F.col("shingles").alias("_right"))
-    return pairs.join(left, "a").join(right, "b").filter(_similar(p)("_left", "_right")).select("a", "b")
+    return _with_both(pairs, sets, "_row", "shingles").filter(_similar(p)("_left", "_right")).select("a", "b")
 
 
 #: Buckets of at most this many rows give all their pairs at once.

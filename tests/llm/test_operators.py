@@ -732,3 +732,19 @@ def test_matches_sql(spark, sf, name):
     from haulgrid.llm.queries import QUERIES
 
     assert difference(QUERIES[name](spark, sf), database(sf), ORACLE[name]) is None
+
+
+def test_each_side_of_a_pair_is_cut_to_its_ends(spark, monkeypatch):
+    table = spark.range(1000).selectExpr("id as _row", "id * 10 as value")
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (4, 2), (1, 5)], "a long, b long")
+    join, sides = near_dedup.lookup_join, []
+
+    def counted(*args, **kwargs):
+        out = join(*args, **kwargs)
+        sides.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_dedup, "lookup_join", counted)
+    both = near_dedup._with_both(pairs, table, "_row", "value")
+    assert sorted(tuple(r) for r in both.select("a", "b", "_left", "_right").collect()) == [(1, 2, 10, 20), (1, 3, 10, 30), (1, 5, 10, 50), (4, 2, 40, 20)]
+    assert sides == [2, 3]

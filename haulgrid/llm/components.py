@@ -5,10 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from haulgrid.llm.common import forget, store
-
-#: Up to this many edges (a few MB) the steps run in one task, which saves their shuffles; beyond, they are spread.
-ONE_TASK = 200_000
+from haulgrid.llm.common import ONE_TASK, forget, store
 
 
 def _rows(df: DataFrame, *pairs: tuple[Column, Column]) -> DataFrame:
@@ -36,12 +33,14 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         now = spark.read.schema("v long, u long").parquet(path)
         mark = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first())
+        now = now.coalesce(1) if mark[0] <= ONE_TASK else now
         if mark == state or not mark[0]:
             return _rows(now, (v, u), (u, u)).distinct().select(F.col("v").alias("node"), F.col("u").alias("root"))
         state = mark
-        now = now.coalesce(1) if mark[0] <= ONE_TASK else now
-        large = _rows(_with_least(_rows(now, (v, u), (u, v))), (F.greatest(v, u), m), (v, m)).filter(v != u).distinct()
-        small = _rows(_with_least(large), (u, m), (v, m)).filter(v != u).distinct()
-        new = store(small, "stars")
+        large = _rows(_with_least(_rows(now, (v, u), (u, v))), (F.greatest(v, u), m), (v, m)).filter(v != u)
+        # A merge join of two single partitions no longer counts as one: without this all that follows it would be shuffled.
+        large = (large.coalesce(1) if mark[0] <= ONE_TASK else large).distinct()
+        small = _rows(_with_least(large), (u, m), (v, m)).filter(v != u)
+        new = store((small.coalesce(1) if mark[0] <= ONE_TASK else small).distinct(), "stars")
         forget(spark, path)
         path = new

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from haulgrid.functions.scale import lookup_join
-from haulgrid.llm.common import packed, row_keyed, slices, stored, text_arrays
+from haulgrid.llm.common import ONE_TASK, narrow, packed, row_keyed, slices, stored, text_arrays
 from haulgrid.llm.components import components
 from haulgrid.llm.hashing import mix, word_table, words
 
@@ -145,10 +145,12 @@ def _candidates(pairs: DataFrame, classes: DataFrame, p: Signature) -> DataFrame
 def _with_both(pairs: DataFrame, table: DataFrame, key: str, value: str) -> DataFrame:
     """The stored `pairs` with `value` of their rows in `table` as `_left` and `_right`. Each side is cut to the rows that are that end of
     a pair before it is shuffled."""
-    both = pairs
+    both, each = pairs, F.array(*[F.struct(F.col(end).alias("end"), F.lit(end == "a").alias("is_a")) for end in ("a", "b")])
+    ends = narrow(pairs).select(F.inline(each)).groupBy("end").agg(F.bool_or("is_a").alias("_left"), F.bool_or(~F.col("is_a")).alias("_right"))
+    ends = stored(ends, "ends")
     for end, name in (("a", "_left"), ("b", "_right")):
         side = table.select(F.col(key).alias(end), F.col(value).alias(name))
-        both = both.join(lookup_join(side, stored(pairs.select(end).distinct(), "ends"), [end], stored=True), end)
+        both = both.join(lookup_join(side, ends.filter(name).select(F.col("end").alias(end)), [end], stored=True), end)
     return both
 
 
@@ -166,15 +168,22 @@ SMALL = 8
 #: In larger ones, parts of about this many rows do, dealt anew in each of so many rounds.
 PART = 48
 ROUNDS = 2
+#: A row of the full tests carries so many of the shingles before its own.
+BEFORE = 16
 
 
 def _contracted(roots: DataFrame, links: DataFrame) -> DataFrame:
     """`roots` (`node`, `root`) after the confirmed `links` (`a`, `b`) between nodes."""
-    ends = links
+    n_links = links.count()
+    if not n_links:
+        return roots
+    few = max(n_links, roots.count()) <= ONE_TASK
+    roots, ends = (t.coalesce(1) if few else t for t in (roots, links))
     for end in ("a", "b"):
         own = roots.select(F.col("node").alias(end), F.col("root").alias(f"r_{end}"))
         ends = ends.join(own, end)
-    found = components(ends.select(F.col("r_a").alias("a"), F.col("r_b").alias("b")))
+    ends = ends.select(F.col("r_a").alias("a"), F.col("r_b").alias("b"))
+    found = components(ends.coalesce(1) if few else ends)
     moved = roots.join(found.select(F.col("node").alias("root"), F.col("root").alias("_to")), "root", "left")
     return stored(moved.select("node", F.coalesce("_to", "root").alias("root")), "roots")
 
@@ -187,7 +196,10 @@ def _by_row(rows: DataFrame) -> DataFrame:
 def _open(large: DataFrame, roots: DataFrame) -> DataFrame:
     """Rows of buckets that lie in several components: `key, a, n, root, first, size`; `first` is the least row of the bucket.
     Components are looked up once a row, not once for each of its buckets."""
+    few = max(large.agg(F.sum(F.size("keys"))).first()[0] or 0, roots.count()) <= ONE_TASK
+    large, roots = (t.coalesce(1) if few else t for t in (large, roots))
     named = large.join(roots.select(F.col("node").alias("a"), "root"), "a").select(F.explode("keys").alias("key"), "a", "n", "root")
+    named = named.coalesce(1) if few else named
     parts = named.groupBy("key", "root").agg(F.count(F.lit(1)).alias("s"), F.min("a").alias("first"))
     sizes = parts.groupBy("key").agg(F.min("first").alias("first"), F.sum("s").alias("size"), F.count(F.lit(1)).alias("_parts"))
     return stored(named.join(sizes.filter("_parts > 1").drop("_parts"), "key"), "open")
@@ -223,21 +235,23 @@ def _rarest(rows: DataFrame, sets: DataFrame, p: Signature) -> DataFrame:
 
 
 def _all_tests(rows: DataFrame, sets: DataFrame, p: Signature) -> DataFrame:
-    """Every pair of rows that share an open bucket, lie in different components and whose rarest shingles meet, once: at
+    """Every pair of rows that share an open bucket, lie in different components and whose rarest shingles meet: at
     the first shingle that both have among as many of the rarest as the sizes of the two ask for. The rows meet by these
-    shingles and not by their buckets, so a bucket of very many rows is not gone through pair by pair."""
+    shingles and not by their buckets, so a bucket of very many rows is not gone through pair by pair. A row of the join holds only
+    the last `BEFORE` shingles before its own, not all: they would grow with the square of a text's length. A pair may
+    therefore come more than once, but never less."""
     keys = rows.groupBy("a", "n", "root").agg(F.collect_list("key").alias("keys"))
     full = stored(keys.join(_rarest(rows, sets, p).filter(F.size("prefix") > 0), "a"), "full")
-    tokens = full.withColumn("token", F.explode("prefix"))
+    before = F.slice("prefix", F.greatest(F.col("pos") - BEFORE, F.lit(0)) + 1, F.least(F.col("pos"), F.lit(BEFORE)))
+    tokens = full.select("*", F.posexplode("prefix").alias("pos", "token")).withColumn("before", before).drop("prefix")
     left = tokens.withColumnRenamed("n", "n_a")
-    right = tokens.select(
-        "token", F.col("a").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("_root"), F.col("keys").alias("_keys"), F.col("own").alias("_own"), F.col("prefix").alias("_prefix")
-    )
+    # Merged: Spark takes the rows for as many as their texts, and would send the driver all shingles of long ones.
+    right = tokens.toDF(*[f"_{c}" for c in tokens.columns]).withColumnsRenamed({"_a": "b", "_n": "n_b"}).hint("merge")
     needed = F.ceil(p.percent * (F.col("n_a") + F.col("n_b")) / (100 + p.percent) - 1e-9)
-    firsts = [F.greatest(F.lit(0), F.col(n) - needed + 1 - F.col(own)).cast("int") for n, own in (("n_a", "own"), ("n_b", "_own"))]
-    meet = F.array_intersect(F.slice("prefix", F.lit(1), firsts[0]), F.slice("_prefix", F.lit(1), firsts[1]))
+    early = [F.col(pos) < F.col(n) - needed + 1 - F.col(own) for pos, n, own in (("pos", "n_a", "own"), ("_pos", "n_b", "_own"))]
     apart = (F.col("a") < F.col("b")) & (F.col("root") != F.col("_root")) & F.arrays_overlap("keys", "_keys")
-    return left.join(right, (left["token"] == right["token"]) & apart & (F.get(meet, F.lit(0)) == left["token"])).select("a", "n_a", "b", "n_b")
+    met = (F.col("token") == F.col("_token")) & early[0] & early[1] & apart & ~F.arrays_overlap("before", "_before")
+    return left.join(right, met).select("a", "n_a", "b", "n_b")
 
 
 def near_classes(keyed: DataFrame, p: Signature = Signature()) -> DataFrame:
@@ -272,10 +286,15 @@ def near_classes(keyed: DataFrame, p: Signature = Signature()) -> DataFrame:
         rows = _open(large, roots)
         if rows.isEmpty():
             break
-        tests = _few_tests(rows, step) if step <= ROUNDS else _all_tests(rows, sets, p)
+        if step <= ROUNDS:
+            few = max(rows.count(), large.count() * PART // 2) <= ONE_TASK
+            tests = _few_tests(rows.coalesce(1) if few else rows, step)
+            tests = tests.coalesce(1) if few else tests
+        else:
+            tests = _all_tests(rows, sets, p)
         candidates = stored(_candidates(tests, classes, p), "candidates")
         roots = _contracted(roots, stored(_confirmed(candidates, sets, p), "links"))
-        large = _by_row(rows)
+        large = _by_row(narrow(rows))
     owned = classes.join(roots.select(F.col("node").alias("a"), "root"), "a", "left").select("same", F.coalesce("root", "a").alias("_root"))
     return signed.join(owned.hint("merge"), "same", "left").select("_row", "n", F.coalesce("_root", "_row").alias("component"))
 

@@ -392,6 +392,34 @@ def test_steps_of_components_broadcast_nothing(spark):
     assert "SortMergeJoin" in plan and "Exchange" not in plan
 
 
+def test_a_step_of_components_shuffles_nothing_of_few_edges(spark, monkeypatch):
+    from haulgrid.llm import components as module
+
+    plans, write = [], module.store
+
+    def seen(df, name):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return write(df, name)
+
+    monkeypatch.setattr(module, "store", seen)
+    got = module.components(spark.createDataFrame([(k, k + 1) for k in range(40)], "a long, b long"))
+    assert {r.root for r in got.collect()} == {0}
+    steps = [plan for name, plan in plans if name == "stars"]
+    assert steps and not any("Exchange" in plan for plan in steps)
+
+
+def test_full_tests_of_long_texts_carry_few_shingles_and_broadcast_none(spark):
+    same, rows = list(range(2000)), [(1, 2000), (2, 2000), (3, 2000)]
+    sets = [(1, same), (2, same), (3, list(range(5000, 7000)))]
+    sets = stored(spark.createDataFrame(sets, "_row long, shingles array<long>"), "sets")
+    open_ = stored(spark.createDataFrame([(9, a, n, a, 1, 3) for a, n in rows], "key long, a long, n long, root long, first long, size long"), "open")
+    tests = near_dedup._all_tests(open_, sets, near_dedup.Signature())
+    assert [tuple(r) for r in tests.distinct().collect()] == [(1, 2000, 2, 2000)]
+    plan = tests._jdf.queryExecution().optimizedPlan()
+    assert "strategy=merge" in plan.toString() and "BroadcastHashJoin" not in tests._jdf.queryExecution().executedPlan().toString()
+    assert "_prefix" not in plan.toString()
+
+
 def test_near_dedup_query_gives_document_ids(spark, tmp_path):
     from haulgrid.llm.queries import QUERIES
 

@@ -56,6 +56,21 @@ def test_same_cuts(spark, instance, k):
     assert [got[n] for n in range(40)] == _labels_after(_sequential(d), 40, k)
 
 
+def test_rounds_of_few_pairs_shuffle_nothing_and_spread_ones_merge_the_same(spark, instance, monkeypatch):
+    d, dist, log = instance
+    plans, write = [], cl.cut
+
+    def seen(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(cl, "cut", seen)
+    cl.linkage_merges(dist)
+    assert len(plans) > 2 and not any("Exchange" in plan for plan in plans[1:])
+    monkeypatch.setattr(cl, "ONE_TASK", 0)
+    assert sorted(cl.linkage_merges(dist).collect()) == sorted(log.collect())
+
+
 def test_equal_distances_take_few_rounds(spark):
     """A line of equally spaced sites, each knowing its neighbours only."""
     line = spark.range(256).selectExpr("id as i", "id + 1 as j", "1e0 as d").filter("j < 256")
